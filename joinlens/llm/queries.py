@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from joinlens.llm import canonical, mixture, splits
+from joinlens.llm import bpe, canonical, mixture, overlap, packing, pieces, quantiles, splits
 from joinlens.session import load, materialize
 
 
@@ -47,6 +47,49 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_split(rows, "qid", "template_key", "n_tables", shares)
 
 
+_STATS_KEYS = ["template", "num_tables", "samples_type"]
+_QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
+
+
+def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
+    single = load(spark, d, "stats").where("summary_type = 'value'")
+    day = F.to_date("run_at").alias("day")
+    values = quantiles.distinct_values(single, "stat_id", [*(F.col(k) for k in _STATS_KEYS), day], "loss")
+    return quantiles.sketch_groups(values, [*_STATS_KEYS, "day"], "loss")
+
+
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each group over all days, from the merged sketches of the days."""
+    merged = quantiles.merge_sketches(_day_sketches(spark, d), _STATS_KEYS, list(_QUANTILES.values()))
+    return merged.select(*_STATS_KEYS, "n", *(F.get("vals", F.lit(i)).alias(name) for i, name in enumerate(_QUANTILES)))
+
+
+def p3_day_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """One sketch for each group and day, to be kept and merged later."""
+    return _day_sketches(spark, d)
+
+
+def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    held_out, train = F.coalesce(F.col("split").isin("val", "test"), F.lit(False)), F.coalesce(F.col("split") == "train", F.lit(False))
+    return overlap.cross_overlaps(load(spark, d, "qrep"), "qid", "sql", held_out, train)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = overlap.overlap_pairs(*_overlaps(spark, d), "qid")
+    return pairs.select(F.least("eval_id", "train_id").alias("qid_a"), F.greatest("eval_id", "train_id").alias("qid_b"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of val and test with an overlap in train, per split and template."""
+    found = overlap.overlap_rows(*_overlaps(spark, d), "qid")
+    rows = load(spark, d, "qrep").select("qid", "split", splits.template_key("template_name").alias("template_key"))
+    held_out = rows.where("split IN ('val', 'test')").join(found, "qid", "left")
+    return held_out.groupBy("split", "template_key").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("n_train_rows").alias("n_overlapping"),
+        F.coalesce(F.sum("n_train_rows"), F.lit(0)).alias("n_pairs"), F.count_if(F.col("similarity") == 1).alias("n_same_words"),
+    )
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.copies(_hashed(spark, d, "qid"), "qid")
 
@@ -55,14 +98,57 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return canonical.collapse(_hashed(spark, d, "qid"), "qid").select("qid", "n_copies", "is_query")
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_column(load(spark, d, "documents").select("doc_id", "text"), "text")
+
+
+def _budget(spark: SparkSession, d: str, name: str) -> tuple[str, int, int]:
+    row = load(spark, d, "token_budgets").where(F.col("budget") == name).first()  # a fixed table of two rows
+    return row["tokenizer"], int(row["max_tokens"]), int(row["overlap_tokens"])
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or its parts, with its container."""
+    tokenizer, capacity, _ = _budget(spark, d, "container")
+    sized = bpe.count_column(load(spark, d, "documents").select("doc_id", "text"), "text", tokenizer=tokenizer)
+    return packing.pack(packing.token_items(sized, "doc_id", "n_tokens", capacity), "doc_id", capacity)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers by number of tokens in them."""
+    per = p8_containers(spark, d).groupBy("container").agg(F.sum("n_tokens").alias("used"), F.count_if(F.col("n_tokens") > 0).alias("n_items"))
+    return per.groupBy("used").agg(F.count(F.lit(1)).alias("n_containers"), F.max("n_items").alias("most_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that the splitter cuts."""
+    tokenizer, limit, shared = _budget(spark, d, "piece")
+    cut = pieces.split_column(load(spark, d, "documents"), "doc_id", "text", limit, shared, tokenizer, with_text=False, count_short=False)
+    return cut.where("n_pieces > 1 AND piece = 0").select("doc_id")
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    tokenizer, limit, shared = _budget(spark, d, "piece")
+    return pieces.split_column(load(spark, d, "documents"), "doc_id", "text", limit, shared, tokenizer)
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
     "p1_report": p1_report,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
+    "p3_percentiles": p3_percentiles,
+    "p3_day_sketches": p3_day_sketches,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
+    "p9_found": p9_found,
+    "p9_pieces": p9_pieces,
 }
 
 _KEY = "nullif(regexp_replace(lower({}), '[^a-z0-9]', '', 'g'), '')"
@@ -74,5 +160,11 @@ WITH have AS (SELECT {_KEY.format('template_name')} AS template_key, count(*) AS
 SELECT mix_id, {_KEY.format('template_name')} AS template_key
 FROM mix_targets LEFT JOIN have ON have.template_key = {_KEY.format('template_name')}, t
 WHERE coalesce(n, 0) * 100000 < target_permille::BIGINT * sample_percent * total OR coalesce(n, 0) < min_records
+""",
+    "p5_found": """
+WITH w AS (SELECT qid, split, list_distinct(regexp_extract_all(lower(sql), '[a-z0-9_]+')) AS words FROM qrep WHERE sql IS NOT NULL),
+     p AS (SELECT e.qid AS e, t.qid AS t, len(list_intersect(e.words, t.words)) AS common, len(e.words) + len(t.words) AS n
+           FROM w AS e JOIN w AS t ON e.split IN ('val', 'test') AND t.split = 'train')
+SELECT least(e, t) AS qid_a, greatest(e, t) AS qid_b FROM p WHERE common * 100 >= 85 * (n - common) AND common > 0
 """,
 }
