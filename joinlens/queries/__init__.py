@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with dicts QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("corpus",)
+MODULES: tuple[str, ...] = ("corpus", "dialect", "plans")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def all_oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return all_queries()["subplan_actual_total_g3"](spark, sf_dir)
