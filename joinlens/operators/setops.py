@@ -46,3 +46,10 @@ def id_overlap_ratio(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     one = sides.groupBy(key).agg(F.max("__a").alias("__a"), F.max("__b").alias("__b"))
     made = one.agg(F.sum("__a").alias("n_a"), F.sum("__b").alias("n_b"), F.sum(F.col("__a") * F.col("__b")).alias("n_both"))
     return made.withColumn("ratio", F.when(F.col("n_a") > 0, F.round(F.col("n_both") / F.col("n_a"), 6)))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where null equals null; the keys of left remain."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(renamed, on, how).drop(*(f"__right_{k}" for k in keys)) if keys else left.crossJoin(right)

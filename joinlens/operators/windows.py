@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from joinlens.operators.percentiles import exact_percentiles
 from joinlens.session import materialize
 
 
@@ -58,8 +59,8 @@ def running_max(df: DataFrame, value: str, order: list[str], out: str, by: list[
 
 def qcut(df: DataFrame, value: str, bins: int, out: str) -> DataFrame:
     """Equal-frequency bins, double edges dropped: the number of edges below the value."""
-    shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile(value, shares))).alias("__edges"))  # one row
+    found = exact_percentiles(df, [], value, {f"q{i}": i / bins for i in range(bins + 1)})  # one row
+    edges = found.select(F.array_sort(F.array_distinct(F.array(*(f"q{i}" for i in range(bins + 1))))).alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col(value))).cast("long")
     return df.crossJoin(F.broadcast(edges)).withColumn(out, below).drop("__edges")
 
@@ -76,6 +77,6 @@ def ecdf(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def quantile_bands(df: DataFrame, value: str, out: str, low: float = 0.2, high: float = 0.8) -> DataFrame:
     """high at or above the upper percentile, low at or below the lower one, else mid."""
-    cuts = df.agg(F.percentile(value, F.lit(low)).alias("__lo"), F.percentile(value, F.lit(high)).alias("__hi"))  # one row
+    cuts = exact_percentiles(df, [], value, {"__lo": low, "__hi": high}).drop("n")  # one row
     band: Column = F.when(F.col(value) >= F.col("__hi"), "high").when(F.col(value) <= F.col("__lo"), "low").otherwise("mid")
     return df.crossJoin(F.broadcast(cuts)).withColumn(out, band).drop("__lo", "__hi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from joinlens.functions import scalars as S
 from joinlens.operators import setops, windows
+from joinlens.operators.percentiles import exact_percentiles
 from joinlens.queries.base import Registry, Tables
 
 R = Registry()
@@ -233,10 +234,9 @@ _DESCRIBE = ", ".join(f"round(quantile_cont(p_retailprice, {q}), 6) AS p{round(q
 @add(f"SELECT p_brand, count(p_retailprice) AS n, round(avg(p_retailprice), 6) AS mean, round(stddev_samp(p_retailprice), 6) AS sd, min(p_retailprice) AS low, {_DESCRIBE}, max(p_retailprice) AS high FROM part GROUP BY 1")
 def describe_by_group(t: Tables) -> DataFrame:
     v = "p_retailprice"
-    return t.part.groupBy("p_brand").agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.min(v).alias("low"),
-        *(F.round(F.percentile(v, q), 6).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)), F.max(v).alias("high"),
-    )
+    simple = t.part.groupBy("p_brand").agg(F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_samp(v), 6).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"))
+    ranks = exact_percentiles(t.part, ["p_brand"], v, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return simple.join(ranks.select("p_brand", "n", *(F.round(p, 6).alias(p) for p in ("p25", "p50", "p75"))), "p_brand")
 
 
 @add("SELECT template, round(avg(num_samples), 6) AS mean FROM stats WHERE summary_type <> 'value' GROUP BY 1")
