@@ -8,11 +8,17 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with dicts QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("corpus", "dialect", "plans", "results", "estimates")
+MODULES: tuple[str, ...] = ("corpus", "dialect", "plans", "results", "estimates", "learned")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in import_module(f"joinlens.queries.{m}").QUERIES.items()}
+    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    for m in MODULES:
+        found = import_module(f"joinlens.queries.{m}").QUERIES
+        if twice := out.keys() & found.keys():
+            raise ValueError(f"query names used twice: {sorted(twice)}")
+        out |= found
+    return out
 
 
 def all_oracles() -> dict[str, str]:
