@@ -6,8 +6,8 @@ bytes costs O(n log n), whatever its shape. Words recur, so every Python worker
 to a bound. Decoding concatenates the vocabulary's byte strings.
 
 Defined cases: null and empty texts have no ids (an empty list); text that looks like a special token is plain text; lone
-surrogates are encoded as U+FFFD; control characters and any length are ordinary input; rows keep their other columns, whose
-names may be anything but that of the new column.
+surrogates are encoded as U+FFFD; control characters and any length are ordinary input; rows keep their other columns, of
+which one that has the name of the new column is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 #: Fixed value: how the byte_bpe vocabularies cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -132,7 +132,7 @@ def _chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator
 
 def encode_column(df: DataFrame, text: str, output: str = "ids", tokenizer: str = "byte_bpe_50k", directory: str = DEFAULT_DIR, keep_text: bool = False) -> DataFrame:
     """df with the token ids of column text as a list of integers; the text itself is dropped unless kept."""
-    columns = [c for c in df.columns if c != text] + [text]
+    columns = [c for c in df.columns if c not in (text, output)] + [text]
     at = len(columns) - 1
     kept = at + keep_text
     narrow = df.select(*columns)
@@ -155,11 +155,10 @@ def encode_column(df: DataFrame, text: str, output: str = "ids", tokenizer: str
 
 def count_column(df: DataFrame, text: str, output: str = "n_tokens", tokenizer: str = "byte_bpe_50k", directory: str = DEFAULT_DIR) -> DataFrame:
     """df without text, with its size in tokens as a long; 0 for null and empty texts."""
-    columns = [c for c in df.columns if c != text] + [text]
+    columns = [c for c in df.columns if c not in (text, output)] + [text]
     at = len(columns) - 1
     narrow = df.select(*columns)
-    schema = StructType([*narrow.schema.fields[:at], *StructType.fromDDL("n long").fields])
-    schema.fields[-1].name = output
+    schema = StructType([*narrow.schema.fields[:at], StructField(output, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, directory)
@@ -167,4 +166,4 @@ def count_column(df: DataFrame, text: str, output: str = "n_tokens", tokenizer:
             sizes = pa.array([coder.count(value) for value in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], sizes], [*batch.schema.names[:at], output])
 
-    return narrow.mapInArrow(run, StructType(list(schema.fields)))
+    return narrow.mapInArrow(run, schema)

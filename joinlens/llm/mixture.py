@@ -65,8 +65,8 @@ def sample_to_targets(
     sample: mix_id, row id, category, weight. report: a row per target with at_hand, wanted_x100000 (the exact target),
     quota, drawn, shares, gap and unmet (the rows at hand are fewer than the target or the minimum).
     """
-    spark = rows.sparkSession
-    with_category = rows.where(F.col(category).isNotNull())
+    with_category = rows.select(row_id, category, *margins).where(F.col(category).isNotNull())
+    targets = targets.select("mix_id", category, "target_permille", "sample_percent", "min_records")
     cell_columns = [category, *margins]
     cells = materialize(with_category.groupBy(*cell_columns).agg(F.count(F.lit(1)).alias("n")), "mix-cells")
     total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -81,11 +81,11 @@ def sample_to_targets(
         at_hand = np.bincount(of, n, len(mix)).astype(np.int64)
         size = int(total * int(mix["sample_percent"].iloc[0]) // 100)
         fits = []
-        for m in margins:
+        for m in margins if total else []:
             sums = margin_sums[m]
             known = {None if pd.isna(v) else v: i for i, v in enumerate(sums[m])}
             index = np.array([known.get(None if pd.isna(v) else v, 0) for v in frame[m]], np.int64)
-            fits.append((index, sums["n"].to_numpy(float) / total * size if total else np.zeros(len(sums))))
+            fits.append((index, sums["n"].to_numpy(float) / total * size))
         fits.append((of, mix["target_permille"].to_numpy(float) / 1000 * size))
         weight = rake(n, fits)
         quota = quotas(mix["target_permille"].to_numpy(float), size, at_hand, mix["min_records"].to_numpy(np.int64))

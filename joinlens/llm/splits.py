@@ -105,6 +105,7 @@ def grouped_split(hashed: DataFrame, row_id: str, key: str, label: str, shares:
     Labels beyond max_labels distinct values are hashed into max_labels buckets, which bounds the vectors' length.
     """
     spark = hashed.sparkSession
+    hashed = hashed.select(row_id, key, label, *HASHES)
     rows = row_components(hashed, row_id, key, linked_keys(hashed, key))
     bucket = F.pmod(F.xxhash64(F.coalesce(F.col(label).cast("string"), F.lit("\0"))), F.lit(2**31)).alias("__label")
     rows = materialize(rows.select(row_id, "component", bucket), "split-rows")
