@@ -154,15 +154,15 @@ def clip_to_total(cards: DataFrame, actual: str = "actual", total: str = "total"
 
 def execute(spark: SparkSession, sql: str, timeout: float | None = None) -> tuple[str, list]:
     """(status, rows) of a query; after timeout seconds its jobs are cancelled."""
-    tag = "joinlens-" + hashlib.sha1(f"{sql}{threading.get_ident()}".encode()).hexdigest()[:12]
-    fired = threading.Event()
+    group = "joinlens-" + hashlib.sha1(f"{sql}{threading.get_ident()}".encode()).hexdigest()[:12]
+    context, fired = spark.sparkContext, threading.Event()
 
     def stop() -> None:
         fired.set()
-        spark.interruptTag(tag)
+        context.cancelJobGroup(group)
 
     timer = threading.Timer(timeout, stop) if timeout is not None else None
-    spark.addTag(tag)
+    context.setJobGroup(group, sql[:100], interruptOnCancel=True)
     if timer:
         timer.start()
     try:
@@ -174,7 +174,8 @@ def execute(spark: SparkSession, sql: str, timeout: float | None = None) -> tupl
     finally:
         if timer:
             timer.cancel()
-        spark.removeTag(tag)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
 
 
 class CountCache:
