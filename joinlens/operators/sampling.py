@@ -65,6 +65,31 @@ def replicated_draws(df: DataFrame, n: int, order: list[str], seed: int = 0) ->
     return picks.join(ranked, "__at").drop("__at")
 
 
+def weighted_draws(df: DataFrame, n: int, weight: str, order: list[str], seed: int = 0) -> DataFrame:
+    """n draws with replacement, each row as likely as its weight (null and negative ones count as 0).
+
+    Cumulative weights are built within range partitions plus one sum a partition; a draw falls into the row whose interval
+    holds its arithmetic number.
+    """
+    from pyspark.sql import Window
+
+    ranged = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "weighted")
+    w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = ranged.groupBy("__range").agg(F.sum(w).alias("__s")).withColumn("__base", F.coalesce(F.sum("__s").over(before), F.lit(0.0)))
+    total = sums.agg(F.sum("__s")).first()[0] or 0.0
+    upto = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    high = F.col("__base") + F.sum(w).over(upto)
+    placed = ranged.join(sums, "__range").withColumn("__high", high).withColumn("__low", F.col("__high") - w).where("__high > __low")
+    picks = df.sparkSession.range(n).select(F.col("id").alias("draw_no"), (draw(F.col("id") + 1, seed) / MODULUS * total).alias("__at"))
+    buckets = 4096  # draws meet rows by equality on slices of the total weight
+    width = total / buckets if total else 1.0
+    slices = F.sequence(F.floor(F.col("__low") / width), F.floor(F.col("__high") / width))
+    rows = placed.withColumn("__slice", F.explode(slices))
+    met = picks.withColumn("__slice", F.floor(F.col("__at") / width)).join(rows, "__slice").where("__at >= __low AND __at < __high")
+    return met.drop("__slice", "__at", "__low", "__high", "__base", "__s", "__range")
+
+
 def snapshot(load: Loader, root: str, keep: Callable[[], Column], facts: list[tuple[str, str, str]], dims: list[tuple[str, str, str, str]]) -> dict[str, DataFrame]:
     """A historical state: rows of root that fail keep are dropped (null does not fail), then the references follow.
 

@@ -88,21 +88,35 @@ def simple_paths(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def bushy(splits: DataFrame, cost: str, levels: int) -> DataFrame:
-    """(qid, subset, best, tree) with any split of a subset: splits qid, big, left, right and the cost column."""
+def bushy(splits: DataFrame, cost: str, levels: int, carry: str | None = None) -> DataFrame:
+    """(qid, subset, best, tree[, carried]) with any split of a subset: splits qid, big, left, right and the cost columns.
+
+    carry sums a second cost column along the chosen tree.
+    """
+    other = [carry] if carry else []
     sized = splits.withColumn("__n", F.size(F.split("big", " ")))
     single = splits.select("qid", F.explode(F.split("big", " ")).alias("subset")).distinct()
-    best = single.select("qid", "subset", F.lit(0.0).alias("best"), F.col("subset").alias("tree"))
+    best = single.select("qid", "subset", F.lit(0.0).alias("best"), F.col("subset").alias("tree"), F.lit(0.0).alias("carried"))
     for n in range(2, levels + 1):
-        a = best.select("qid", F.col("subset").alias("left"), F.col("best").alias("bl"), F.col("tree").alias("tl"))
-        b = best.select("qid", F.col("subset").alias("right"), F.col("best").alias("br"), F.col("tree").alias("tr"))
+        a, b = (best.select("qid", F.col("subset").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("best", "tree", "carried"))) for side in ("left", "right"))
         step = sized.where(F.col("__n") == n).join(a, ["qid", "left"]).join(b, ["qid", "right"])
-        step = step.select("qid", F.col("big").alias("subset"), (F.col(cost) + F.col("bl") + F.col("br")).alias("best"), F.concat(F.lit("("), "tl", F.lit(" "), "tr", F.lit(")")).alias("tree"))
-        level = step.groupBy("qid", "subset").agg(F.min(F.struct("best", "tree")).alias("x")).select("qid", "subset", "x.best", "x.tree")
+        sums = [(F.col(c) + F.col(f"{x}_left") + F.col(f"{x}_right")).alias(x) for c, x in ((cost, "best"), *((c, "carried") for c in other))]
+        sums += [] if other else [F.lit(0.0).alias("carried")]
+        tree = F.concat(F.lit("("), "tree_left", F.lit(" "), "tree_right", F.lit(")")).alias("tree")
+        step = step.select("qid", F.col("big").alias("subset"), tree, *sums)
+        level = step.groupBy("qid", "subset").agg(F.min(F.struct("best", "tree", "carried")).alias("x")).select("qid", "subset", "x.best", "x.tree", "x.carried")
         best = best.unionByName(level)
         if n % 2 == 0:
             best = materialize(best, "bushy")
-    return best
+    return best if carry else best.drop("carried")
+
+
+def join_loss(splits: DataFrame, true_cost: str, est_cost: str, levels: int) -> DataFrame:
+    """(qid, est, opt, loss, ratio): cost, under true counts, of the bushy plan chosen by estimates; opt at most est."""
+    est = full_only(bushy(splits, est_cost, levels, true_cost)).select("qid", F.col("carried").alias("est"))
+    opt = full_only(bushy(splits, true_cost, levels)).select("qid", F.col("best").alias("opt"))
+    made = est.join(opt, "qid").withColumn("est", F.greatest("est", "opt"))
+    return made.withColumn("loss", F.col("est") - F.col("opt")).withColumn("ratio", F.col("est") / F.col("opt"))
 
 
 def bushy_splits(subsets: DataFrame) -> DataFrame:

@@ -127,6 +127,15 @@ def draw_with_replacement(t: Tables) -> DataFrame:
     return sampling.replicated_draws(t.supplier, 50, ["s_suppkey"]).select("draw_no", "s_suppkey")
 
 
+@add(
+    "WITH s AS (SELECT p_partkey, p_size, sum(p_size) OVER (ORDER BY p_partkey) AS hi, sum(p_size) OVER () AS total FROM part)"
+    " SELECT d.i AS draw_no, s.p_partkey FROM (SELECT unnest(range(40)) AS i) AS d JOIN s ON ((d.i + 1) * 950706376 % 2147483647) / 2147483647 * total >= hi - p_size"
+    " AND ((d.i + 1) * 950706376 % 2147483647) / 2147483647 * total < hi"
+)
+def weighted_draws(t: Tables) -> DataFrame:
+    return sampling.weighted_draws(t.part, 40, "p_size", ["p_partkey"]).select("draw_no", "p_partkey")
+
+
 # ---- estimators over stored counts
 
 _KNOWN = f"WITH {_PLANS}, k AS (SELECT * FROM cards WHERE actual IS NOT NULL AND expected IS NOT NULL AND total IS NOT NULL)"

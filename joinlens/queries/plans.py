@@ -316,15 +316,35 @@ def _bushy_sql(q: JoinQuery) -> str:
 @add(_bushy_sql(C.G6))
 def join_loss_bushy(t: Tables) -> DataFrame:
     """Cheapest bushy plan of every sub-join by the hash-join cost."""
-    subsets = edges.subset_table(t.spark, [C.G6])
-    counts = materialize(counted(t, C.G6), "cards")
+    found = search.bushy(materialize(_splits(t, counted(t, C.G6), "cost"), "splits"), "cost", 6)
+    return found.select("subset", F.round("best", 4).alias("best"))
+
+
+def _splits(t: Tables, counts: DataFrame, out: str) -> DataFrame:
+    """Splits of G6 with their hash-join cost by given counts."""
+    counts = materialize(counts, "cards")
 
     def side(name: str, c: str) -> DataFrame:
         return counts.select("qid", F.col("subset").alias(name), F.greatest(F.col("value").cast("double"), F.lit(1.0)).alias(c))
 
-    splits = search.bushy_splits(subsets).join(side("left", "c1"), ["qid", "left"]).join(side("right", "c2"), ["qid", "right"])
-    found = search.bushy(materialize(splits.withColumn("cost", costs.hash_join()), "splits"), "cost", 6)
-    return found.select("subset", F.round("best", 4).alias("best"))
+    splits = search.bushy_splits(edges.subset_table(t.spark, [C.G6])).join(side("left", "c1"), ["qid", "left"]).join(side("right", "c2"), ["qid", "right"])
+    return splits.select("qid", "big", "left", "right", costs.hash_join().alias(out))
+
+
+@add()
+def join_loss(t: Tables) -> DataFrame:
+    """Loss of the bushy plan that textbook estimates choose, by the hash-join cost under true counts."""
+    true, est = _splits(t, counted(t, C.G6), "true_cost"), _splits(t, stats.expected_counts(t.spark, t, C.G6), "est_cost")
+    both = materialize(true.join(est, ["qid", "big", "left", "right"]), "splits")
+    return search.join_loss(both, "true_cost", "est_cost", 6)
+
+
+@add()
+def operator_histogram(t: Tables) -> DataFrame:
+    """Operators of the optimized plans of two queries."""
+    spark = t.views("orders", "customer", "lineitem", "nation", "part")
+    nodes = stats.plan_nodes(spark, C.G3.count_sql()).unionByName(stats.plan_nodes(spark, C.G5.count_sql()))
+    return nodes.groupBy("operator").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add(C.G5.count_sql(select="COUNT(*) AS n"))

@@ -56,6 +56,17 @@ def stored_plan_edges(t: Tables) -> DataFrame:
     return Q.plan_edges(t.qrep)
 
 
+@add(f"SELECT qid, len(from_json(subset_graph, {_JSON}).nodes) AS n FROM qrep WHERE subset_graph IS NOT NULL AND len(from_json(subset_graph, {_JSON}).nodes) > 0")
+def json_key_values(t: Tables) -> DataFrame:
+    return Q.json_values(t.qrep, "qid", "subset_graph", "total").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+
+
+@add("SELECT n_tables, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val, count(*) FILTER (WHERE split = 'test') AS test FROM qrep GROUP BY 1")
+def split_matrix(t: Tables) -> DataFrame:
+    made = t.qrep.groupBy("n_tables").pivot("split", ["train", "val", "test"]).agg(F.count(F.lit(1)))
+    return made.select("n_tables", *(F.coalesce(col(c), F.lit(0)).alias(c) for c in ("train", "val", "test")))
+
+
 _GRAPH = "'{\"nodes\": [{\"id\": \"VARCHAR\", \"real_name\": \"VARCHAR\", \"pred_cols\": [\"VARCHAR\"]}], \"links\": [{\"source\": \"VARCHAR\", \"target\": \"VARCHAR\", \"join_condition\": \"VARCHAR\"}]}'"
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 #: Numbers stored in the place of a count, and the status that they stand for.
 STATUS = {150001000000: "cross_join", 150001000001: "timeout", 150001000002: "exception"}
@@ -64,3 +69,32 @@ def from_old_queries(old: DataFrame, preds: DataFrame) -> DataFrame:
     """Predicates of single-object queries (qid, alias, column, op, value) attached to their alias as lists."""
     listed = preds.groupBy("qid", "alias").agg(F.array_sort(F.collect_list(F.struct("column", "op", "value"))).alias("preds"))
     return old.join(listed, ["qid", "alias"], "left")
+
+
+def json_values(df: DataFrame, row_id: str, column: str, name: str) -> DataFrame:
+    """(row id, pos, value): every value under a key of a JSON text, at any depth, as JSON text; unreadable texts have none."""
+    schema = StructType([df.schema[row_id], StructField("pos", IntegerType()), StructField("value", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, places, values = [], [], []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                try:
+                    todo = [json.loads(text)] if text else []
+                except ValueError:
+                    todo = []
+                n = 0
+                while todo:
+                    x = todo.pop()
+                    if isinstance(x, dict):
+                        if name in x:
+                            source.append(at)
+                            places.append(n)
+                            values.append(json.dumps(x[name]))
+                            n += 1
+                        todo += reversed(x.values())
+                    elif isinstance(x, list):
+                        todo += reversed(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(source, pa.int32())), pa.array(places, pa.int32()), pa.array(values, pa.string())], [row_id, "pos", "value"])
+
+    return df.select(row_id, column).mapInArrow(run, schema)
