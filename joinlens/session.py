@@ -51,6 +51,19 @@ def scratch_base(spark: SparkSession) -> str:
     return base
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it comes from a few small files; else df as it is.
+
+    For stages whose CPU work far outweighs their bytes. A table that fills a split for every core is never touched, nor are
+    its files listed.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split and len(df.inputFiles()) < cores else df
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
