@@ -152,7 +152,9 @@ class JoinQuery:
             rest.remove(alias)
             base = self.base(load, alias, filters)
             on = [e.column() for e in self.edges if alias in (e.a, e.b) and (e.b if e.a == alias else e.a) in done]
-            out = base if out is None else out.join(base, reduce(lambda x, y: x & y, on), "inner") if on else out.crossJoin(base)
+            if out is not None and not on:
+                raise ValueError(f"{alias} has no join condition with {' '.join(done)}: cross joins are not run")
+            out = base if out is None else out.join(base, reduce(lambda x, y: x & y, on), "inner")
             done.append(alias)
         return out
 

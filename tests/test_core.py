@@ -178,3 +178,34 @@ def test_qerror_of_the_truth_is_one(spark):
     df = spark.createDataFrame([(float(x),) for x in (0, 1, 7, 1e12)], "v double")
     assert all(r[0] == 1.0 for r in df.select(S.qerror(F.col("v"), F.col("v"))).collect())
     assert math.isclose(df.agg(F.max(S.log_denorm(S.log_norm(F.col("v"), 0.0, 30.0), 0.0, 30.0))).first()[0], 1e12, rel_tol=1e-9)
+
+
+def test_planner_rows_and_spread(spark, tmp_path):
+    from joinlens.session import spread
+
+    spark.sql("CREATE TABLE IF NOT EXISTS stats_probe USING parquet AS SELECT id % 50 AS k FROM range(1000)")
+    try:
+        spark.sql("ANALYZE TABLE stats_probe COMPUTE STATISTICS FOR ALL COLUMNS")
+        spark.conf.set("spark.sql.cbo.enabled", "true")
+        assert stats.planner_rows(spark, "SELECT * FROM stats_probe WHERE k = 7") == 20
+    finally:
+        spark.conf.set("spark.sql.cbo.enabled", "false")
+        spark.sql("DROP TABLE stats_probe")
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    small = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r.id for r in spread(small).collect()) == list(range(100))
+
+
+def test_cross_joins_are_refused():
+    q = JoinQuery("x", {"a": "x", "b": "y"}, ())
+    with pytest.raises(ValueError, match="cross join"):
+        q.join(lambda n: _Fake(), ("a", "b"))
+
+
+class _Fake:
+    def select(self, *_):
+        return self
+
+    def alias(self, _):
+        return self
