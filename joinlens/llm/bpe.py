@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
+from joinlens.session import spread
+
 #: Fixed value: how the byte_bpe vocabularies cut a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 DEFAULT_DIR = "/opt/tokenizers"
@@ -150,7 +152,7 @@ def encode_column(df: DataFrame, text: str, output: str = "ids", tokenizer: str
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:kept], lists], [*part.schema.names[:kept], output])
 
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)
 
 
 def count_column(df: DataFrame, text: str, output: str = "n_tokens", tokenizer: str = "byte_bpe_50k", directory: str = DEFAULT_DIR) -> DataFrame:
@@ -166,4 +168,4 @@ def count_column(df: DataFrame, text: str, output: str = "n_tokens", tokenizer:
             sizes = pa.array([coder.count(value) for value in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], sizes], [*batch.schema.names[:at], output])
 
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from joinlens.session import spread
+
 _TOKEN = re.compile(r"""'(?:[^']|'')*'|"[^"]*"|`[^`]*`|[\w.$]+|<=|>=|<>|!=|==|!~\*?|~\*?|::|[^\s]""")
 _NUMBER = re.compile(r"[+-]?\d+(?:\.\d+)?\Z")
 _COLUMN = re.compile(r"[a-z_]\w*(?:\.[a-z_]\w*)*\Z")
@@ -144,7 +146,7 @@ def with_query_hash(df: DataFrame, text: str, keep: list[str | Column], digest:
                     into.append(raw and int.from_bytes(raw[8 * at : 8 * at + 8], "little", signed=True))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(h, pa.int64()) for h in hashed)], [*batch.schema.names[:-1], *HASHES])
 
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)
 
 
 def collapse(hashed: DataFrame, row_id: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from joinlens.llm.bpe import DEFAULT_DIR, BytePairEncoder, encoder
+from joinlens.session import spread
 
 #: Tokens over which one sparse table reaches, beyond a piece.
 STRETCH = 1 << 16
@@ -174,4 +175,4 @@ def split_column(
                     yield pa.RecordBatch.from_arrays(made, names=[f.name for f in schema])
                     rows, source, texts, held = [[] for _ in ints], [], [], 0
 
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)
