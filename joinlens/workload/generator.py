@@ -5,32 +5,62 @@ from __future__ import annotations
 import hashlib
 import random
 import tomllib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joinlens.operators.windows import global_rank
+from joinlens.session import materialize
 from joinlens.workload.parser import UnsupportedQuery, parse
 
-#: Domain rows that a group may draw from; the most frequent come first, ties by value.
-DOMAIN_ROWS = 10_000
-
 
 @dataclass
 class Domain:
-    """Values of a domain query with their counts, cached by the SHA-1 of its text."""
+    """Rows of domain queries, cached by the SHA-1 of their text and kept as tables; the driver sees only the rows drawn.
+
+    A column beyond the group's own is the count of the row; without one every row counts once.
+    """
 
     spark: SparkSession
-    cache: dict[str, list[tuple]]
+    cache: dict[str, tuple[DataFrame, int]]
 
-    def rows(self, sql: str) -> list[tuple]:
-        name = hashlib.sha1(sql.encode()).hexdigest()
+    def _kept(self, kind: str, sql: str, made: Callable[[], DataFrame]) -> tuple[DataFrame, int]:
+        """The table and its number of rows, made once: a domain query may hold random()."""
+        name = hashlib.sha1(f"{kind} {sql}".encode()).hexdigest()
         if name not in self.cache:
-            df = self.spark.sql(sql)
-            order = [F.desc(df.columns[-1]), *df.columns[:-1]]
-            self.cache[name] = [tuple(r) for r in df.orderBy(*order).limit(DOMAIN_ROWS).collect()]  # bounded by DOMAIN_ROWS
+            df = materialize(made(), "domain")
+            self.cache[name] = df, df.count()
         return self.cache[name]
 
+    def rows(self, sql: str, width: int) -> tuple[DataFrame, int]:
+        """(c0..., n, at): the first width columns, the count and the number from 1, the most frequent first, ties by value."""
+
+        def made() -> DataFrame:
+            df = self.spark.sql(sql)
+            df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+            n = F.col(df.columns[-1]).cast("long") if len(df.columns) > width else F.lit(1).cast("long")
+            df = df.withColumns({"n": n, "__less": -n})
+            return global_rank(df, ["__less", *(f"c{i}" for i in range(width))], "at").select(*(f"c{i}" for i in range(width)), "n", "at")
+
+        return self._kept(f"rows {width}", sql, made)
+
+    def prefixes(self, sql: str, least: int, most: int, at_least: int) -> tuple[DataFrame, int]:
+        """(p, n, at): the prefixes that at_least rows or more hold, numbered from 1, the most frequent first."""
+
+        def made() -> DataFrame:
+            found = prefix_counts(self.rows(sql, 1)[0], least, most).where(F.col("n") >= at_least)
+            return global_rank(found.withColumn("__less", -F.col("n")), ["__less", "p"], "at").drop("__less")
+
+        return self._kept(f"prefixes {least} {most} {at_least}", sql, made)
+
+
+def _numbered(df: DataFrame, at: list[int]) -> list[tuple]:
+    """The rows with these numbers, in their order; one that is asked for twice comes twice."""
+    found = {r["at"]: tuple(r) for r in df.where(F.col("at").isin(sorted(set(at)))).collect()}  # as many rows as drawn
+    return [found[i] for i in at]
+
 
 def load_template(text: str) -> dict:
     """A template file: [base_sql].sql, [[templates]] with ordered [[templates.predicates]] groups."""
@@ -41,18 +71,19 @@ def _quoted(value) -> str:
     return "'" + str(value).replace("'", "") + "'"
 
 
-def _in_list(rng: random.Random, group: dict, rows: list[tuple]) -> dict[str, str] | None:
+def _in_list(rng: random.Random, group: dict, domain: DataFrame, size: int) -> dict[str, str] | None:
     """k rows, by quantile chunk or uniform with replacement; columns stay aligned. A null in the list adds OR IS NULL."""
     k = rng.randint(int(group.get("min_samples", 1)), int(group.get("max_samples", 1)))
-    if not rows:
+    if not size:
         return None
     if group.get("sampling_method") == "quantile":
         q = int(group.get("num_quantiles", 1))
-        size = max(1, len(rows) // q)
-        i = rng.randrange(min(q, len(rows) // size))
-        chosen = rng.sample(rows[i * size : (i + 1) * size], min(k, size))
+        chunk = max(1, size // q)
+        i = rng.randrange(min(q, size // chunk))
+        drawn = rng.sample(range(i * chunk + 1, (i + 1) * chunk + 1), min(k, chunk))
     else:
-        chosen = [rng.choice(rows) for _ in range(k)]
+        drawn = [rng.choice(range(1, size + 1)) for _ in range(k)]
+    chosen = _numbered(domain, drawn)
     out = {}
     for at, (name, column) in enumerate(zip(group["keys"], group["columns"], strict=True)):
         values = sorted({r[at] for r in chosen if r[at] is not None}, key=str)
@@ -63,14 +94,11 @@ def _in_list(rng: random.Random, group: dict, rows: list[tuple]) -> dict[str, st
     return out
 
 
-def prefix_counts(spark: SparkSession, rows: list[tuple], least: int, most: int) -> list[tuple[str, int]]:
-    """Prefixes of lower-case words with the rows that hold them."""
-    if not rows:
-        return []
-    words = spark.createDataFrame([(str(r[0]), int(r[-1])) for r in rows if r[0] is not None], "v string, n long")
-    each = words.select(F.explode(F.array_distinct(F.filter(F.split(F.lower("v"), r"\W+"), lambda w: F.length(w) >= least))).alias("w"), "n")
-    each = each.select(F.explode(F.transform(F.sequence(F.lit(least), F.least(F.length("w"), F.lit(most))), lambda k: F.substr("w", F.lit(1), k))).alias("p"), "n")
-    return [tuple(r) for r in each.groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(DOMAIN_ROWS).collect()]
+def prefix_counts(rows: DataFrame, least: int, most: int) -> DataFrame:
+    """(p, n): every prefix of lower-case words of c0, and the rows that hold it; a row with two such words counts once."""
+    words = F.filter(F.split(F.lower(F.col("c0").cast("string")), r"\W+"), lambda w: F.length(w) >= least)
+    each = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(least), F.least(F.length(w), F.lit(most))), lambda k: F.substr(w, F.lit(1), k))))
+    return rows.where("c0 IS NOT NULL").select(F.explode(F.array_distinct(each)).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
 
 
 def instantiate(spark: SparkSession, template: dict, rng: random.Random, domain: Domain) -> str | None:
@@ -101,15 +129,14 @@ def instantiate(spark: SparkSession, template: dict, rng: random.Random, domain:
                 if group.get("dependencies"):
                     for name, value in known.items():
                         text = text.replace(name, value)
-                rows = domain.rows(text)
                 if pred == "ilike":
                     made = None
-                    found = prefix_counts(spark, rows, int(group.get("min_chars", 3)), int(group.get("max_chars", 6)))
-                    fits = [p for p, n in found if n >= int(group.get("min_count", 1))]
-                    if fits:
-                        made = {group["keys"][0]: f"{group['columns'][0]} ILIKE {_quoted('%' + rng.choice(fits) + '%')}"}
+                    fits, size = domain.prefixes(text, int(group.get("min_chars", 3)), int(group.get("max_chars", 6)), int(group.get("min_count", 1)))
+                    if size:
+                        [(prefix, *_)] = _numbered(fits, [rng.choice(range(1, size + 1))])
+                        made = {group["keys"][0]: f"{group['columns'][0]} ILIKE {_quoted('%' + prefix + '%')}"}
                 else:
-                    made = _in_list(rng, group, rows)
+                    made = _in_list(rng, group, *domain.rows(text, len(group["keys"])))
             if made is None:
                 return None
             known |= made

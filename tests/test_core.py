@@ -1,6 +1,8 @@
 import math
 import random
+import re
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -154,6 +156,22 @@ def test_generator(spark):
     assert filled.startswith("x IN ('1') AND y > ")
 
 
+def test_generator_draws_from_the_whole_domain(spark):
+    spark.range(25_000).selectExpr("format_string('v%05d', id) AS v", "id % 7 AS k").createOrReplaceTempView("wide")
+    domain, group = G.Domain(spark, {}), {"keys": ["K"], "columns": ["w.v"], "sampling_method": "quantile", "num_quantiles": 5, "min_samples": 3, "max_samples": 3}
+    rows, size = domain.rows("SELECT v, COUNT(*) FROM wide GROUP BY v", 1)
+    assert size == 25_000 and G._numbered(rows, [25_000, 1, 1]) == [("v24999", 1, 25_000), ("v00000", 1, 1), ("v00000", 1, 1)]
+    drawn = {int(v) for seed in range(12) for v in re.findall(r"v(\d+)'", G._in_list(random.Random(seed), group, rows, size)["K"])}
+    assert max(drawn) >= 20_000 and {v // 5000 for v in drawn} == {0, 1, 2, 3, 4}
+    counts = {r.p: r.n for r in G.prefix_counts(rows, 3, 6).collect()}
+    brute = Counter(f"v{i:05d}"[:k] for i in range(25_000) for k in range(3, 7))
+    assert counts == brute and len(counts) > 10_000
+    fits, n = domain.prefixes("SELECT v, COUNT(*) FROM wide GROUP BY v", 3, 6, 1)
+    assert n == len(brute) and G._numbered(fits, [n])[0][0] == "v24999"
+    two, _ = domain.rows("SELECT * FROM VALUES ('Small smart thing'), ('small'), (NULL) AS x(v)", 1)
+    assert {r.p: r.n for r in G.prefix_counts(two, 3, 3).collect()} == {"sma": 2, "thi": 1}
+
+
 def test_files(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("Reg Date|My Time|7|V x|Name\n2020-01-02|01:02:03|5|1.5|a\n2020-01-03|00:00:01|oops|x|b\n")
