@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import tomllib
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joinlens.operators.percentiles import exact_percentiles
 from joinlens.operators.windows import global_rank
 from joinlens.session import materialize
 from joinlens.workload.parser import UnsupportedQuery, parse
@@ -26,34 +26,29 @@ class Domain:
     spark: SparkSession
     cache: dict[str, tuple[DataFrame, int]]
 
-    def _kept(self, kind: str, sql: str, made: Callable[[], DataFrame]) -> tuple[DataFrame, int]:
-        """The table and its number of rows, made once: a domain query may hold random()."""
-        name = hashlib.sha1(f"{kind} {sql}".encode()).hexdigest()
-        if name not in self.cache:
-            df = materialize(made(), "domain")
-            self.cache[name] = df, df.count()
-        return self.cache[name]
+    def _plain(self, sql: str, width: int) -> DataFrame:
+        """(c0..., n) of the query's rows."""
+        df = self.spark.sql(sql)
+        df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+        n = F.col(df.columns[-1]) if len(df.columns) > width else F.lit(1)
+        return df.select(*(f"c{i}" for i in range(width)), n.cast("long").alias("n"))
 
     def rows(self, sql: str, width: int) -> tuple[DataFrame, int]:
-        """(c0..., n, at): the first width columns, the count and the number from 1, the most frequent first, ties by value."""
-
-        def made() -> DataFrame:
-            df = self.spark.sql(sql)
-            df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-            n = F.col(df.columns[-1]).cast("long") if len(df.columns) > width else F.lit(1).cast("long")
-            df = df.withColumns({"n": n, "__less": -n})
-            return global_rank(df, ["__less", *(f"c{i}" for i in range(width))], "at").select(*(f"c{i}" for i in range(width)), "n", "at")
-
-        return self._kept(f"rows {width}", sql, made)
-
-    def prefixes(self, sql: str, least: int, most: int, at_least: int) -> tuple[DataFrame, int]:
-        """(p, n, at): the prefixes that at_least rows or more hold, numbered from 1, the most frequent first."""
-
-        def made() -> DataFrame:
-            found = prefix_counts(self.rows(sql, 1)[0], least, most).where(F.col("n") >= at_least)
-            return global_rank(found.withColumn("__less", -F.col("n")), ["__less", "p"], "at").drop("__less")
+        """(c0..., n, at) and its size: the first width columns, the count and the number from 1, the most frequent first, ties by value."""
+        name = hashlib.sha1(f"rows {width} {sql}".encode()).hexdigest()
+        if name not in self.cache:
+            df = self._plain(sql, width)
+            ranked = global_rank(df.withColumn("__less", -F.col("n")), ["__less", *df.columns[:-1]], "at").select(*df.columns, "at")
+            self.cache[name] = ranked, ranked.count()
+        return self.cache[name]
 
-        return self._kept(f"prefixes {least} {most} {at_least}", sql, made)
+    def texts(self, sql: str) -> DataFrame:
+        """(c0, n) of the query's rows, run once: a domain query may hold random()."""
+        name = hashlib.sha1(f"texts {sql}".encode()).hexdigest()
+        if name not in self.cache:
+            df = materialize(self._plain(sql, 1), "domain")
+            self.cache[name] = df, 0
+        return self.cache[name][0]
 
 
 def _numbered(df: DataFrame, at: list[int]) -> list[tuple]:
@@ -94,13 +89,73 @@ def _in_list(rng: random.Random, group: dict, domain: DataFrame, size: int) -> d
     return out
 
 
+def _words() -> Column:
+    """The distinct lower-case words of c0."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.col("c0").cast("string")), r"\W+"), lambda w: F.length(w) >= 1))
+
+
+def _starts(word: Column, least: int, most: int) -> Column:
+    """The prefixes of a word of least or more characters."""
+    return F.transform(F.sequence(F.lit(least), F.least(F.length(word), F.lit(most))), lambda k: F.substr(word, F.lit(1), k))
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(w, n): every lower-case word of c0, and the rows that hold it."""
+    return rows.where("c0 IS NOT NULL").select(F.explode(_words()).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+
+
 def prefix_counts(rows: DataFrame, least: int, most: int) -> DataFrame:
     """(p, n): every prefix of lower-case words of c0, and the rows that hold it; a row with two such words counts once."""
-    words = F.filter(F.split(F.lower(F.col("c0").cast("string")), r"\W+"), lambda w: F.length(w) >= least)
-    each = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(least), F.least(F.length(w), F.lit(most))), lambda k: F.substr(w, F.lit(1), k))))
+    each = F.flatten(F.transform(F.filter(_words(), lambda w: F.length(w) >= least), lambda w: _starts(w, least, most)))
     return rows.where("c0 IS NOT NULL").select(F.explode(F.array_distinct(each)).alias("p"), "n").groupBy("p").agg(F.sum("n").alias("n"))
 
 
+def size_band(rng: random.Random, group: dict, words: DataFrame, total: int) -> tuple[float, float]:
+    """The open interval of rows for an ILIKE group: between two thresholds, or a part of num_quantiles, by percentile of the
+    words' counts or by rows (even odds); without either key, min_count rows or more."""
+    least = int(group.get("min_count", 1))
+    if "thresholds" in group:
+        cuts = [*group["thresholds"], float("inf")]
+        i = rng.randrange(len(cuts) - 1)
+        return cuts[i], cuts[i + 1]
+    if "num_quantiles" not in group:
+        return least - 1, float("inf")
+    q = int(group["num_quantiles"])
+    by_percentile, i = rng.random() > 0.5, rng.randrange(q)
+    if by_percentile:
+        found = exact_percentiles(words, [], "n", {"low": i / q, "high": (i + 1) / q}).first()
+        return max(least, found["low"]), found["high"]
+    return max(least, i * total / q), (i + 1) * total / q
+
+
+def pick_prefix(rng: random.Random, group: dict, rows: DataFrame) -> str | None:
+    """A prefix whose rows lie in the group's band, or None if there is none.
+
+    The reference tries words, weighted by count and uniform in turns, each with a random prefix length, until one fits. Here
+    the shares of fitting tries tell which of the two would have succeeded first, and the smallest exponential key among the
+    fitting (word, length) pairs is the draw: the law of those tries, without a limit on their number.
+    """
+    least, most = int(group.get("min_chars", 3)), int(group.get("max_chars", 6))
+    words = word_counts(rows)
+    n_words, total = words.agg(F.count(F.lit(1)), F.sum("n")).first()
+    if n_words <= 1:
+        return None
+    low, high = size_band(rng, group, words, total)
+    fits = prefix_counts(rows, least, most).where((F.col("n") > float(low)) & (F.col("n") < float(high))).select("p")
+    starts = words.where(F.length("w") >= least).withColumn("ps", _starts(F.col("w"), least, most))
+    pairs = starts.select("w", F.explode("ps").alias("p"), (1 / F.size("ps")).alias("even"), (F.col("n") / F.size("ps")).alias("heavy")).join(fits, "p")
+
+    def drawn(weight: str) -> Column:
+        u = (F.shiftrightunsigned(F.xxhash64(F.lit(rng.getrandbits(31)), "w", "p"), 11).cast("double") + 0.5) / F.lit(float(2**53))
+        return F.min(F.struct((-F.ln(u) / F.col(weight)).alias("key"), "p"))["p"]
+
+    heavy, even, p_heavy, p_even = pairs.agg(drawn("heavy"), drawn("even"), F.sum("heavy") / total, F.sum("even") / n_words).first()
+    if heavy is None:
+        return None
+    first = p_heavy / (1 - (1 - p_heavy) * (1 - p_even))  # the tries begin with a weighted one
+    return heavy if rng.random() < first else even
+
+
 def instantiate(spark: SparkSession, template: dict, rng: random.Random, domain: Domain) -> str | None:
     """One query text, or None if a group finds no values."""
     sql, known = template["base_sql"]["sql"], {}
@@ -130,11 +185,8 @@ def instantiate(spark: SparkSession, template: dict, rng: random.Random, domain:
                     for name, value in known.items():
                         text = text.replace(name, value)
                 if pred == "ilike":
-                    made = None
-                    fits, size = domain.prefixes(text, int(group.get("min_chars", 3)), int(group.get("max_chars", 6)), int(group.get("min_count", 1)))
-                    if size:
-                        [(prefix, *_)] = _numbered(fits, [rng.choice(range(1, size + 1))])
-                        made = {group["keys"][0]: f"{group['columns'][0]} ILIKE {_quoted('%' + prefix + '%')}"}
+                    prefix = pick_prefix(rng, group, domain.texts(text))
+                    made = {group["keys"][0]: f"{group['columns'][0]} ILIKE {_quoted('%' + prefix + '%')}"} if prefix else None
                 else:
                     made = _in_list(rng, group, *domain.rows(text, len(group["keys"])))
             if made is None:

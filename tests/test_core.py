@@ -166,12 +166,37 @@ def test_generator_draws_from_the_whole_domain(spark):
     counts = {r.p: r.n for r in G.prefix_counts(rows, 3, 6).collect()}
     brute = Counter(f"v{i:05d}"[:k] for i in range(25_000) for k in range(3, 7))
     assert counts == brute and len(counts) > 10_000
-    fits, n = domain.prefixes("SELECT v, COUNT(*) FROM wide GROUP BY v", 3, 6, 1)
-    assert n == len(brute) and G._numbered(fits, [n])[0][0] == "v24999"
     two, _ = domain.rows("SELECT * FROM VALUES ('Small smart thing'), ('small'), (NULL) AS x(v)", 1)
     assert {r.p: r.n for r in G.prefix_counts(two, 3, 3).collect()} == {"sma": 2, "thi": 1}
 
 
+def test_ilike_bands(spark):
+    words = [("rare%03d" % i, 1) for i in range(200)] + [("middle", 40), ("midway", 30), ("hot", 5000), ("hotel", 900)]
+    spark.createDataFrame([(f"{w} {w}", n) for w, n in words], "v string, n long").createOrReplaceTempView("skewed")
+    rows = G.Domain(spark, {}).texts("SELECT v, n FROM skewed")
+    size = Counter()
+    for w, n in words:
+        for k in range(3, min(len(w), 5) + 1):
+            size[w[:k]] += n
+    base = {"min_chars": 3, "max_chars": 5, "min_count": 2}
+    for thresholds in ([35, 75], [30], [6000]):
+        group = base | {"thresholds": thresholds}
+        for seed in range(2):
+            low, high = G.size_band(random.Random(seed), group, None, 0)
+            assert low in thresholds and (high in thresholds or high == float("inf"))
+            found, possible = G.pick_prefix(random.Random(seed), group, rows), {p for p, n in size.items() if low < n < high}
+            assert found in possible if possible else found is None
+    counts, total = [n for _, n in words], sum(n for _, n in words)
+    quantiles, bands = base | {"num_quantiles": 2, "min_count": 0}, set()
+    for seed in (0, 1, 2, 8):
+        bands.add(G.size_band(random.Random(seed), quantiles, G.word_counts(rows), total))
+    mid = float(np.percentile(counts, 50))
+    assert bands == {(1.0, mid), (mid, 5000.0), (0, total / 2), (total / 2, total)}
+    # weighted tries come first and succeed 97 times in 100: few picks are rare words, though most prefixes are
+    picks = [G.pick_prefix(random.Random(seed), base | {"min_count": 1}, rows) for seed in range(8)]
+    assert sum(p.startswith("hot") for p in picks) >= 6
+
+
 def test_files(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("Reg Date|My Time|7|V x|Name\n2020-01-02|01:02:03|5|1.5|a\n2020-01-03|00:00:01|oops|x|b\n")
