@@ -89,6 +89,8 @@ def sample_to_targets(
         fits.append((of, mix["target_permille"].to_numpy(float) / 1000 * size))
         weight = rake(n, fits)
         quota = quotas(mix["target_permille"].to_numpy(float), size, at_hand, mix["min_records"].to_numpy(np.int64))
+        unweighted = np.bincount(of, weight * n, len(mix)) == 0  # a minimum alone: its rows are drawn evenly
+        weight = np.where((unweighted & (quota > 0))[of], max(size, 1) / max(total, 1), weight)
         return frame.assign(weight=weight, at_hand=at_hand[of], quota=quota[of], total=total)
 
     added = [StructField("weight", DoubleType()), *(StructField(c, LongType()) for c in ("at_hand", "quota", "total"))]

@@ -46,3 +46,10 @@ def test_empty(spark):
     assert sample.count() == 0 and report.first().unmet
     sample, report = run(spark, [(1, "a", 1, 1.0, 1)], [])
     assert sample.count() == report.count() == 0
+
+
+def test_zero_target_with_minimum(spark):
+    rows = [(i, "hot", i % 2, 1.0, 1) for i in range(400)] + [(1000 + i, "least", i % 2, 1.0, 1) for i in range(30)] + [(2000 + i, "none", 0, 1.0, 1) for i in range(30)]
+    _, report = run(spark, rows, [(1, "hot", 1000, 10, 0), (1, "least", 0, 10, 7), (1, "none", 0, 10, 0), (2, "hot", 1000, 0, 3)])
+    found = {(r.mix_id, r.k): (r.quota, r.drawn, r.unmet) for r in report.collect()}
+    assert found == {(1, "hot"): (46, 46, False), (1, "least"): (7, 7, False), (1, "none"): (0, 0, False), (2, "hot"): (3, 3, False)}
