@@ -51,22 +51,29 @@ _STATS_KEYS = ["template", "num_tables", "samples_type"]
 _QUANTILES = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
 
-def _day_sketches(spark: SparkSession, d: str) -> DataFrame:
-    single = load(spark, d, "stats").where("summary_type = 'value'")
-    day = F.to_date("run_at").alias("day")
-    values = quantiles.distinct_values(single, "stat_id", [*(F.col(k) for k in _STATS_KEYS), day], "loss")
-    return quantiles.sketch_groups(values, [*_STATS_KEYS, "day"], "loss")
+def _sketches(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    single = load(spark, d, "stats").where("summary_type = 'value'").withColumn("day", F.to_date("run_at"))
+    return quantiles.sketch_groups(single, "stat_id", keys, "loss")
 
 
-def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles of each group over all days, from the merged sketches of the days."""
-    merged = quantiles.merge_sketches(_day_sketches(spark, d), _STATS_KEYS, list(_QUANTILES.values()))
+def _percentiles(sketches: DataFrame) -> DataFrame:
+    merged = quantiles.merge_sketches(sketches, _STATS_KEYS, list(_QUANTILES.values()))
     return merged.select(*_STATS_KEYS, "n", *(F.get("vals", F.lit(i)).alias(name) for i, name in enumerate(_QUANTILES)))
 
 
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each group over all days, from its sketch; the same as p3_from_days, as sketches are linear."""
+    return _percentiles(_sketches(spark, d, _STATS_KEYS))
+
+
 def p3_day_sketches(spark: SparkSession, d: str) -> DataFrame:
     """One sketch for each group and day, to be kept and merged later."""
-    return _day_sketches(spark, d)
+    return _sketches(spark, d, [*_STATS_KEYS, "day"])
+
+
+def p3_from_days(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each group from the sketches of separate days, added up."""
+    return _percentiles(p3_day_sketches(spark, d))
 
 
 def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -140,6 +147,7 @@ QUERIES = {
     "p2_splits": p2_splits,
     "p3_percentiles": p3_percentiles,
     "p3_day_sketches": p3_day_sketches,
+    "p3_from_days": p3_from_days,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_found": p6_found,
