@@ -170,7 +170,11 @@ def swap_directory(spark: SparkSession, staging: str, target: str) -> None:
             raise RuntimeError(f"cannot put {aside} back")
     if fs.exists(path(target)) and not fs.rename(path(target), path(aside)):
         raise RuntimeError(f"cannot set {target} aside")
-    if not fs.rename(path(staging), path(target)):
+    try:
+        moved = fs.rename(path(staging), path(target))
+    except Exception:  # noqa: BLE001 - some stores raise where others return false
+        moved = False
+    if not moved:
         if fs.exists(path(aside)):
             fs.rename(path(aside), path(target))
         raise RuntimeError(f"cannot move {staging} to {target}")
