@@ -1,19 +1,24 @@
 """Splits that keep related records together (problem 2): grouped iterative stratification.
 
 Rows that share a group key (template) or the same record (canonical query), directly or through further rows, form a
-component. Components are cut into placement units: every component with at least 1/8192 of all rows is a unit of its own,
-smaller ones are hashed whole into 8192 blocks. So at most 16,384 label vectors, whatever the size of the data, reach the
-driver, and no component is ever divided. Units are placed by iterative stratification: of the label with the fewest rows
-left to place, the unit with most of that label goes to the split whose outstanding need of it is largest.
+component, whose rows by label are its label vector. Components are placed by iterative stratification: of the label with
+the fewest rows left to place, a component with most of that label goes to the split whose outstanding need of it is
+largest. Components with equal vectors are alike to this rule, so the driver sees each distinct vector once, with its
+number of components, and decides how many of them go to each split; which ones, a rank within the vector tells. Vectors
+come to the driver in stretches of VECTORS, largest components first, so its memory is bounded however many there are; the
+rule holds within a stretch. No component is ever divided, and none is placed otherwise.
 
 Defined cases: a row with neither key nor record is a component of its own (by row id); null labels are a label of their
 own; an empty table gives an empty result; repeated rows stay together as they share their record; shares are scaled to
-add up to 1; ties are broken by the need over all labels, then by the order of the splits.
+add up to 1; ties are broken by the need over all labels, then by the order of the splits; labels are categories: more
+than MAX_LABELS distinct ones raise an error.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,9 +26,13 @@ from pyspark.sql import functions as F
 
 from joinlens.llm.canonical import HASHES
 from joinlens.llm.components import connected_components
+from joinlens.operators.windows import global_rank
 from joinlens.session import materialize
 
-UNITS = 8192
+#: Distinct label vectors on the driver at a time, and labels in all.
+VECTORS, MAX_LABELS = 1 << 18, 1 << 20
+#: Of many equal components, at least this part is placed in one step.
+STEP = 1024
 
 
 def template_key(column: str | Column) -> Column:
@@ -62,66 +71,110 @@ def row_components(hashed: DataFrame, row_id: str, key: str, linked: DataFrame)
     )
 
 
-def stratify(vectors: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """The split of each unit; vectors: units by labels, row counts."""
-    shares = shares / shares.sum()
-    need = np.outer(shares, vectors.sum(0)).astype(float)  # splits by labels
-    room = shares * vectors.sum()
-    left, placed = vectors.sum(0).astype(float), np.full(len(vectors), -1)
-    size = vectors.sum(1)
-    columns = [np.flatnonzero(vectors[:, j]) for j in range(vectors.shape[1])]
-    columns = [rows[np.argsort(-vectors[rows, j], kind="stable")] for j, rows in enumerate(columns)]
-    heap = [(left[j], j) for j in range(len(left)) if left[j] > 0]
-    heapq.heapify(heap)
-    at = [0] * len(left)
-    while heap:
-        amount, j = heapq.heappop(heap)
-        if amount != left[j]:
-            if left[j] > 0:
-                heapq.heappush(heap, (left[j], j))
-            continue
-        rows = columns[j]
-        while at[j] < len(rows) and placed[rows[at[j]]] >= 0:
-            at[j] += 1
-        if at[j] == len(rows):
-            continue
-        unit = rows[at[j]]
-        # a split that the unit would overfill stands back behind one with room for it
-        fits = np.minimum(room - size[unit], 0)
-        split = max(range(len(shares)), key=lambda s: (fits[s] if fits.max() < 0 else float(fits[s] == 0), need[s, j], room[s], -s))
-        placed[unit] = split
-        need[split] -= vectors[unit]
-        room[split] -= size[unit]
-        left -= vectors[unit]
-        if left[j] > 0:
-            heapq.heappush(heap, (left[j], j))
-    placed[placed < 0] = int(np.argmax(shares))
-    return placed
-
-
-def grouped_split(hashed: DataFrame, row_id: str, key: str, label: str, shares: list[tuple[str, float]], max_labels: int = 256) -> DataFrame:
-    """(row id, component, split) of every row of hashed, which has row_id, key, label and the record's hashes.
-
-    Labels beyond max_labels distinct values are hashed into max_labels buckets, which bounds the vectors' length.
+class Stratifier:
+    """What each split still needs, by label and in all; units are placed against it.
+
+    totals: rows by label; shares: one number a split.
     """
+
+    def __init__(self, totals: np.ndarray, shares: np.ndarray):
+        self.shares = shares / shares.sum()
+        self.need = np.outer(self.shares, totals).astype(float)  # splits by labels
+        self.room = self.shares * totals.sum()
+
+    def place(self, units: list[tuple[np.ndarray, np.ndarray, int]]) -> list[list[tuple[int, int]]]:
+        """[(split, number of components)...] of each unit (labels, rows of each, number of equal components)."""
+        left: dict[int, float] = {}
+        holders: dict[int, list[tuple[int, int]]] = {}
+        for u, (labels, rows, times) in enumerate(units):
+            for label, n in zip(labels.tolist(), rows.tolist(), strict=True):
+                left[label] = left.get(label, 0) + n * times
+                holders.setdefault(label, []).append((-n, u))
+        for of in holders.values():
+            of.sort()
+        at = dict.fromkeys(holders, 0)
+        sizes, rest = [int(rows.sum()) for _, rows, _ in units], [times for *_, times in units]
+        placed: list[list[tuple[int, int]]] = [[] for _ in units]
+        heap = [(n, label) for label, n in left.items()]
+        heapq.heapify(heap)
+        while heap:
+            amount, label = heapq.heappop(heap)
+            if amount != left[label]:
+                if left[label] > 0:
+                    heapq.heappush(heap, (left[label], label))
+                continue
+            of = holders[label]
+            while at[label] < len(of) and rest[of[at[label]][1]] == 0:
+                at[label] += 1
+            if at[label] == len(of):
+                continue
+            each, unit = -of[at[label]][0], of[at[label]][1]
+            labels, rows, _ = units[unit]
+            while rest[unit]:
+                split, count = self._choose(label, each, sizes[unit], rest[unit])
+                rest[unit] -= count
+                self.need[split, labels] -= rows * count
+                self.room[split] -= sizes[unit] * count
+                if placed[unit] and placed[unit][-1][0] == split:
+                    placed[unit][-1] = (split, placed[unit][-1][1] + count)
+                else:
+                    placed[unit].append((split, count))
+            for x, n in zip(labels.tolist(), rows.tolist(), strict=True):
+                left[x] -= n * units[unit][2]
+            if left[label] > 0:
+                heapq.heappush(heap, (left[label], label))
+        return placed
+
+    def _choose(self, label: int, each: int, size: int, count: int) -> tuple[int, int]:
+        """The split for the next of count equal components, and how many of them it takes before the rule looks again."""
+        need, fits = self.need[:, label], np.minimum(self.room - size, 0)
+        # a split that the component would overfill stands back behind one with room for it
+        split = max(range(len(need)), key=lambda s: (fits[s] if fits.max() < 0 else float(fits[s] == 0), need[s], self.room[s], -s))
+        rivals = [need[s] for s in range(len(need)) if s != split and fits[s] == 0]
+        most = (need[split] - max(rivals)) // each + 1 if rivals else count
+        if fits[split] == 0:
+            most = min(most, self.room[split] // size)
+        return split, int(min(count, max(most, count // STEP, 1)))
+
+
+def _stretches(vectors: DataFrame) -> Iterator[list]:
+    rows = vectors.toLocalIterator(prefetchPartitions=True)
+    while part := list(islice(rows, VECTORS)):
+        yield part
+
+
+def grouped_split(hashed: DataFrame, row_id: str, key: str, label: str, shares: list[tuple[str, float]]) -> DataFrame:
+    """(row id, component, split) of every row of hashed, which has row_id, key, label and the record's hashes."""
     spark = hashed.sparkSession
     hashed = hashed.select(row_id, key, label, *HASHES)
     rows = row_components(hashed, row_id, key, linked_keys(hashed, key))
-    bucket = F.pmod(F.xxhash64(F.coalesce(F.col(label).cast("string"), F.lit("\0"))), F.lit(2**31)).alias("__label")
-    rows = materialize(rows.select(row_id, "component", bucket), "split-rows")
-    sizes = rows.groupBy("component").agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.count()
-    block = F.concat(F.lit(" block_"), F.pmod(F.xxhash64("component"), F.lit(UNITS)).cast("string"))
-    units = sizes.select("component", F.when(F.col("__n") * UNITS >= total, F.col("component")).otherwise(block).alias("__unit"))
-    rows = rows.join(units, "component")
-    labels = {r[0] for r in rows.select("__label").distinct().limit(max_labels + 1).collect()}
-    fold = F.col("__label") if len(labels) <= max_labels else F.pmod("__label", F.lit(max_labels))
-    counts = rows.groupBy("__unit", fold.alias("__label")).count().collect()  # at most 2 * UNITS * max_labels numbers
-    names, codes = sorted({r[0] for r in counts}), sorted({r[1] for r in counts})
-    vectors = np.zeros((len(names), max(1, len(codes))), np.int64)
-    at, to = {n: i for i, n in enumerate(names)}, {c: i for i, c in enumerate(codes)}
-    for unit, code, n in counts:
-        vectors[at[unit], to[code]] += n
-    placed = stratify(vectors, np.array([s for _, s in shares], float))
-    where = spark.createDataFrame([(n, shares[p][0]) for n, p in zip(names, placed, strict=True)], "__unit string, split string")
-    return rows.join(F.broadcast(where), "__unit").select(row_id, "component", "split")  # at most 2 * UNITS rows
+    named = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("null")).alias("__label")
+    rows = materialize(rows.select(row_id, "component", named), "split-rows")
+    by_label = rows.groupBy("component", "__label").agg(F.count(F.lit(1)).alias("n"))
+    vector = F.array_sort(F.collect_list(F.struct(F.col("__label").alias("label"), "n")))  # one entry a label
+    parts = by_label.groupBy("component").agg(vector.alias("__vector"))
+    parts = materialize(parts.withColumn("__of", F.unhex(F.md5(F.to_json("__vector")))), "split-components")
+    totals = {r["__label"]: r["n"] for r in rows.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LABELS + 1).collect()}
+    if len(totals) > MAX_LABELS:
+        raise ValueError(f"{label} has more than {MAX_LABELS} values: stratify by a category")
+    place = {name: i for i, name in enumerate(sorted(totals))}
+    stratifier = Stratifier(np.array([totals[name] for name in place] or [0]), np.array([s for _, s in shares], float))
+    size = F.aggregate("v", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    vectors = parts.groupBy("__of").agg(F.first("__vector").alias("v"), F.count(F.lit(1)).alias("times"))
+    vectors = materialize(vectors.withColumn("__size", size), "split-vectors")
+    schema = "__of binary, __low long, __high long, split string"
+    made = spark.createDataFrame([], schema)
+    for stretch in _stretches(vectors.orderBy(F.desc("__size"), "__of")):
+        units = [(np.array([place[x["label"]] for x in r["v"]]), np.array([x["n"] for x in r["v"]]), r["times"]) for r in stretch]
+        chosen = []
+        for r, parts_of in zip(stretch, stratifier.place(units), strict=True):
+            low = 0
+            for split, count in parts_of:
+                chosen.append((bytes(r["__of"]), low, low + count, shares[split][0]))
+                low += count
+        made = made.unionByName(materialize(spark.createDataFrame(chosen, schema), "split-placed"))
+    ranked = global_rank(parts.select("__of", "component"), ["__of", "component"], "__at")
+    firsts = ranked.groupBy("__of").agg(F.min("__at").alias("__first"))
+    number = F.col("__at") - F.col("__first")
+    placed = ranked.join(firsts, "__of").join(made, "__of").where((number >= F.col("__low")) & (number < F.col("__high"))).select("component", "split")
+    return rows.join(placed, "component").select(row_id, "component", "split")

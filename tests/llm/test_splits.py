@@ -70,14 +70,59 @@ def test_small_and_empty(spark):
     assert [r.split for r in one] == ["train"]
 
 
+def place(vectors, times, shares):
+    """Rows by split and label after placing all units."""
+    times = np.asarray(times)
+    st = splits.Stratifier((vectors * times[:, None]).sum(0), np.array(shares))
+    units = [(np.flatnonzero(v), v[v > 0], int(t)) for v, t in zip(vectors, times)]
+    placed = st.place(units)
+    assert [sum(n for _, n in p) for p in placed] == [t if v.any() else 0 for v, t in zip(vectors, times)]
+    out = np.zeros((len(shares), vectors.shape[1]))
+    for v, parts in zip(vectors, placed):
+        for split, n in parts:
+            out[split] += v * n
+    return out
+
+
 def test_shares_and_labels():
     rng = np.random.default_rng(4)
     few = (rng.random((4000, 8)) < 0.05) * rng.integers(1, 40, (4000, 8))  # units with few labels, as components have
     for vectors, bound in ((few, 0.01), (rng.integers(0, 5, (4000, 6)), 0.05)):
-        placed = splits.stratify(vectors, np.array([0.8, 0.1, 0.1]))
+        found = place(vectors, np.ones(len(vectors), int), (0.8, 0.1, 0.1))
         for s, share in enumerate((0.8, 0.1, 0.1)):
-            assert np.abs(vectors[placed == s].sum(0) / vectors.sum(0) - share).max() < bound
-            assert abs(vectors[placed == s].sum() / vectors.sum() - share) < 0.005
+            assert np.abs(found[s] / vectors.sum(0) - share).max() < bound
+            assert abs(found[s].sum() / vectors.sum() - share) < 0.005
+
+
+def test_equal_vectors_are_as_good_as_single_units():
+    vectors, times = np.array([[1, 0], [0, 1], [3, 1], [50, 7]]), np.array([20_000, 3_000, 400, 6])
+    whole = (vectors * times[:, None]).sum(0)
+    for v, t in ((vectors, times), (np.repeat(vectors, times, 0), np.ones(times.sum(), int))):
+        found = place(v, t, (0.8, 0.1, 0.1))
+        assert np.abs(found / whole - np.array([[0.8], [0.1], [0.1]])).max() < 0.001
+    many = place(vectors, times * 10**9, (0.8, 0.1, 0.1))  # no loop over components
+    assert np.abs(many / (whole * 10**9) - np.array([[0.8], [0.1], [0.1]])).max() < 0.005
+
+
+def test_every_component_is_placed_by_its_labels(spark, monkeypatch):
+    """A rare label in single-row components: hashing these into blocks would scatter it, placing them does not."""
+    rng = random.Random(9)
+    rows = [(i, f"k{i}", i % 3 if i % 50 else 1000 + i % 400, f"select {i} from t", "") for i in range(4000)]
+    rows += [(4000 + i, "hot", rng.randint(0, 2), f"choose {i} from u", "") for i in range(2000)]  # a third of the rows
+    for stretch in (splits.VECTORS, 5):
+        monkeypatch.setattr(splits, "VECTORS", stretch)
+        found = {r.qid: r for r in splits.grouped_split(rows_of(spark, rows), "qid", "template_key", "n_tables", [("train", 0.8), ("val", 0.1), ("test", 0.1)]).collect()}
+        assert len(found) == 6000 and len({found[r[0]].split for r in rows if r[1] == "hot"}) == 1
+        for split, share in (("train", 0.8), ("val", 0.1), ("test", 0.1)):
+            assert abs(sum(r.split == split for r in found.values()) / 6000 - share) < 0.002
+            rare = [found[r[0]].split == split for r in rows if r[2] >= 1000]
+            assert stretch == 5 or abs(sum(rare) / len(rare) - share) < 0.03
+    monkeypatch.setattr(splits, "MAX_LABELS", 4)
+    try:
+        splits.grouped_split(rows_of(spark, rows), "qid", "template_key", "n_tables", [("train", 1.0)])
+        raise AssertionError
+    except ValueError:
+        pass
 
 
 def test_linked_keys(spark):
