@@ -14,12 +14,12 @@ def _hashed(spark: SparkSession, d: str, *keep: str) -> DataFrame:
     return materialize(canonical.with_query_hash(load(spark, d, "qrep"), "sql", list(columns)), "query-hash")
 
 
-def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = load(spark, d, "qrep").select("qid", splits.template_key("template_name").alias("template_key"), "n_tables")
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = load(spark, d, "qrep").select("qid", splits.template_key("template_name").alias("template_key"), "n_tables", "split")
     targets = load(spark, d, "mix_targets").select(
         "mix_id", splits.template_key("template_name").alias("template_key"), "target_permille", "sample_percent", "min_records"
     )
-    return mixture.sample_to_targets(rows, "qid", "template_key", ["n_tables"], targets)
+    return mixture.sample_to_targets(rows, "qid", "template_key", ["n_tables", "split"], targets)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +32,12 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return _mixture(spark, d)[1].select("mix_id", "template_key", "at_hand", "quota", "drawn", "target_share", "drawn_share", "gap", "unmet")
+    return _mixture(spark, d)[1].select("mix_id", "template_key", "at_hand", "quota", "drawn", "target_share", "drawn_share", "gap", "fit_error", "unmet")
+
+
+def p1_margins(spark: SparkSession, d: str) -> DataFrame:
+    """The gap that remains in every further margin of every mix."""
+    return _mixture(spark, d)[2]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -143,6 +148,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_sample": p1_sample,
     "p1_report": p1_report,
+    "p1_margins": p1_margins,
     "p2_found": p2_found,
     "p2_splits": p2_splits,
     "p3_percentiles": p3_percentiles,
