@@ -6,9 +6,12 @@ members of an IN list and the two sides of an equality between columns. Its 192-
 hash and a 64-bit check; classes are built by an aggregate on them, so copies are counted map-side before any shuffle and
 two texts that share the class hash by accident are kept apart by the check.
 
-Defined cases: a null text has null hashes and forms no class of copies (the collapse returns one row with n_copies for
-all of them, flagged is_query = false); a blank text is the same as null; a text outside the dialect is compared token by
-token, in its own order; repeated rows count as copies; further columns are ignored.
+Quoted values are unescaped and escaped anew, so that no value can be taken for syntax; a number is one token with its
+sign, fraction and exponent, quoted or not, and is compared as it is written.
+
+Defined cases: a null text has null hashes and is a copy of nothing (the collapse keeps each such row by itself, flagged
+is_query = false); a blank text is the same as null; a text outside the dialect is compared token by token, in its own
+order; repeated rows count as copies; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,18 +26,24 @@ from pyspark.sql import functions as F
 
 from joinlens.session import spread
 
-_TOKEN = re.compile(r"""'(?:[^']|'')*'|"[^"]*"|`[^`]*`|[\w.$]+|<=|>=|<>|!=|==|!~\*?|~\*?|::|[^\s]""")
-_NUMBER = re.compile(r"[+-]?\d+(?:\.\d+)?\Z")
+_NUM = r"(?:\d+(?:\.\d*)?|\.\d+)(?:e[+-]?\d+)?"
+_TOKEN = re.compile(rf"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`|{_NUM}(?![\w.$])|[\w.$]+|<=|>=|<>|!=|==|!~\*?|~\*?|::|[^\s]""")
+_NUMBER = re.compile(rf"[+-]?{_NUM}\Z")
 _COLUMN = re.compile(r"[a-z_]\w*(?:\.[a-z_]\w*)*\Z")
 _TAIL = {"group", "order", "having", "limit", "union"}
+#: Tokens after which a sign belongs to the number that follows.
+_BEFORE_SIGN = {"=", "==", "<", ">", "<=", ">=", "<>", "!=", "(", ",", "and", "or", "between", "in", "like", "ilike", "not", "where", "select", "limit"}
 
 
 def _tokens(text: str) -> list[str]:
-    out = []
+    out: list[str] = []
     for token in _TOKEN.findall(text.lower()):
-        if token[0] in "'\"`" and len(token) > 1:
-            inner = " ".join(token[1:-1].split())
-            token = inner if _NUMBER.match(inner) else f"'{inner}'"
+        mark = token[0]
+        if mark in "'\"`" and len(token) > 1:
+            inner = " ".join(token[1:-1].replace(mark * 2, mark).split())
+            token = inner if _NUMBER.match(inner) else "'" + inner.replace("'", "''") + "'"
+        elif len(out) > 1 and out[-1] in "+-" and out[-2] in _BEFORE_SIGN and _NUMBER.match(token):
+            token = out.pop() + token
         out.append(token)
     while out and out[-1] == ";":
         out.pop()
@@ -76,6 +85,18 @@ def _unwrap(tokens: list[str]) -> list[str]:
     return tokens
 
 
+def _top_level(tokens: list[str], word: str) -> int:
+    """Where a word stands outside brackets, after the first token; 0 if it does not."""
+    if word not in tokens:
+        return 0
+    depth = 0
+    for at, token in enumerate(tokens):
+        depth += (token == "(") - (token == ")")
+        if at and depth == 0 and token == word:
+            return at
+    return 0
+
+
 def _condition(tokens: list[str]) -> str:
     tokens = _unwrap(tokens)
     for word in ("or", "and"):
@@ -83,13 +104,14 @@ def _condition(tokens: list[str]) -> str:
             parts = _split(tokens, word)
             if len(parts) > 1:
                 return f"{word}({' ; '.join(sorted(map(_condition, parts)))})"
-    if len(tokens) == 3 and tokens[1] == "=" and _COLUMN.match(tokens[0]) and _COLUMN.match(tokens[2]):
-        return " = ".join(sorted((tokens[0], tokens[2])))
-    if tokens and tokens[-1] == ")" and "in" in tokens[1:3]:
-        at = tokens.index("in", 1)
-        if tokens[at + 1] == "(" and tokens[at + 2 : at + 3] != ["select"]:
-            values = sorted(" ".join(v) for v in _split(tokens[at + 2 : -1], ","))
-            return f"{' '.join(tokens[: at + 1])} ({' , '.join(values)})"
+    at = _top_level(tokens, "=")
+    if at:
+        sides = [" ".join(_unwrap(side)) if len(_unwrap(side)) == 1 else " ".join(side) for side in (tokens[:at], tokens[at + 1 :])]
+        return " = ".join(sorted(sides) if all(map(_COLUMN.match, sides)) else sides)
+    at = _top_level(tokens, "in")
+    if at and tokens[-1] == ")" and tokens[at + 1] == "(" and tokens[at + 2 : at + 3] != ["select"]:
+        values = sorted(" ".join(v) for v in _split(tokens[at + 2 : -1], ","))
+        return f"{' '.join(tokens[: at + 1])} ({' , '.join(values)})"
     if tokens and tokens[0] == "not":
         return f"not {_condition(tokens[1:])}"
     return " ".join(tokens)
@@ -151,11 +173,20 @@ def with_query_hash(df: DataFrame, text: str, keep: list[str | Column], digest:
 
 def collapse(hashed: DataFrame, row_id: str) -> DataFrame:
     """One row per class of equal records: smallest id, number of copies, hashes. hashed: of with_query_hash."""
-    return (
-        hashed.groupBy(*HASHES)
-        .agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("n_copies"))
-        .withColumn("is_query", F.col("hash_lo").isNotNull())
-    )
+    classes = hashed.where("hash_lo IS NOT NULL").groupBy(*HASHES).agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias("n_copies"))
+    none = hashed.where("hash_lo IS NULL").select(*HASHES, row_id, F.lit(1).cast("long").alias("n_copies"))
+    return classes.unionByName(none).withColumn("is_query", F.col("hash_lo").isNotNull())
+
+
+def account(classes: DataFrame) -> DataFrame:
+    """One row: rows, queries, copies beyond the first, rows that hold no query, and records that share a 128-bit hash."""
+    shared = hash_collisions(classes).agg(F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_collisions"))
+    query = F.col("is_query")
+    sums = classes.agg(
+        F.coalesce(F.sum("n_copies"), F.lit(0)).alias("n_rows"), F.count_if(query).alias("n_queries"),
+        F.coalesce(F.sum(F.when(query, F.col("n_copies") - 1)), F.lit(0)).alias("n_surplus"), F.count_if(~query).alias("n_without"),
+    )
+    return sums.crossJoin(F.broadcast(shared))  # single rows
 
 
 def hash_collisions(classes: DataFrame) -> DataFrame:

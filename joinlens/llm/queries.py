@@ -110,6 +110,11 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     return canonical.collapse(_hashed(spark, d, "qid"), "qid").select("qid", "n_copies", "is_query")
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """The account of the collapse, hash collisions included."""
+    return canonical.account(materialize(canonical.collapse(_hashed(spark, d, "qid"), "qid"), "query-classes"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_column(load(spark, d, "documents").select("doc_id", "text"), "text")
 
@@ -158,6 +163,7 @@ QUERIES = {
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
+    "p6_report": p6_report,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p8_fill": p8_fill,
