@@ -2,13 +2,17 @@
 
 A record is the set of its distinct words; equal sets are joined once, as one representative. Words are put in a global
 order, rarest first. For similarity t and |x| words, two matching sets share at least a = ceil(t |x|) words, so the first
-two words they share (in the global order) both stand within the first |x| - a + 2 words of each: representatives are
-indexed under every pair of words of that prefix, and an evaluation set meets a training set only where they share a pair.
-Sets so small that one shared word is enough (a < 2) are also indexed under single words. Length and position filters cut
-candidates within the join, word arrays are compared for the rest. Nothing is estimated and no candidate is dropped.
-
-A pair key is shared by far fewer rows than a single word, whose posting lists grow with the data while the vocabulary
-does not. A key that still is hot is a skewed join partition, which AQE splits on both sides.
+k words they share (in the global order) all stand within the first |x| - a + k words of each. Evaluation sets are indexed
+under the combinations of k words of that prefix, training sets probe with theirs, and two sets meet only where they share
+one. Length and position filters cut candidates within the join, word arrays are compared for the rest. Nothing is
+estimated and no candidate is dropped.
+
+The depth k: sets of at most PAIR_WORDS words are indexed by pairs, whose posting lists are far shorter than those of
+single words, which grow with the data while the vocabulary does not. Longer sets are indexed by single words (their
+prefixes are long, and pairs would grow with the square of it); sets between PAIR_WORDS and PAIR_WORDS / t words, which may
+match a set on either side, have both. So entries stay linear in the words of a record. Sets so small that one shared word
+is enough (a < 2) are also indexed under single words. A key that still is hot is a skewed join partition, which AQE splits
+on both sides.
 
 Words are compared by 64-bit hashes. Only the order of the frequent_words commonest words is broadcast (a fixed number of
 rows); all others count as rare and are ordered by hash. Any order is exact, this one keeps keys rare.
@@ -25,53 +29,60 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joinlens.session import materialize
 
 
+#: Sets of up to so many words are indexed by pairs of words.
+PAIR_WORDS = 128
+
+
 def word_set(text: str | Column) -> Column:
     """Hashes of the distinct maximal runs of a-z, 0-9 and _ in the lower-cased text, sorted."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9_]+)"), F.lit(1))
     return F.array_sort(F.transform(F.array_distinct(words), lambda w: F.xxhash64(w)))
 
 
-def _prefix_keys(lengths: np.ndarray, flat: np.ndarray, rank: np.ndarray, t: Fraction) -> tuple[np.ndarray, ...]:
+def _prefix_keys(lengths: np.ndarray, flat: np.ndarray, rank: np.ndarray, t: Fraction, pair_words: int) -> tuple[np.ndarray, ...]:
     """(row, key, first position, second position) of every index entry; rank orders the words."""
     row = np.repeat(np.arange(len(lengths)), lengths)
     order = np.lexsort((flat, rank, row))
     flat = flat[order]  # rows stay in place, their words now in global order
     start = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     rows, keys, first, second = [], [], [], []
-    for n in np.unique(lengths[lengths > 0]):
-        of = np.flatnonzero(lengths == n)
-        least = math.ceil(t * int(n))
-        words = flat[start[of][:, None] + np.arange(n)].astype(np.uint64)
-        wide = min(int(n), int(n) - least + 2)
-        i, j = np.triu_indices(wide, 1)
-        with np.errstate(over="ignore"):
-            pair = words[:, i] * np.uint64(0x9E3779B97F4A7C15) + (words[:, j] ^ (words[:, j] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        if least < 2:
-            narrow = int(n) - least + 1
-            pair = np.concatenate((pair, words[:, :narrow]), 1)
-            i, j = np.concatenate((i, np.arange(narrow))), np.concatenate((j, np.arange(narrow)))
+
+    def put(of: np.ndarray, key: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         rows.append(np.repeat(of, len(i)))
-        keys.append(pair.ravel())
+        keys.append(key.ravel())
         first.append(np.tile(i, len(of)))
         second.append(np.tile(j, len(of)))
+
+    for n in np.unique(lengths[lengths > 0]).tolist():
+        of = np.flatnonzero(lengths == n)
+        least = math.ceil(t * n)
+        prefix = flat[start[of][:, None] + np.arange(min(n, n - least + 2))].astype(np.uint64)
+        if n * t <= pair_words:
+            i, j = np.triu_indices(prefix.shape[1], 1)
+            with np.errstate(over="ignore"):
+                pair = prefix[:, i] * np.uint64(0x9E3779B97F4A7C15) + (prefix[:, j] ^ (prefix[:, j] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            put(of, pair, i, j)
+        if n > pair_words or least < 2:
+            i = np.arange(n - least + 1)
+            put(of, prefix[:, : len(i)], i, i)
     if not rows:
         return (np.zeros(0, np.int64),) * 4
     return tuple(map(np.concatenate, (rows, keys, first, second)))
 
 
-def _index(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], t: Fraction) -> DataFrame:
-    """(key, set_id, n, i, j, in_eval, in_train): the prefix entries of every representative."""
-    spark = sets.sparkSession
-    shared = spark.sparkContext.broadcast(common)
+def _index(sets: DataFrame, side: str, common: Broadcast, t: Fraction, pair_words: int) -> DataFrame:
+    """(key, <side>_set, <side>_n, <side>_i, <side>_j): the prefix entries of every representative."""
+    names = ["key", *(f"{side}_{c}" for c in ("set", "n", "i", "j"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = shared.value
+        known, place = common.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -80,20 +91,19 @@ def _index(sets: DataFrame, common: tuple[np.ndarray, np.ndarray], t: Fraction)
                 flat = lists.flatten().to_numpy()
                 spot = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
                 rank = np.where(known[spot] == flat, place[spot], 0) if len(known) else np.zeros(len(flat), np.int64)
-                rows, keys, first, second = _prefix_keys(lengths, flat, rank, t)
-                index = pa.array(rows)
+                rows, keys, first, second = _prefix_keys(lengths, flat, rank, t, pair_words)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.astype(np.int64)), part.column(0).take(index), pa.array(lengths[rows].astype(np.int32)),
-                     pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32)), part.column(2).take(index), part.column(3).take(index)],
-                    ["key", "set_id", "n", "i", "j", "in_eval", "in_train"],
+                    [pa.array(keys.astype(np.int64)), part.column(0).take(pa.array(rows)), pa.array(lengths[rows].astype(np.int32)),
+                     pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32))], names,
                 )
 
-    schema = "key long, set_id binary, n int, i int, j int, in_eval boolean, in_train boolean"
-    return sets.select("set_id", "words", "in_eval", "in_train").mapInArrow(run, schema)
+    schema = "key long, " + ", ".join(f"{side}_{c} {kind}" for c, kind in (("set", "binary"), ("n", "int"), ("i", "int"), ("j", "int")))
+    return sets.select("set_id", "words").mapInArrow(run, schema)
 
 
 def cross_overlaps(
-    rows: DataFrame, row_id: str, text: str, in_eval: Column, in_train: Column, similarity: str = "0.85", frequent_words: int = 65536
+    rows: DataFrame, row_id: str, text: str, in_eval: Column, in_train: Column, similarity: str = "0.85", frequent_words: int = 65536,
+    pair_words: int = PAIR_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(links, members): links eval_set, train_set, overlap, n_eval, n_train (a set that stands on both sides links to
     itself), members set_id, row id, in_eval. similarity is a decimal text, so that the threshold is exact."""
@@ -112,12 +122,14 @@ def cross_overlaps(
     known = top["w"].to_numpy(np.int64)
     place = len(top) - np.arange(len(top))  # the commonest word comes last
     by_word = np.argsort(known)
-    entries = materialize(_index(sets, (known[by_word], place[by_word]), t), "overlap-index")
-    e, r = (entries.where(side).select("key", F.col("set_id").alias(f"{s}_set"), *(F.col(c).alias(f"{s}_{c}") for c in "nij")) for s, side in (("e", "in_eval"), ("r", "in_train")))
+    common = rows.sparkSession.sparkContext.broadcast((known[by_word], place[by_word]))
+    e, r = (_index(sets.where(side), name, common, t, pair_words) for name, side in (("e", "in_eval"), ("r", "in_train")))
     num, den = t.numerator, t.denominator
+    # entries under one word stand for the first shared word, those under two for the first two
+    same_depth = (F.col("e_i") == F.col("e_j")) == (F.col("r_i") == F.col("r_j"))
     most = F.when(F.col("e_i") == F.col("e_j"), 1).otherwise(2) + F.least(F.col("e_n") - F.col("e_j"), F.col("r_n") - F.col("r_j")) - 1
     candidates = (
-        e.join(r, "key").where(F.col("e_set") != F.col("r_set"))
+        e.join(r, "key").where((F.col("e_set") != F.col("r_set")) & same_depth)
         .where((F.col("e_n") * den >= F.col("r_n") * num) & (F.col("r_n") * den >= F.col("e_n") * num))
         .where(most * (num + den) >= num * (F.col("e_n") + F.col("r_n")))
         .select("e_set", "r_set").distinct()

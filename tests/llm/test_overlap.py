@@ -44,7 +44,8 @@ def test_equals_brute_force(spark, t):
         text = rng.choice([" ", ", ", "\n"]).join(w)
         rows.append((i, rng.choice([text, text.upper()]), rng.choice(["train", "train", "val", "test", None])))
     rows += [(900, None, "val"), (901, "", "train"), (902, "?!", "test"), (903, "?!", "train")]
-    links, members = found(spark, rows, t, frequent_words=20)
+    links, members = found(spark, rows, t, frequent_words=20, pair_words=12)  # single words beyond, both near the limit
+    assert {tuple(r) for r in found(spark, rows, t)[0].select("eval_set", "train_set").collect()} == {tuple(r)[:2] for r in links.collect()}
     pairs = [tuple(r) for r in O.overlap_pairs(links, members, "id").collect()]
     assert len(pairs) == len(set(pairs)) and set(pairs) == brute(rows, t)
     per_row = {r.id: r.n_train_rows for r in O.overlap_rows(links, members, "id").collect()}
@@ -62,3 +63,11 @@ def test_hot_copies_and_long_text(spark):
 def test_empty_sides(spark):
     assert found(spark, [], "0.85")[0].count() == 0
     assert found(spark, [(1, "a b", "train")], "0.85")[0].count() == 0
+
+
+def test_entries_stay_linear():
+    import numpy as np
+
+    for n in (10, 100, 129, 150, 151, 1000, 20_000):
+        entries = len(O._prefix_keys(np.array([n]), np.arange(n), np.zeros(n, np.int64), Fraction("0.85"), O.PAIR_WORDS)[0])
+        assert entries <= 3 * n
