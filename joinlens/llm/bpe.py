@@ -15,8 +15,9 @@ from __future__ import annotations
 import base64
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from joinlens.session import spread
@@ -52,11 +53,10 @@ class _Words(dict):
 
 
 class BytePairEncoder:
-    """Encoder and decoder of one vocabulary file (base64 token and rank a line)."""
+    """Encoder and decoder of one vocabulary (the bytes of a file with a base64 token and its rank a line)."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, vocabulary: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, vocabulary.splitlines()))}
         self.strings = {rank: token for token, rank in self.ranks.items()}
         self.words = regex.compile(PATTERN).findall
         self.ids = _Words(self._word)
@@ -113,10 +113,33 @@ def _utf8(word: str) -> bytes:
         return word.encode("utf-16", "surrogatepass").decode("utf-16", "replace").encode("utf-8")
 
 
+def _vocabulary(tokenizer: str, directory: str) -> bytes:
+    with open(os.path.join(directory, f"{tokenizer}.tiktoken"), "rb") as file:
+        return file.read()
+
+
 @lru_cache(maxsize=4)
 def encoder(tokenizer: str = "byte_bpe_50k", directory: str = DEFAULT_DIR) -> BytePairEncoder:
-    """The encoder of a vocabulary, once for each Python worker; the file is read where the worker runs."""
-    return BytePairEncoder(os.path.join(directory, f"{tokenizer}.tiktoken"))
+    """The encoder of a vocabulary file of this machine."""
+    return BytePairEncoder(_vocabulary(tokenizer, directory))
+
+
+#: Encoders of a Python worker, by the digest of their vocabulary.
+_BUILT: dict[bytes, BytePairEncoder] = {}
+
+
+def shipped(spark: SparkSession, tokenizer: str, directory: str) -> Callable[[], BytePairEncoder]:
+    """A function for tasks that gives the encoder. The file is read by the driver alone and its bytes (about a megabyte)
+    are broadcast; every worker builds its encoder once."""
+    raw = _vocabulary(tokenizer, directory)
+    digest, shared = blake2b(raw, digest_size=16).digest(), spark.sparkContext.broadcast(raw)
+
+    def get() -> BytePairEncoder:
+        if digest not in _BUILT:
+            _BUILT[digest] = BytePairEncoder(shared.value)
+        return _BUILT[digest]
+
+    return get
 
 
 def _chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -140,8 +163,10 @@ def encode_column(df: DataFrame, text: str, output: str = "ids", tokenizer: str
     narrow = df.select(*columns)
     schema = StructType([*narrow.schema.fields[:kept], StructField(output, ArrayType(IntegerType()))])
 
+    get = shipped(df.sparkSession, tokenizer, directory)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, directory)
+        coder = get()
         for batch in batches:
             for part in _chunks(batch, at):
                 ids, offsets = array("i"), [0]
@@ -162,8 +187,10 @@ def count_column(df: DataFrame, text: str, output: str = "n_tokens", tokenizer:
     narrow = df.select(*columns)
     schema = StructType([*narrow.schema.fields[:at], StructField(output, LongType())])
 
+    get = shipped(df.sparkSession, tokenizer, directory)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, directory)
+        coder = get()
         for batch in batches:
             sizes = pa.array([coder.count(value) for value in batch.column(at).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], sizes], [*batch.schema.names[:at], output])

@@ -7,7 +7,8 @@ holds them, then to new containers. The plan is a list of segments "items a..b o
 container c on". Items are numbered within their size without a global sort (rank within a hash bucket plus the sizes of
 the buckets before), and looked up in the segments, so assignment is one pass.
 
-A text larger than a container is cut into full containers of its token sequence and a rest, nothing else is cut.
+A text larger than a container is cut into full containers of its token sequence and a rest, nothing else is cut. Items
+are given by token offsets (part, token_from, n_tokens of the text's ids), not by text: a cut may fall within a character.
 
 Defined cases: null and empty texts have size 0 and are spread over the containers evenly; repeated texts and ids are items
 of their own; an empty table gives no containers; ties within a size are broken by the item's id.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from joinlens.session import materialize
 
-#: Hash buckets in which items of one size are ranked.
-BUCKETS = 256
+#: Items of one size that are ranked in one task: there are as many hash buckets as the commonest size needs.
+BUCKET_ITEMS = 1 << 16
 
 
 class _Gaps:
@@ -131,13 +132,15 @@ def token_items(sized: DataFrame, item_id: str, size: str, capacity: int) -> Dat
 
 def pack(items: DataFrame, item_id: str, capacity: int) -> DataFrame:
     """items (id, part, token_from, n_tokens) with the container of each."""
-    items = materialize(items.withColumn("__b", F.pmod(F.xxhash64(item_id, "part"), F.lit(BUCKETS))), "pack-items")
-    per_bucket = items.groupBy("n_tokens", "__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy("n_tokens").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.withColumn("__offset", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    items = materialize(items.select(item_id, "part", "token_from", "n_tokens"), "pack-items")
     counts = np.zeros(capacity + 1, np.int64)
     for n, c in items.groupBy("n_tokens").count().collect():  # at most capacity + 1 rows
         counts[n] = c
+    buckets = max(1, -(-int(counts.max()) // BUCKET_ITEMS)) * 2  # hashed, so half full on average
+    items = items.withColumn("__b", F.pmod(F.xxhash64(F.lit(1), item_id, "part"), F.lit(buckets)))
+    per_bucket = items.groupBy("n_tokens", "__b").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy("n_tokens").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.withColumn("__offset", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
     segments, containers = plan(counts, capacity)
     segments = segments[np.lexsort((segments[:, 1], segments[:, 0]))]
     shared = items.sparkSession.sparkContext.broadcast((segments, max(1, containers)))

@@ -8,7 +8,9 @@ the end of a whole character. The next piece starts the overlap before the cut.
 never exceeds the limit; where it would (a cut can change how white space is read) the window is shortened.
 
 Defined cases: null and empty texts are one piece without tokens; texts within the limit stay whole; a start inside a
-character moves left to its beginning, so an overlap may be up to three tokens longer; repeated rows are split each.
+character moves left to its beginning, so an overlap may be up to three tokens longer; where the overlap would leave no
+progress (a piece that had to be cut shorter than it) the next piece shares half of the piece;
+`shared` tells the tokens each piece has in common with the one before; repeated rows are split each.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from joinlens.llm.bpe import DEFAULT_DIR, BytePairEncoder, encoder
+from joinlens.llm.bpe import DEFAULT_DIR, BytePairEncoder, shipped
 from joinlens.session import spread
 
 #: Tokens over which one sparse table reaches, beyond a piece.
@@ -72,6 +74,9 @@ def split_text(text: str, coder: BytePairEncoder, limit: int, overlap: int) -> l
     if limit < overlap + 8:
         raise ValueError("the limit must exceed the overlap by 8 tokens or more")
     words = coder.words(text)
+    if len(text.encode("utf-8", "surrogatepass")) <= limit:  # a token holds a byte or more: whole, only counted
+        n = sum(map(coder.sizes.__getitem__, words))
+        return [(0, n, 0, len(text), n)]
     sizes = np.fromiter(map(coder.sizes.__getitem__, words), np.int64, len(words))
     ends = np.cumsum(sizes)
     n = int(ends[-1]) if len(ends) else 0
@@ -126,45 +131,43 @@ def split_text(text: str, coder: BytePairEncoder, limit: int, overlap: int) -> l
             size = coder.count(text[char_from:char_to])
             if size <= limit:
                 break
-            high = min(high, cut) - max(1, size - limit)
+            high = min(min(high, cut) - 1, start + (min(high, cut) - start) * limit // size)
         pieces.append((start, cut, char_from, char_to, size))
         if cut == n:
             return pieces
-        following = whole_left(cut - overlap)
-        start = following if following > start else cut
+        begins_at = (whole_left(cut - overlap), whole_left(cut - (cut - start) // 2), cut)
+        start = next(x for x in begins_at if x > start)
 
 
 def split_column(
     df: DataFrame, item_id: str, text: str, limit: int, overlap: int, tokenizer: str = "byte_bpe_50k",
-    directory: str = DEFAULT_DIR, with_text: bool = True, count_short: bool = True,
+    directory: str = DEFAULT_DIR, with_text: bool = True,
 ) -> DataFrame:
-    """The pieces of each text: id, piece, n_pieces, token_from, token_to, char_from, char_to, n_tokens, piece_text.
+    """The pieces of each text: id, piece, n_pieces, token_from, token_to, char_from, char_to, n_tokens, shared, piece_text.
 
-    A token holds a byte or more, so a text of at most limit bytes is whole without being encoded; its tokens are counted
-    only if count_short, else n_tokens and token_to are null. piece_text is left out unless with_text.
+    piece_text is left out unless with_text. Every text is encoded in whole.
     """
     narrow = df.select(item_id, text)
-    ints = ["piece", "n_pieces", "token_from", "token_to", "char_from", "char_to", "n_tokens"]
+    ints = ["piece", "n_pieces", "token_from", "token_to", "char_from", "char_to", "n_tokens", "shared"]
     more = StructType.fromDDL(", ".join(f"{c} long" for c in ints) + (", piece_text string" if with_text else ""))
     schema = StructType([narrow.schema.fields[0], *more.fields])
 
+    get = shipped(df.sparkSession, tokenizer, directory)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer, directory)
+        coder = get()
         for batch in batches:
             bytes_ = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
             rows: list[list] = [[] for _ in ints]
             source, texts, held = [], [], 0
             for at in range(batch.num_rows):
                 value = batch.column(1)[at].as_py()
-                if bytes_[at] > limit:
-                    pieces = split_text(value, coder, limit, overlap)
-                else:
-                    size = coder.count(value) if count_short else None
-                    pieces = [(0, size, 0, len(value or ""), size)]
+                pieces, upto = split_text(value or "", coder, limit, overlap), 0
                 for k, piece in enumerate(pieces):
                     source.append(at)
-                    for into, x in zip(rows, (k, len(pieces), *piece), strict=True):
+                    for into, x in zip(rows, (k, len(pieces), *piece, max(0, upto - piece[0])), strict=True):
                         into.append(x)
+                    upto = piece[1]
                     if with_text:
                         texts.append(value and value[piece[2] : piece[3]])
                 held += int(bytes_[at])

@@ -140,7 +140,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that the splitter cuts."""
     tokenizer, limit, shared = _budget(spark, d, "piece")
-    cut = pieces.split_column(load(spark, d, "documents"), "doc_id", "text", limit, shared, tokenizer, with_text=False, count_short=False)
+    cut = pieces.split_column(load(spark, d, "documents"), "doc_id", "text", limit, shared, tokenizer, with_text=False)
     return cut.where("n_pieces > 1 AND piece = 0").select("doc_id")
 
 

@@ -52,7 +52,7 @@ def test_long_words_take_linear_time_nearly():
 
 def test_bounded_cache(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
-    coder = bpe.BytePairEncoder(f"{bpe.DEFAULT_DIR}/byte_bpe_50k.tiktoken")
+    coder = bpe.BytePairEncoder(open(f"{bpe.DEFAULT_DIR}/byte_bpe_50k.tiktoken", "rb").read())
     text = " ".join(f"word{i}" for i in range(200))
     assert coder.decode(coder.encode(text)) == text and len(coder.ids) <= 10
 
@@ -68,3 +68,13 @@ def test_columns(spark):
     sizes = {r.doc_id: r.n_tokens for r in bpe.count_column(df, "text").collect()}
     assert all(sizes[i] == (len(want(t)) if t else 0) for i, t, _, _ in rows)
     assert bpe.encode_column(df.limit(0), "text").count() == 0
+
+
+def test_only_the_driver_needs_the_file(spark, tmp_path):
+    """The folder is gone when the tasks run."""
+    folder = tmp_path / "vocabulary"
+    folder.mkdir()
+    (folder / "own.tiktoken").write_bytes(open(f"{bpe.DEFAULT_DIR}/byte_bpe_50k.tiktoken", "rb").read() + b"\n")
+    made = bpe.encode_column(spark.createDataFrame([(1, "some text")], "i int, t string"), "t", tokenizer="own", directory=str(folder))
+    (folder / "own.tiktoken").unlink()
+    assert made.first().ids == list(bpe.encoder().encode("some text"))

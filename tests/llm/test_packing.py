@@ -47,7 +47,9 @@ def test_near_the_lower_bound_and_bounded_work():
     assert len(segments) < 50_000
 
 
-def test_pack(spark):
+@pytest.mark.parametrize("most", [P.BUCKET_ITEMS, 50])
+def test_pack(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "BUCKET_ITEMS", most)
     rng = random.Random(2)
     sizes = [(i, rng.choice([0, 0, 5, 40, 41, 700, 1000, 1001, 2500, 999, rng.randint(1, 400)]), "c") for i in range(3000)] + [(None, 7, "c"), (None, 7, "c"), (5, 30, "c")]
     df = spark.createDataFrame(sizes, "doc_id long, n long, container string")

@@ -73,6 +73,22 @@ def test_column(spark):
     assert sorted({r.doc_id for r in made}) == [1, 2, 3, 4, 5]
     assert [(r.n_pieces, r.n_tokens, r.piece_text) for r in made if r.doc_id in (3, 4)] == [(1, 0, ""), (1, 0, None)]
     assert {r.n_pieces for r in made if r.doc_id == 1} == {sum(r.doc_id == 1 for r in made) // 2}
-    plain = P.split_column(df, "doc_id", "text", 100, 10, with_text=False, count_short=False).collect()
-    assert [(r.doc_id, r.piece, r.n_pieces) for r in plain] == [(r.doc_id, r.piece, r.n_pieces) for r in made]
+    assert all((r.shared == 0) if r.piece == 0 else (10 <= r.shared <= 13) for r in made)
+    plain = P.split_column(df, "doc_id", "text", 100, 10, with_text=False).collect()
+    assert [tuple(r) for r in plain] == [tuple(r)[:-1] for r in made]
     assert P.split_column(df.limit(0), "doc_id", "text", 100, 10).count() == 0
+
+
+def test_a_piece_shorter_than_the_overlap_still_shares():
+    """An encoder whose pieces come out larger than their stretch of the text, so that pieces must be cut short."""
+
+    class Growing(bpe.BytePairEncoder):
+        def count(self, text):
+            return 0 if not text else super().count(text) * 3
+
+    coder = Growing(open(f"{bpe.DEFAULT_DIR}/byte_bpe_50k.tiktoken", "rb").read())
+    text = "one two three " * 60
+    made = P.split_text(text, coder, 40, 30)
+    assert made[0][2] == 0 and made[-1][3] == len(text)
+    for a, b in zip(made, made[1:]):
+        assert a[2] < b[2] <= a[3] and a[0] < b[0] < a[1] < b[1]  # progress, and an overlap
