@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import threading
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from itertools import product
@@ -20,16 +21,32 @@ OK, CROSS_JOIN, TIMEOUT, EXCEPTION = "ok", "cross_join", "timeout", "exception"
 SENTINELS = {CROSS_JOIN: 150001000000, TIMEOUT: 150001000001, EXCEPTION: 150001000002}
 
 
-def _tree_counts(load: Loader, query: JoinQuery, wanted: list[tuple[str, ...]], filters: bool) -> list[DataFrame]:
+def _member_rows(load: Loader, query: JoinQuery, alias: str, members: list[JoinQuery]) -> DataFrame:
+    """Rows of an alias, once for each member whose filters they meet (__q), with its join columns. The table is read once."""
+    df = load(query.tables[alias])
+    met = []
+    for at, member in enumerate(members):
+        tests = [p.condition(df) for p in member.preds.get(alias, ())]
+        met.append(F.when(reduce(lambda x, y: x & y, tests), at) if tests else F.lit(at))
+    columns = sorted({c for e in query.edges for a, c in ((e.a, e.ca), (e.b, e.cb)) if a == alias})
+    return df.select(*columns, F.explode(F.array_compact(F.array(*met))).alias("__q"))
+
+
+def _tree_counts(
+    load: Loader, query: JoinQuery, wanted: list[tuple[str, ...]], filters: bool, members: list[JoinQuery] | None = None
+) -> list[DataFrame]:
     """Counts of all wanted subsets that are trees, without any join result.
 
+    members: queries with the tables and edges of query and filters of their own, counted together; __q then tells the
+    member by its number, and members without rows are absent.
+
     The tree is rooted; a subset is counted at its alias nearest the root. Every alias is read once: its rows meet the
     messages of its children (one row a join key, one column for each subset that ends at the child), and each subset that
     ends at the alias is a product of message columns. Grouped by the key to the parent, these are the alias's own messages.
     Counts of n subsets so cost one aggregate and one join an alias, all on foreign keys.
     """
     todo, rooted, out = set(query.tables), {}, []
-    wanted_set = set(wanted)
+    wanted_set, by = set(wanted), ["__q"] if members else []
     while todo:
         root = sorted(todo, key=lambda a: (-len(query.neighbours(a)), a))[0]
         order, parent = [root], {root: None}
@@ -42,12 +59,13 @@ def _tree_counts(load: Loader, query: JoinQuery, wanted: list[tuple[str, ...]],
         edge_to = {a: next(e for e in query.edges if {e.a, e.b} == {a, parent[a]}) for a in order if parent[a]}
         for alias in reversed(order):
             children = [c for c in order if parent[c] == alias]
-            rows = query.base(load, alias, filters)
+            rows = _member_rows(load, query, alias, members) if members else query.base(load, alias, filters)
             for c in children:
                 e = edge_to[c]
                 own, theirs = (e.ca, e.cb) if e.a == alias else (e.cb, e.ca)
-                messages = rooted[c][0].withColumnRenamed(theirs, f"__key_{c}")
-                rows = rows.join(messages, F.col(own) == F.col(f"__key_{c}"), "left").drop(f"__key_{c}")
+                messages = rooted[c][0].withColumnsRenamed({theirs: f"__key_{c}", "__q": f"__q_{c}"})
+                on = [F.col(own) == F.col(f"__key_{c}"), *(F.col(q) == F.col(f"{q}_{c}") for q in by)]
+                rows = rows.join(messages, on, "left").drop(f"__key_{c}", f"__q_{c}")
             options = [[((), None), *((s, f"m_{c}_{i}") for i, s in enumerate(rooted[c][1]))] for c in children]
             tops, sums = [], []
             for choice in product(*options):
@@ -58,12 +76,12 @@ def _tree_counts(load: Loader, query: JoinQuery, wanted: list[tuple[str, ...]],
             if parent[alias]:
                 e = edge_to[alias]
                 up = e.ca if e.a == alias else e.cb
-                rooted[alias] = (rows.where(F.col(up).isNotNull()).groupBy(up).agg(*sums), tops)
+                rooted[alias] = (rows.where(F.col(up).isNotNull()).groupBy(up, *by).agg(*sums), tops)
             keep = [(f"m_{alias}_{i}", s) for i, s in enumerate(tops) if s in wanted_set]
             if keep:
-                total = rows.agg(*sums)
+                total = rows.groupBy(*by).agg(*sums)
                 stack = F.explode(F.array(*(F.struct(F.lit(key(s)).alias("subset"), F.lit(len(s)).alias("n_tables"), F.col(m).alias("value")) for m, s in keep)))
-                out.append(total.select(stack.alias("x")).select("x.*"))
+                out.append(total.select(*by, stack.alias("x")).select(*by, "x.*"))
     return out
 
 
@@ -152,9 +170,9 @@ def clip_to_total(cards: DataFrame, actual: str = "actual", total: str = "total"
     return cards.withColumn(total, lifted).withColumn("selectivity", F.when(lifted > 0, F.col(actual) / lifted))
 
 
-def execute(spark: SparkSession, sql: str, timeout: float | None = None) -> tuple[str, list]:
-    """(status, rows) of a query; after timeout seconds its jobs are cancelled."""
-    group = "joinlens-" + hashlib.sha1(f"{sql}{threading.get_ident()}".encode()).hexdigest()[:12]
+def within(spark: SparkSession, work: Callable[[], object], timeout: float | None, label: str = "") -> tuple[str, object]:
+    """(status, result) of work; after timeout seconds its jobs are cancelled."""
+    group = f"joinlens-{uuid.uuid4().hex[:12]}"
     context, fired = spark.sparkContext, threading.Event()
 
     def stop() -> None:
@@ -162,14 +180,14 @@ def execute(spark: SparkSession, sql: str, timeout: float | None = None) -> tupl
         context.cancelJobGroup(group)
 
     timer = threading.Timer(timeout, stop) if timeout is not None else None
-    context.setJobGroup(group, sql[:100], interruptOnCancel=True)
+    context.setJobGroup(group, label[:100], interruptOnCancel=True)
     if timer:
         timer.start()
     try:
-        return OK, spark.sql(sql).collect()
+        return OK, work()
     except Exception:
         if fired.is_set():
-            return TIMEOUT, []
+            return TIMEOUT, None
         raise
     finally:
         if timer:
@@ -178,6 +196,12 @@ def execute(spark: SparkSession, sql: str, timeout: float | None = None) -> tupl
         context.setLocalProperty("spark.job.description", None)
 
 
+def execute(spark: SparkSession, sql: str, timeout: float | None = None) -> tuple[str, list]:
+    """(status, rows) of a query; after timeout seconds its jobs are cancelled."""
+    status, rows = within(spark, lambda: spark.sql(sql).collect(), timeout, sql)
+    return status, rows or []
+
+
 class CountCache:
     """Counts kept in Parquet by the SHA-1 of their SQL; only queries slower than threshold seconds are stored."""
 

@@ -27,32 +27,93 @@ class Edge:
         return left == right if self.op == "=" else left != right
 
 
+_COMPARE = {"eq": "=", "ne": "!=", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}
+_CASTS = {"float": "double", "float8": "double", "double": "double", "numeric": "double", "real": "double", "int": "bigint", "integer": "bigint", "bigint": "bigint", "text": "string", "varchar": "string"}
+
+
+_NUMERIC = ("byte", "short", "integer", "long", "float", "double", "decimal")
+
+
+def _as_number(text: str) -> int | float | None:
+    """A text that meets a numeric column; None, which meets nothing, if it is no number."""
+    try:
+        return int(text)
+    except ValueError:
+        try:
+            return float(text)
+        except ValueError:
+            return None
+
+
 @dataclass(frozen=True)
 class Predicate:
-    """A typed filter on one column. op: eq, ne, in, range (lo < c <= hi, an open side is None), like, not_like, null, not_null."""
+    """A typed filter on one column of an alias.
+
+    op: eq, ne, lt, le, gt, ge, between, in, like, ilike, null, match (a regular expression), most also as not_..;
+    range (lo < c <= hi, an open side is None); <comparison>_column with the name of another column of the alias; any, whose
+    values are branches, each a tuple of filters. cast: type to which the column is cast, null where that fails.
+    """
 
     column: str
     op: str
     values: tuple = ()
+    cast: str | None = None
 
     def sql(self, alias: str) -> str:
         c = f"{alias}.{self.column}"
+        if self.cast:
+            c = f"TRY_CAST({c} AS {_CASTS.get(self.cast, self.cast).upper().replace('STRING', 'VARCHAR')})"
 
         def lit(v) -> str:
             return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
+        if self.op == "any":
+            return "(" + " OR ".join(" AND ".join(p.sql(alias) for p in branch) for branch in self.values) + ")"
         if self.op == "range":
             lo, hi = self.values
             return " AND ".join([*([f"{c} > {lit(lo)}"] if lo is not None else []), *([f"{c} <= {lit(hi)}"] if hi is not None else [])])
+        if self.op in _COMPARE:
+            return f"{c} {_COMPARE[self.op]} {lit(self.values[0])}"
+        if self.op.endswith("_column"):
+            return f"{c} {_COMPARE[self.op.removesuffix('_column')]} {alias}.{self.values[0]}"
+        word = "NOT " if self.op.startswith("not_") else ""
         return {
-            "eq": lambda: f"{c} = {lit(self.values[0])}",
-            "ne": lambda: f"{c} != {lit(self.values[0])}",
-            "in": lambda: f"{c} IN ({', '.join(map(lit, self.values))})",
-            "like": lambda: f"{c} LIKE {lit(self.values[0])}",
-            "not_like": lambda: f"{c} NOT LIKE {lit(self.values[0])}",
-            "null": lambda: f"{c} IS NULL",
-            "not_null": lambda: f"{c} IS NOT NULL",
-        }[self.op]()
+            "in": lambda: f"{c} {word}IN ({', '.join(map(lit, self.values))})",
+            "like": lambda: f"{c} {word}LIKE {lit(self.values[0])}",
+            "ilike": lambda: f"{c} {word}ILIKE {lit(self.values[0])}",
+            "between": lambda: f"{c} {word}BETWEEN {lit(self.values[0])} AND {lit(self.values[1])}",
+            "null": lambda: f"{c} IS {word}NULL",
+            "match": lambda: f"{'NOT ' if word else ''}regexp_like({c}, {lit(self.values[0])})",
+        }[self.op.removeprefix("not_")]()
+
+    def condition(self, df: DataFrame, prefix: str = "") -> Column:
+        """The filter over the columns of df; numbers meet text columns as numbers, null where the text is none."""
+        if self.op == "any":
+            return reduce(lambda x, y: x | y, (reduce(lambda x, y: x & y, (p.condition(df, prefix) for p in branch)) for branch in self.values))
+        c, values = F.col(prefix + self.column), self.values
+        kind = "double" if self.cast and _CASTS.get(self.cast, self.cast) != "string" else df.schema[self.column].dataType.typeName()
+        if self.cast:
+            c = c.try_cast(_CASTS.get(self.cast, self.cast))
+        elif kind == "string" and any(isinstance(v, int | float) for v in values):
+            c = c.try_cast("double")
+        elif kind in _NUMERIC and not self.op.endswith("_column"):
+            values = tuple(_as_number(v) if isinstance(v, str) else v for v in values)
+        if self.op == "range":
+            lo, hi = values
+            sides = [*([c > F.lit(lo)] if lo is not None else []), *([c <= F.lit(hi)] if hi is not None else [])]
+            return reduce(lambda x, y: x & y, sides, F.lit(True))
+        if self.op.endswith("_column") or self.op in _COMPARE:
+            other = F.col(prefix + values[0]) if self.op.endswith("_column") else F.lit(values[0])
+            return {"eq": c.__eq__, "ne": c.__ne__, "lt": c.__lt__, "le": c.__le__, "gt": c.__gt__, "ge": c.__ge__}[self.op.removesuffix("_column")](other)
+        found = {
+            "in": lambda: c.isin(*values),
+            "like": lambda: c.like(values[0]),
+            "ilike": lambda: c.ilike(values[0]),
+            "between": lambda: c.between(*values),
+            "null": lambda: c.isNull(),
+            "match": lambda: c.rlike(values[0]),
+        }[self.op.removeprefix("not_")]()
+        return ~found if self.op.startswith("not_") else found
 
 
 @dataclass(frozen=True)
@@ -137,8 +198,8 @@ class JoinQuery:
     def base(self, load, alias: str, filters: bool = True) -> DataFrame:
         """One alias: filtered, with only its join columns."""
         df = load(self.tables[alias])
-        if filters and self.preds.get(alias):
-            df = df.alias(alias).where(" AND ".join(f"({p.sql(alias)})" for p in self.preds[alias]))
+        for p in self.preds.get(alias, ()) if filters else ():
+            df = df.where(p.condition(df))
         for c in self.required.get(alias, ()):
             df = df.where(F.col(c).isNotNull())
         columns = sorted({c for e in self.edges for a, c in ((e.a, e.ca), (e.b, e.cb)) if a == alias})
