@@ -6,6 +6,7 @@ import hashlib
 import threading
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from itertools import product
 
@@ -46,7 +47,7 @@ def _tree_counts(
     Counts of n subsets so cost one aggregate and one join an alias, all on foreign keys.
     """
     todo, rooted, out = set(query.tables), {}, []
-    wanted_set, by = set(wanted), ["__q"] if members else []
+    by = ["__q"] if members else []
     while todo:
         root = sorted(todo, key=lambda a: (-len(query.neighbours(a)), a))[0]
         order, parent = [root], {root: None}
@@ -57,8 +58,17 @@ def _tree_counts(
                     order.append(b)
         todo -= set(order)
         edge_to = {a: next(e for e in query.edges if {e.a, e.b} == {a, parent[a]}) for a in order if parent[a]}
+        below = {a: {a} for a in order}
+        for a in reversed(order[1:]):
+            below[parent[a]] |= below[a]
         for alias in reversed(order):
-            children = [c for c in order if parent[c] == alias]
+            # what wanted subsets hold of the alias and all below it; nothing else is summed
+            tops = sorted({tuple(sorted(below[alias] & set(s))) for s in wanted if alias in s}, key=lambda s: (len(s), s))
+            keep = [(f"m_{alias}_{i}", s) for i, s in enumerate(tops) if s in wanted]
+            rooted[alias] = (None, tops)
+            if not tops:
+                continue
+            children = [c for c in order if parent[c] == alias and any(below[c] & set(s) for s in tops)]
             rows = _member_rows(load, query, alias, members) if members else query.base(load, alias, filters)
             for c in children:
                 e = edge_to[c]
@@ -66,22 +76,20 @@ def _tree_counts(
                 messages = rooted[c][0].withColumnsRenamed({theirs: f"__key_{c}", "__q": f"__q_{c}"})
                 on = [F.col(own) == F.col(f"__key_{c}"), *(F.col(q) == F.col(f"{q}_{c}") for q in by)]
                 rows = rows.join(messages, on, "left").drop(f"__key_{c}", f"__q_{c}")
-            options = [[((), None), *((s, f"m_{c}_{i}") for i, s in enumerate(rooted[c][1]))] for c in children]
-            tops, sums = [], []
-            for choice in product(*options):
-                subset = tuple(sorted({alias, *(a for s, _ in choice for a in s)}))
-                weight = reduce(lambda x, y: x * y, (F.coalesce(F.col(m), F.lit(0)) for _, m in choice if m), F.lit(1).cast("long"))
-                sums.append(F.coalesce(F.sum(weight), F.lit(0).cast("long")).alias(f"m_{alias}_{len(tops)}"))
-                tops.append(subset)
+            sums = []
+            for i, s in enumerate(tops):
+                parts = [(c, tuple(sorted(below[c] & set(s)))) for c in children]
+                used = [f"m_{c}_{rooted[c][1].index(part)}" for c, part in parts if part]
+                weight = reduce(lambda x, y: x * y, (F.coalesce(F.col(m), F.lit(0)) for m in used), F.lit(1).cast("long"))
+                sums.append(F.coalesce(F.sum(weight), F.lit(0).cast("long")).alias(f"m_{alias}_{i}"))
             if parent[alias]:
                 e = edge_to[alias]
                 up = e.ca if e.a == alias else e.cb
                 rooted[alias] = (rows.where(F.col(up).isNotNull()).groupBy(up, *by).agg(*sums), tops)
-            keep = [(f"m_{alias}_{i}", s) for i, s in enumerate(tops) if s in wanted_set]
             if keep:
-                total = rows.groupBy(*by).agg(*sums)
+                totals = rows.groupBy(*by).agg(*(sums[tops.index(s)] for _, s in keep))
                 stack = F.explode(F.array(*(F.struct(F.lit(key(s)).alias("subset"), F.lit(len(s)).alias("n_tables"), F.col(m).alias("value")) for m, s in keep)))
-                out.append(total.select(*by, stack.alias("x")).select(*by, "x.*"))
+                out.append(totals.select(*by, stack.alias("x")).select(*by, "x.*"))
     return out
 
 
@@ -147,6 +155,24 @@ def sub_plan_counts(spark: SparkSession, load: Loader, query: JoinQuery, filters
     return reduce(DataFrame.unionByName, parts).select(F.lit(query.qid).alias("qid"), "subset", "n_tables", "value")
 
 
+def actual_and_total(spark: SparkSession, load: Loader, query: JoinQuery) -> DataFrame:
+    """(qid, subset, n_tables, actual, total) of every connected subset: counts with and without filters, in one pass for all
+    subsets that are trees (the query and its unfiltered form are counted together)."""
+    bare = replace(query, preds={})
+    trees = [s for s in query.subsets() if query.acyclic(s)]
+    todo, parts = list(trees), []
+    while todo:
+        forest = _forest(query, max(todo, key=len))
+        here = [s for s in todo if forest.connected(set(s))]
+        parts += _tree_counts(load, forest, here, True, [query, bare])
+        todo = [s for s in todo if s not in set(here)]
+    for at, q in enumerate((query, bare)):
+        for s in (s for s in query.subsets() if s not in set(trees)):
+            parts.append(_one_count(load, q, s, True).select(F.lit(at).alias("__q"), F.lit(key(s)).alias("subset"), F.lit(len(s)).alias("n_tables"), "value"))
+    found = reduce(DataFrame.unionByName, parts).groupBy("subset", "n_tables").agg(*(F.coalesce(F.max(F.when(F.col("__q") == q, F.col("value"))), F.lit(0)).alias(c) for q, c in enumerate(("actual", "total"))))
+    return found.select(F.lit(query.qid).alias("qid"), "subset", "n_tables", "actual", "total")
+
+
 def with_status(counts: DataFrame, query: JoinQuery) -> DataFrame:
     """Counts plus the full set where it is a cross join, which is never run."""
     full = tuple(sorted(query.tables))

@@ -12,22 +12,38 @@ from joinlens.operators.cards import Loader
 from joinlens.workload.spec import JoinQuery, Predicate, key
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col_name, num, low, high): distinct values and the range as numbers, from one aggregate over stacked columns.
+
+    Every value travels once as (column, text) after map-side combining, however many columns there are.
+    """
+    kinds = dict(df.dtypes)
+    cells = [
+        F.struct(F.lit(c).alias("col_name"), F.col(c).cast("string").alias("value"), (F.lit(None) if kinds[c].startswith("string") else F.col(c)).cast("double").alias("x"))
+        for c in columns
+    ]
+    stacked = df.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where("value IS NOT NULL")
+    each = stacked.groupBy("col_name", "value").agg(F.first("x").alias("x"))
+    return each.groupBy("col_name").agg(F.count(F.lit(1)).alias("num"), F.min("x").alias("low"), F.max("x").alias("high"))
+
+
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(col_name, min_value, max_value, num_values, total_values, null_values) as text and counts, from one pass over df.
+    """(col_name, min_value, max_value, num_values, total_values, null_values) as text and counts.
 
     num_values counts null as one value.
     """
     aggs = []
     for c in columns:
-        aggs += [F.min(c).cast("string").alias(f"{c}__lo"), F.max(c).cast("string").alias(f"{c}__hi"), F.count_distinct(c).alias(f"{c}__d"), F.count(c).alias(f"{c}__n")]
+        aggs += [F.min(c).cast("string").alias(f"{c}__lo"), F.max(c).cast("string").alias(f"{c}__hi"), F.count(c).alias(f"{c}__n")]
     one = df.agg(F.count(F.lit(1)).alias("__all"), *aggs)
     rows = F.array(*(
-        F.struct(F.lit(c).alias("col_name"), F.col(f"{c}__lo").alias("min_value"), F.col(f"{c}__hi").alias("max_value"),
-                 (F.col(f"{c}__d") + F.when(F.col(f"{c}__n") < F.col("__all"), 1).otherwise(0)).alias("num_values"),
-                 F.col("__all").alias("total_values"), (F.col("__all") - F.col(f"{c}__n")).alias("null_values"))
+        F.struct(F.lit(c).alias("col_name"), F.col(f"{c}__lo").alias("min_value"), F.col(f"{c}__hi").alias("max_value"), F.col(f"{c}__n").alias("n"), F.col("__all").alias("total_values"))
         for c in columns
     ))
-    return one.select(F.explode(rows).alias("x")).select("x.*")
+    made = one.select(F.explode(rows).alias("x")).select("x.*").join(F.broadcast(distinct_counts(df, columns)), "col_name", "left")  # a row a column
+    nulls = F.col("total_values") - F.col("n")
+    num = F.coalesce("num", F.lit(0)) + F.when(nulls > 0, 1).otherwise(0)
+    return made.select("col_name", "min_value", "max_value", num.alias("num_values"), "total_values", nulls.alias("null_values"))
 
 
 def value_lists(df: DataFrame, column: str, most: int = 5000) -> DataFrame:
@@ -58,20 +74,27 @@ def selectivity(p: Predicate, ndv: int, low: float | None, high: float | None, n
 
 
 def estimate_inputs(load: Loader, query: JoinQuery) -> dict[str, dict[str, tuple]]:
-    """alias -> column -> (ndv, low, high, nulls, total) for the join and filter columns; one row a table is collected."""
-    out: dict[str, dict[str, tuple]] = {}
+    """alias -> column -> (ndv, low, high, nulls, total) for the join and filter columns, in one job; a row a column is collected."""
+    parts, wanted = [], {}
     for alias, table in query.tables.items():
         joins = {c for e in query.edges for a, c in ((e.a, e.ca), (e.b, e.cb)) if a == alias}
-        columns = sorted(joins | {p.column for p in query.preds.get(alias, ())})
-        df = load(table)
-        kinds = dict(df.dtypes)
-        aggs = [F.count(F.lit(1)).alias("__all")]
-        for c in columns:
-            number = F.col(c).cast("double") if not kinds[c].startswith("string") else F.lit(None).cast("double")
-            aggs += [F.count_distinct(c).alias(f"d_{c}"), F.min(number).alias(f"l_{c}"), F.max(number).alias(f"h_{c}"), F.count(c).alias(f"n_{c}")]
-        row = df.agg(*aggs).first()
-        out[alias] = {c: (row[f"d_{c}"], row[f"l_{c}"], row[f"h_{c}"], row["__all"] - row[f"n_{c}"], row["__all"]) for c in columns}
-        out[alias][""] = (row["__all"],) * 5
+        wanted[alias] = sorted(joins | {p.column for p in query.preds.get(alias, ())})
+        df, columns = load(table), wanted[alias]
+        counts = df.agg(F.count(F.lit(1)).alias("all"), *(F.count(c).alias(f"n_{c}") for c in columns))
+        cells = [F.struct(F.lit(c).alias("col_name"), F.col(f"n_{c}").alias("n")) for c in columns] + [F.struct(F.lit("").alias("col_name"), F.col("all").alias("n"))]
+        kinds = F.lit(None).cast("double")
+        parts.append(counts.select(F.explode(F.array(*cells)).alias("s")).select(F.lit(alias).alias("alias"), "s.*", kinds.alias("low"), kinds.alias("high"), F.lit(True).alias("whole")))
+        if columns:
+            distinct = distinct_counts(df, columns)
+            parts.append(distinct.select(F.lit(alias).alias("alias"), "col_name", F.col("num").alias("n"), "low", "high", F.lit(False).alias("whole")))
+    rows = reduce(DataFrame.unionByName, parts).collect()
+    filled = {(r["alias"], r["col_name"]): r["n"] for r in rows if r["whole"]}
+    values = {(r["alias"], r["col_name"]): (r["n"], r["low"], r["high"]) for r in rows if not r["whole"]}
+    out: dict[str, dict[str, tuple]] = {}
+    for alias, columns in wanted.items():
+        total = filled[alias, ""]
+        out[alias] = {c: (*values.get((alias, c), (0, None, None)), total - filled[alias, c], total) for c in columns}
+        out[alias][""] = (total,) * 5
     return out
 
 

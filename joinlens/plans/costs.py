@@ -150,6 +150,13 @@ def with_cost(edges: DataFrame, model: str = DEFAULT, out: str = "cost") -> Data
     return edges.withColumn(out, MODELS[model]())
 
 
+def with_both_costs(edges: DataFrame, model: str = DEFAULT) -> DataFrame:
+    """(qid, big, small, other, true_cost, est_cost) of edges with c1..c3 and e1..e3."""
+    true = with_cost(edges, model, "true_cost").drop("c1", "c2", "c3")
+    est = with_cost(true.withColumnsRenamed({"e1": "c1", "e2": "c2", "e3": "c3"}), model, "est_cost")
+    return est.select("qid", "big", "small", "other", "true_cost", "est_cost")
+
+
 def scan_labels(edges: DataFrame) -> DataFrame:
     """scan_small, scan_other: sequential on single tables where the product is cheaper, else an index scan on the looked-up one."""
     single, seq = _small_is_single(), _product() < cm1()

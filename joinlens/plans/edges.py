@@ -49,19 +49,17 @@ def source_edges(subsets: DataFrame) -> DataFrame:
     return single.select("qid", F.col("subset").alias("big"), F.lit(SOURCE).alias("small"), F.lit("").alias("other"), F.lit(1.0).alias("cost"))
 
 
-def with_cards(edges: DataFrame, cards: DataFrame, card: str = "value", total: str | None = None) -> DataFrame:
-    """Edges with c1 (small), c2 (other), c3 (big) and t1, t2 (unfiltered small, other), floored at 1, as doubles.
+def with_cards(edges: DataFrame, cards: DataFrame, card: str = "value", total: str | None = None, est: str | None = None) -> DataFrame:
+    """Edges with c1 (small), c2 (other), c3 (big) and t1, t2 (unfiltered small, other), floored at 1, as doubles; with est
+    also e1, e2, e3, the same of a second count.
 
-    cards: qid, subset, card and total columns; one row a subset. Three joins on (qid, subset).
+    cards: qid, subset, card, total and est columns; one row a subset. Three joins on (qid, subset).
     """
     total = total or card
 
-    def side(name: str, column: str) -> DataFrame:
-        floor = F.greatest(F.col(card).cast("double"), F.lit(1.0)).alias(f"c{column}")
-        columns = [floor] if column == "3" else [floor, F.greatest(F.col(total).cast("double"), F.lit(1.0)).alias(f"t{column}")]
-        return cards.select("qid", F.col("subset").alias(name), *columns)
+    def side(name: str, at: str) -> DataFrame:
+        kinds = {"c": card, **({} if at == "3" else {"t": total}), **({"e": est} if est else {})}
+        return cards.select("qid", F.col("subset").alias(name), *(F.greatest(F.col(c).cast("double"), F.lit(1.0)).alias(f"{k}{at}") for k, c in kinds.items()))
 
     made = edges.join(side("small", "1"), ["qid", "small"]).join(side("other", "2"), ["qid", "other"]).join(side("big", "3"), ["qid", "big"])
-    return made.select("qid", "big", "small", "other", "c1", "c2", "c3", "t1", "t2")
-
-
+    return made.select("qid", "big", "small", "other", "c1", "c2", "c3", "t1", "t2", *(["e1", "e2", "e3"] if est else []))

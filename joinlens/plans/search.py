@@ -2,64 +2,46 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from joinlens.session import materialize
-
-#: Levels of the search after which intermediate results are written, to keep plans short.
-CUT = 4
+from joinlens.plans import local
+from joinlens.plans.local import per_query
 
 
-def left_deep(edges: DataFrame, cost: str, carry: dict[str, str] | None = None, levels: int | None = None) -> DataFrame:
-    """(qid, subset, best, small, path, carried...) of every subset: its cheapest left-deep plan.
+def left_deep(edges: DataFrame, cost: str, carry: dict[str, str] | None = None, full: bool = False) -> DataFrame:
+    """(qid, subset, best, small, path, carried...) of every subset: its cheapest left-deep plan; full: of whole queries only.
 
-    The dynamic programme runs by level: best(S) is the least cost(edge) + best(small) over the edges of S, ties by the name
-    of small. carry sums further cost columns along the chosen edges. Single tables cost nothing (the constant source edge
-    is left out, as costs are reported without it). path is the join order from the first table on.
+    best(S) is the least cost(edge) + best(small) over the edges of S, ties by the name of small. carry sums further cost
+    columns along the chosen edges. Single tables cost nothing (the constant source edge is left out, as costs are reported
+    without it). path is the join order from the first table on.
     """
     carry = carry or {}
-    names = list(carry)
-    edges = edges.withColumn("__n", F.size(F.split("big", " ")))
-    if levels is None:
-        levels = edges.agg(F.max("__n")).first()[0] or 1
-    single = edges.where("__n = 2").select("qid", F.explode(F.array("small", "other")).alias("subset")).distinct()
-    best = single.select("qid", "subset", F.lit(0.0).alias("best"), F.lit(None).cast("string").alias("small"), F.col("subset").alias("path"), *(F.lit(0.0).alias(c) for c in names))
-    level, done = best, [best]
-    for n in range(2, levels + 1):
-        step = edges.where(F.col("__n") == n).join(level.select("qid", F.col("subset").alias("small"), "best", "path", *names), ["qid", "small"])
-        total = (F.col(cost) + F.col("best")).alias("best")
-        sums = [(F.col(f"__e_{c}") + F.col(c)).alias(c) for c in names]
-        step = step.select("qid", F.col("big").alias("subset"), "small", "other", "best", "path", F.col(cost), *names, *(F.col(src).alias(f"__e_{c}") for c, src in carry.items()))
-        step = step.select("qid", "subset", "small", total, F.concat_ws(" ", "path", "other").alias("path"), *sums)
-        chosen = F.min_by(F.struct("best", "small", "path", *names), F.struct("best", "small")).alias("x")
-        level = step.groupBy("qid", "subset").agg(chosen).select("qid", "subset", "x.best", "x.small", "x.path", *(f"x.{c}" for c in names))
-        if n % CUT == 0:
-            level = materialize(level, "dp")
-        done.append(level)
-    return reduce(DataFrame.unionByName, done)
-
-
-def full_only(plans: DataFrame) -> DataFrame:
-    """The plan of each whole query: its largest subset."""
-    size = F.size(F.split("subset", " "))
-    top = plans.groupBy("qid").agg(F.max(size).alias("__n"))
-    return plans.join(top, "qid").where(size == F.col("__n")).drop("__n")
+
+    def make(big, small, other, costs, *carried):
+        found = local.cheapest(big, small, other, costs, list(carried))
+        return [(s, *found[s][:3], *found[s][3]) for s in (local.largest(found) if full else found)]
+
+    schema = "subset string, best double, small string, path string" + "".join(f", `{c}` double" for c in carry)
+    doubles = edges.withColumns({c: F.col(c).cast("double") for c in {cost, *carry.values()}})
+    return per_query(doubles, ["big", "small", "other", cost, *carry.values()], make, schema)
 
 
 def plan_loss(edges: DataFrame, true_cost: str, est_cost: str) -> DataFrame:
     """(qid, est_plan_cost, best_cost, loss, ratio, est_path, best_path): the plan chosen by estimated costs under true costs."""
-    est = full_only(left_deep(edges, est_cost, {"true": true_cost})).select("qid", F.col("true").alias("est_plan_cost"), F.col("path").alias("est_path"))
-    best = full_only(left_deep(edges, true_cost)).select("qid", F.col("best").alias("best_cost"), F.col("path").alias("best_path"))
-    made = est.join(best, "qid")
-    return made.withColumn("loss", F.greatest(F.col("est_plan_cost") - F.col("best_cost"), F.lit(0.0))).withColumn("ratio", F.col("est_plan_cost") / F.col("best_cost"))
+
+    def make(big, small, other, true, est):
+        chosen, best = local.cheapest(big, small, other, est, [true]), local.cheapest(big, small, other, true, [])
+        return [(chosen[s][3][0], best[s][0], max(chosen[s][3][0] - best[s][0], 0.0), chosen[s][3][0] / best[s][0] if best[s][0] else None, chosen[s][2], best[s][2]) for s in local.largest(best)]
+
+    schema = "est_plan_cost double, best_cost double, loss double, ratio double, est_path string, best_path string"
+    doubles = edges.withColumns({c: F.col(c).cast("double") for c in (true_cost, est_cost)})
+    return per_query(doubles, ["big", "small", "other", true_cost, est_cost], make, schema)
 
 
 def path_flags(edges: DataFrame, cost: str) -> DataFrame:
     """(qid, subset) of the sub-joins on the cheapest plan: the prefixes of its join order."""
-    path = full_only(left_deep(edges, cost)).select("qid", F.split("path", " ").alias("p"))
+    path = left_deep(edges, cost, full=True).select("qid", F.split("path", " ").alias("p"))
     prefix = F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.array_join(F.array_sort(F.slice("p", 1, n)), " "))
     return path.select("qid", F.explode(prefix).alias("subset"))
 
@@ -73,50 +55,41 @@ def leading_hint(path: Column) -> Column:
 
 def simple_paths(edges: DataFrame) -> DataFrame:
     """(qid, subset, n_paths): number of paths from the whole query down to each sub-join."""
-    sized = edges.withColumn("__n", F.size(F.split("big", " ")))
-    top = sized.groupBy("qid").agg(F.max("__n").alias("__top"))
-    levels = sized.agg(F.max("__n")).first()[0] or 1
-    sized = sized.join(top, "qid")
-    level = sized.where("__n = __top").select("qid", F.col("big").alias("subset"), F.lit(1.0).alias("n_paths")).distinct()
-    done = [level]
-    starts = level
-    for n in range(levels, 1, -1):
-        here = level.unionByName(starts).dropDuplicates(["qid", "subset"]) if n < levels else level
-        step = sized.where(F.col("__n") == n).join(here.withColumnRenamed("subset", "big"), ["qid", "big"])
-        level = step.groupBy("qid", F.col("small").alias("subset")).agg(F.sum("n_paths").alias("n_paths"))
-        done.append(level)
-    return reduce(DataFrame.unionByName, done)
-
-
-def bushy(splits: DataFrame, cost: str, levels: int, carry: str | None = None) -> DataFrame:
+
+    def make(big, small):
+        top = max(map(local.size, big), default=0)
+        n = {b: 1.0 for b in big if local.size(b) == top}
+        for at in sorted(range(len(big)), key=lambda i: -local.size(big[i])):
+            if big[at] in n:
+                n[small[at]] = n.get(small[at], 0.0) + n[big[at]]
+        return list(n.items())
+
+    return per_query(edges, ["big", "small"], make, "subset string, n_paths double")
+
+
+def bushy(splits: DataFrame, cost: str, carry: str | None = None, full: bool = False) -> DataFrame:
     """(qid, subset, best, tree[, carried]) with any split of a subset: splits qid, big, left, right and the cost columns.
 
     carry sums a second cost column along the chosen tree.
     """
-    other = [carry] if carry else []
-    sized = splits.withColumn("__n", F.size(F.split("big", " ")))
-    single = splits.select("qid", F.explode(F.split("big", " ")).alias("subset")).distinct()
-    best = single.select("qid", "subset", F.lit(0.0).alias("best"), F.col("subset").alias("tree"), F.lit(0.0).alias("carried"))
-    for n in range(2, levels + 1):
-        a, b = (best.select("qid", F.col("subset").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("best", "tree", "carried"))) for side in ("left", "right"))
-        step = sized.where(F.col("__n") == n).join(a, ["qid", "left"]).join(b, ["qid", "right"])
-        sums = [(F.col(c) + F.col(f"{x}_left") + F.col(f"{x}_right")).alias(x) for c, x in ((cost, "best"), *((c, "carried") for c in other))]
-        sums += [] if other else [F.lit(0.0).alias("carried")]
-        tree = F.concat(F.lit("("), "tree_left", F.lit(" "), "tree_right", F.lit(")")).alias("tree")
-        step = step.select("qid", F.col("big").alias("subset"), tree, *sums)
-        level = step.groupBy("qid", "subset").agg(F.min(F.struct("best", "tree", "carried")).alias("x")).select("qid", "subset", "x.best", "x.tree", "x.carried")
-        best = best.unionByName(level)
-        if n % 2 == 0:
-            best = materialize(best, "bushy")
-    return best if carry else best.drop("carried")
-
-
-def join_loss(splits: DataFrame, true_cost: str, est_cost: str, levels: int) -> DataFrame:
+
+    def make(big, left, right, costs, other):
+        found = local.cheapest_tree(big, left, right, costs, other)
+        return [(s, *found[s]) for s in (local.largest(found) if full else found)]
+
+    made = per_query(splits.withColumn("__carry", F.col(carry) if carry else F.lit(0.0)), ["big", "left", "right", cost, "__carry"], make, "subset string, best double, tree string, carried double")
+    return made if carry else made.drop("carried")
+
+
+def join_loss(splits: DataFrame, true_cost: str, est_cost: str) -> DataFrame:
     """(qid, est, opt, loss, ratio): cost, under true counts, of the bushy plan chosen by estimates; opt at most est."""
-    est = full_only(bushy(splits, est_cost, levels, true_cost)).select("qid", F.col("carried").alias("est"))
-    opt = full_only(bushy(splits, true_cost, levels)).select("qid", F.col("best").alias("opt"))
-    made = est.join(opt, "qid").withColumn("est", F.greatest("est", "opt"))
-    return made.withColumn("loss", F.col("est") - F.col("opt")).withColumn("ratio", F.col("est") / F.col("opt"))
+
+    def make(big, left, right, true, est):
+        chosen, best = local.cheapest_tree(big, left, right, est, true), local.cheapest_tree(big, left, right, true, true)
+        pairs = [(max(chosen[s][2], best[s][0]), best[s][0]) for s in local.largest(best)]
+        return [(est, opt, est - opt, est / opt if opt else None) for est, opt in pairs]
+
+    return per_query(splits, ["big", "left", "right", true_cost, est_cost], make, "est double, opt double, loss double, ratio double")
 
 
 def bushy_splits(subsets: DataFrame) -> DataFrame:
@@ -142,12 +115,12 @@ def perturbed(edges: DataFrame, subset_column: str, multipliers: list[float]) ->
 def tolerance(edges: DataFrame, cost_of, subsets: DataFrame, decades: int = 4) -> DataFrame:
     """(qid, subset, tolerance): the smallest power of ten by which a count can be divided or multiplied so that the
     cheapest plan changes; 10^(decades + 1) where it never does."""
-    base = full_only(left_deep(edges.withColumn("__cost", cost_of()), "__cost")).select("qid", F.col("path").alias("__path"))
+    base = left_deep(edges.withColumn("__cost", cost_of()), "__cost", full=True).select("qid", F.col("path").alias("__path"))
     factors = [10.0**j for j in range(1, decades + 1)] + [10.0**-j for j in range(1, decades + 1)]
     targets = subsets.select(F.col("qid"), F.col("subset").alias("target"))
     wide = edges.join(targets, "qid").withColumn("__q", F.col("qid"))
     varied = perturbed(wide, "target", factors)
-    plans = full_only(left_deep(materialize(varied.withColumn("__cost", cost_of()), "tolerance"), "__cost"))
+    plans = left_deep(varied.withColumn("__cost", cost_of()), "__cost", full=True)
     names = F.split("qid", r"\|")
     seen = plans.select(F.element_at(names, 1).alias("qid"), F.element_at(names, 2).alias("subset"), F.element_at(names, 3).cast("double").alias("m"), "path")
     changed = seen.join(base, "qid").where("path <> __path").groupBy("qid", "subset").agg(F.min(F.greatest(F.col("m"), 1 / F.col("m"))).alias("t"))

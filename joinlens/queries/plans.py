@@ -77,6 +77,21 @@ def dp_sql(q: JoinQuery, choose: str, carry: str | None = None) -> str:
     return ", ".join(out)
 
 
+def dp_keyed_sql(source: str, name: str, keys: str, choose: str, carry: str, levels: int) -> str:
+    """CTEs <name>1..<name>n of the level search within each key of a table of edges, and <name> with all levels."""
+    on = " AND ".join(f"g.{k} = b.{k}" for k in keys.split(", "))
+    gk, bk = ", ".join(f"g.{k}" for k in keys.split(", ")), keys
+    out = [f"{name}1 AS (SELECT DISTINCT {bk}, unnest([small, other]) AS subset, 0::DOUBLE AS best, '' AS path, 0::DOUBLE AS carried FROM {source} WHERE len(string_split(big, ' ')) = 2)"]
+    for n in range(2, levels + 1):
+        path = "CASE WHEN b.path = '' THEN g.small ELSE b.path END || ' ' || g.other"
+        out.append(
+            f"{name}{n} AS (SELECT {bk}, big AS subset, best, path, carried FROM (SELECT {gk}, g.big, {choose} + b.best AS best, {path} AS path, {carry} + b.carried AS carried,"
+            f" row_number() OVER (PARTITION BY {gk}, g.big ORDER BY {choose} + b.best, g.small) AS r"
+            f" FROM {source} AS g JOIN {name}{n - 1} AS b ON {on} AND g.small = b.subset WHERE len(string_split(g.big, ' ')) = {n}) WHERE r = 1)"
+        )
+    return ", ".join(out) + f", {name} AS (" + " UNION ALL ".join(f"SELECT *, {n} AS n FROM {name}{n}" for n in range(1, levels + 1)) + ")"
+
+
 # ---- sub-plans
 
 
@@ -85,8 +100,7 @@ def counted(t: Tables, q: JoinQuery, filters: bool = True, shared: bool = True)
 
 
 def actual_and_total(t: Tables, q: JoinQuery) -> DataFrame:
-    total = counted(t, q, False).select("subset", F.col("value").alias("total"))
-    return counted(t, q).withColumnRenamed("value", "actual").join(total, "subset").select("subset", "n_tables", "actual", "total")
+    return cards.actual_and_total(t.spark, t, q).select("subset", "n_tables", "actual", "total")
 
 
 def _actual_total_sql(q: JoinQuery) -> str:
@@ -145,24 +159,23 @@ def column_stats(t: Tables) -> DataFrame:
     return stats.column_stats(t.title, ["id", "title", "production_year", "kind_id", "episode_nr"])
 
 
-_P = {"o": "1.0 / s.d_o_orderstatus", "c": "2.0 / s.d_c_mktsegment", "l": "least(1, greatest(0, 21.0 / (s.h_l_quantity - s.l_l_quantity)))", "p": "least(1, greatest(0, 30.0 / (s.h_p_size - s.l_p_size)))", "n": "3.0 / s.d_n_regionkey"}
-_J = {"cn": ("d_c_nationkey", "d_n_nationkey"), "co": ("d_o_custkey", "d_c_custkey"), "lo": ("d_l_orderkey", "d_o_orderkey"), "lp": ("d_l_partkey", "d_p_partkey")}
+_P = {"o": "1.0 / s.d_o_orderstatus", "c": "2.0 / s.d_c_mktsegment", "l": "least(1, greatest(0, 21.0 / (s.h_l_quantity - s.l_l_quantity)))", "p": "least(1, greatest(0, 30.0 / (s.h_p_size - s.l_p_size)))", "n": "3.0 / s.d_n_regionkey", "s": "least(1, greatest(0, (s.h_s_acctbal - 0.0) / (s.h_s_acctbal - s.l_s_acctbal)))"}
+_J = {"cn": ("d_c_nationkey", "d_n_nationkey"), "co": ("d_o_custkey", "d_c_custkey"), "lo": ("d_l_orderkey", "d_o_orderkey"), "lp": ("d_l_partkey", "d_p_partkey"), "ls": ("d_l_suppkey", "d_s_suppkey")}
 
 
-def _expected_sql() -> str:
-    q = C.G5
+def _expected_sql(q: JoinQuery = C.G5) -> str:
     facts = {
         "c": ("customer", ("c_custkey", "c_nationkey", "c_mktsegment"), ()), "n": ("nation", ("n_nationkey", "n_regionkey"), ()),
-        "o": ("orders", ("o_orderkey", "o_custkey", "o_orderstatus"), ()), "l": ("lineitem", ("l_orderkey", "l_partkey"), ("l_quantity",)), "p": ("part", ("p_partkey",), ("p_size",)),
+        "o": ("orders", ("o_orderkey", "o_custkey", "o_orderstatus"), ()), "l": ("lineitem", ("l_orderkey", "l_partkey", "l_suppkey"), ("l_quantity",)), "s": ("supplier", ("s_suppkey",), ("s_acctbal",)), "p": ("part", ("p_partkey",), ("p_size",)),
     }
     parts = []
-    for a, (table, ndv, ranges) in facts.items():
+    for a, (table, ndv, ranges) in ((a, f) for a, f in facts.items() if a in q.tables):
         parts.append(f"(SELECT count(*)::DOUBLE AS all_{a}, " + ", ".join([*(f"count(DISTINCT {c})::DOUBLE AS d_{c}" for c in ndv), *(f"min({c})::DOUBLE AS l_{c}, max({c})::DOUBLE AS h_{c}" for c in ranges)]) + f" FROM {table})")
     out = []
     for s in q.subsets():
         terms = [f"s.all_{a} * ({_P[a]})" if a in _P else f"s.all_{a}" for a in s]
         terms += [f"(1 / greatest(s.{x}, s.{y}))" for ab, (x, y) in _J.items() if set(ab) <= set(s)]
-        out.append(f"SELECT 'g5' AS qid, '{key(s)}' AS subset, {len(s)} AS n_tables, round(greatest(1, {' * '.join(terms)}), 4) AS value FROM s")
+        out.append(f"SELECT '{q.qid}' AS qid, '{key(s)}' AS subset, {len(s)} AS n_tables, round(greatest(1, {' * '.join(terms)}), 4) AS value FROM s")
     return f"WITH s AS (SELECT * FROM {', '.join(parts)}) " + " UNION ALL ".join(out)
 
 
@@ -204,17 +217,17 @@ def _default_cost(t: Tables, q: JoinQuery = C.G5) -> DataFrame:
 
 @add(edges_sql(C.G5) + ", " + dp_sql(C.G5, _I7) + f" SELECT subset, round(best, 4) AS best, path FROM ({_ALL5})")
 def optimal_plan(t: Tables) -> DataFrame:
-    return search.left_deep(_default_cost(t), "cost", levels=5).select("subset", F.round("best", 4).alias("best"), "path")
+    return search.left_deep(_default_cost(t), "cost").select("subset", F.round("best", 4).alias("best"), "path")
 
 
 add(edges_sql(C.G7) + ", " + dp_sql(C.G7, _I7) + " SELECT round(best, 4) AS best, path FROM b7", "optimal_plan_g7")(
-    lambda t: search.full_only(search.left_deep(_default_cost(t, C.G7), "cost", levels=7)).select(F.round("best", 4).alias("best"), "path")
+    lambda t: search.left_deep(_default_cost(t, C.G7), "cost", full=True).select(F.round("best", 4).alias("best"), "path")
 )
 
 
 @add(edges_sql(C.G5) + ", " + dp_sql(C.G5, _I7) + " SELECT '((((' || replace(path, ' ', ' ') || '))))' AS flat, len(string_split(path, ' '))::BIGINT AS n FROM b5")
 def plan_path(t: Tables) -> DataFrame:
-    best = search.full_only(search.left_deep(_default_cost(t), "cost", levels=5))
+    best = search.left_deep(_default_cost(t), "cost", full=True)
     hint = search.leading_hint(F.col("path"))
     flat = F.concat(F.lit("(((("), F.regexp_replace(hint, r"[()]", ""), F.lit("))))"))
     return best.select(flat.alias("flat"), F.size(F.split("path", " ")).cast("long").alias("n"))
@@ -230,10 +243,10 @@ _EST_EDGES = (
 
 def estimated_and_true(t: Tables, q: JoinQuery = C.G5) -> DataFrame:
     """Edges with true_cost and est_cost (textbook estimates), by the default model."""
-    true = costs.with_cost(edges_with_cards(t, q), out="true_cost").select("qid", "big", "small", "other", "true_cost")
-    est = stats.expected_counts(t.spark, t, q).withColumn("value", F.round("value", 4))
-    est_edges = edges.with_cards(edges.drop_one_edges(edges.subset_table(t.spark, [q])), est)
-    return materialize(true.join(costs.with_cost(est_edges, out="est_cost").select("qid", "big", "small", "est_cost"), ["qid", "big", "small"]), "edges2")
+    est = stats.expected_counts(t.spark, t, q).select("subset", F.round("value", 4).alias("est"))
+    both = cards.actual_and_total(t.spark, t, q).join(F.broadcast(est), "subset")  # a row a subset
+    every = edges.drop_one_edges(edges.subset_table(t.spark, [q]))
+    return materialize(costs.with_both_costs(edges.with_cards(every, materialize(both, "cards"), "actual", "total", "est")), "edges2")
 
 
 @add(
@@ -285,11 +298,25 @@ g AS (SELECT *, CASE WHEN small NOT LIKE '% %' THEN c1 ELSE c2 END AS s, CASE WH
 def perturb_sweep(t: Tables) -> DataFrame:
     base = edges_with_cards(t, C.G5).withColumn("target", F.lit("l o"))
     varied = materialize(costs.with_cost(search.perturbed(base, "target", [0.01, 1.0, 100.0])), "sweep")
-    found = search.full_only(search.left_deep(varied, "cost", levels=5))
+    found = search.left_deep(varied, "cost", full=True)
     return found.select(F.element_at(F.split("qid", r"\|"), 3).cast("double").alias("m"), F.round("best", 4).alias("best"), "path")
 
 
-@add()
+def _tolerance_sql() -> str:
+    """Every sub-join's count times and over powers of ten, each a search of its own."""
+    factors = [10.0**j for j in range(1, 5)] + [10.0**-j for j in range(1, 5)]
+    targets = ", ".join(f"('{key(s)}')" for s in C.G5.subsets())
+    scaled = ", ".join(f"greatest({c} * CASE WHEN {at} = target THEN m ELSE 1 END, 1) AS {c}" for c, at in (("c1", "small"), ("c2", "other")))
+    single = "small NOT LIKE '% %'"
+    variants = f"v0 AS (SELECT target, m, big, small, other, {scaled} FROM (SELECT * EXCLUDE (s, o, ts) FROM g), (VALUES {targets}) AS x(target), (SELECT unnest({factors}) AS m)), v AS (SELECT *, least(CASE WHEN {single} THEN c2 ELSE c1 END + 0.001 * CASE WHEN {single} THEN c1 ELSE c2 END, c1 * c2) AS cost FROM v0)"
+    base = "b AS (SELECT 1 AS one, big, small, other, least(o + 0.001 * s, c1 * c2) AS cost FROM g)"
+    return (
+        edges_sql(C.G5) + f", {variants}, {base}, {dp_keyed_sql('v', 'w', 'target, m', 'cost', '0', 5)}, {dp_keyed_sql('b', 'd', 'one', 'cost', '0', 5)}"
+        f" SELECT target AS subset, round(coalesce(min(greatest(m, 1 / m)) FILTER (w5.path <> d5.path), 100000))::BIGINT AS tolerance FROM w5, d5 GROUP BY 1"
+    )
+
+
+@add(_tolerance_sql())
 def tolerance(t: Tables) -> DataFrame:
     """Smallest power of ten by which a sub-join's count may err before the best plan changes."""
     e = materialize(edges_with_cards(t, C.G5), "edges")
@@ -316,7 +343,7 @@ def _bushy_sql(q: JoinQuery) -> str:
 @add(_bushy_sql(C.G6))
 def join_loss_bushy(t: Tables) -> DataFrame:
     """Cheapest bushy plan of every sub-join by the hash-join cost."""
-    found = search.bushy(materialize(_splits(t, counted(t, C.G6), "cost"), "splits"), "cost", 6)
+    found = search.bushy(materialize(_splits(t, counted(t, C.G6), "cost"), "splits"), "cost")
     return found.select("subset", F.round("best", 4).alias("best"))
 
 
@@ -331,12 +358,37 @@ def _splits(t: Tables, counts: DataFrame, out: str) -> DataFrame:
     return splits.select("qid", "big", "left", "right", costs.hash_join().alias(out))
 
 
-@add()
+def _join_loss_sql() -> str:
+    q, subsets = C.G6, set(C.G6.subsets())
+    rows = []
+    for b in subsets:
+        for left in subsets:
+            right = tuple(x for x in b if x not in left)
+            if set(left) < set(b) and right in subsets and key(left) < key(right):
+                rows.append(f"('{key(b)}', '{key(left)}', '{key(right)}')")
+    cost = "0.001 * greatest({0}.value, 1) + 0.001 * greatest({1}.value, 1)"
+    out = (
+        f"WITH a AS ({counts_sql(q)}), x AS ({_expected_sql(q)}), e(big, l, r) AS (VALUES {', '.join(rows)}), g AS (SELECT e.*, {cost.format('a1', 'a2')} AS tc, {cost.format('x1', 'x2')} AS ec"
+        " FROM e JOIN a AS a1 ON a1.subset = l JOIN a AS a2 ON a2.subset = r JOIN x AS x1 ON x1.subset = l JOIN x AS x2 ON x2.subset = r)"
+    )
+    for name, by in (("est", "ec"), ("opt", "tc")):
+        out += f", {name}1 AS (SELECT subset, 0::DOUBLE AS best, subset AS tree, 0::DOUBLE AS carried FROM a WHERE n_tables = 1)"
+        for k in range(2, len(q.tables) + 1):
+            out += (
+                f", {name}{k} AS (SELECT * FROM {name}{k - 1} UNION ALL SELECT big, best, tree, carried FROM (SELECT big, {by} + y.best + z.best AS best, '(' || y.tree || ' ' || z.tree || ')' AS tree,"
+                f" tc + y.carried + z.carried AS carried, row_number() OVER (PARTITION BY big ORDER BY {by} + y.best + z.best, '(' || y.tree || ' ' || z.tree || ')') AS rank"
+                f" FROM g JOIN {name}{k - 1} AS y ON y.subset = l JOIN {name}{k - 1} AS z ON z.subset = r WHERE len(string_split(big, ' ')) = {k}) WHERE rank = 1)"
+            )
+    n = len(q.tables)
+    return out + f" SELECT 'g6' AS qid, round(greatest(e.carried, o.best), 4) AS est, round(o.best, 4) AS opt, round(greatest(e.carried, o.best) - o.best, 4) AS loss, round(greatest(e.carried, o.best) / o.best, 6) AS ratio FROM est{n} AS e JOIN opt{n} AS o USING (subset) WHERE len(string_split(subset, ' ')) = {n}"
+
+
+@add(_join_loss_sql())
 def join_loss(t: Tables) -> DataFrame:
     """Loss of the bushy plan that textbook estimates choose, by the hash-join cost under true counts."""
     true, est = _splits(t, counted(t, C.G6), "true_cost"), _splits(t, stats.expected_counts(t.spark, t, C.G6), "est_cost")
     both = materialize(true.join(est, ["qid", "big", "left", "right"]), "splits")
-    return search.join_loss(both, "true_cost", "est_cost", 6)
+    return search.join_loss(both, "true_cost", "est_cost").withColumns({c: F.round(c, n) for c, n in (("est", 4), ("opt", 4), ("loss", 4), ("ratio", 6))})
 
 
 @add()
@@ -350,7 +402,7 @@ def operator_histogram(t: Tables) -> DataFrame:
 @add(C.G5.count_sql(select="COUNT(*) AS n"))
 def forced_join_order(t: Tables) -> DataFrame:
     """The query run in the order that the plan search chose."""
-    path = search.full_only(search.left_deep(_default_cost(t), "cost", levels=5)).first()["path"]
+    path = search.left_deep(_default_cost(t), "cost", full=True).first()["path"]
     return C.G5.join(t, tuple(sorted(C.G5.tables)), order=path.split(" ")).agg(F.count(F.lit(1)).alias("n"))
 
 

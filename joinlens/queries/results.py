@@ -206,15 +206,35 @@ def overlap_ratio(t: Tables) -> DataFrame:
     return setops.id_overlap_ratio(t.qrep.where("split = 'test'"), t.qrep.where("split = 'train'"), "sql_key")
 
 
-@add()
+_STORED_EDGES = f"""g9 AS (SELECT qid, from_json(subset_graph, {_JSON}) AS g FROM qrep WHERE subset_graph IS NOT NULL),
+x9 AS (SELECT qid, unnest(list_zip(list_transform(g.nodes, lambda n: n.id), g.adjacency)) AS z FROM g9),
+y9 AS (SELECT qid, list_sort(z[1]) AS big, unnest(z[2]) AS s FROM x9),
+e9 AS (SELECT qid, array_to_string(big, ' ') AS big, array_to_string(list_sort(s.id), ' ') AS small, array_to_string(list_filter(big, lambda a: NOT list_contains(s.id, a)), ' ') AS other FROM y9),
+k9 AS (SELECT qid, subset, greatest(actual, 1)::DOUBLE AS a, greatest(expected, 1)::DOUBLE AS p FROM cards WHERE actual IS NOT NULL AND expected IS NOT NULL AND total IS NOT NULL),
+v9 AS (SELECT e9.*, x.a AS c1, y.a AS c2, x.p AS k1, y.p AS k2, small NOT LIKE '% %' AS one FROM e9 JOIN k9 AS x ON x.qid = e9.qid AND x.subset = small
+       JOIN k9 AS y ON y.qid = e9.qid AND y.subset = other JOIN k9 AS z ON z.qid = e9.qid AND z.subset = big),
+g AS (SELECT *, least(CASE WHEN one THEN c2 + 0.001 * c1 ELSE c1 + 0.001 * c2 END, c1 * c2) AS tc, least(CASE WHEN one THEN k2 + 0.001 * k1 ELSE k1 + 0.001 * k2 END, k1 * k2) AS ec FROM v9)"""
+
+
+def _stored_loss_sql() -> str:
+    from joinlens.queries.plans import dp_keyed_sql
+
+    return (
+        f"WITH {_PLANS}, {_STORED_EDGES}, {dp_keyed_sql('g', 'w', 'qid', 'ec', 'tc', 8)}, {dp_keyed_sql('g', 'd', 'qid', 'tc', '0', 8)},"
+        " top AS (SELECT qid, max(n) AS n FROM d GROUP BY 1)"
+        " SELECT d.qid::VARCHAR AS qid, round(w.carried, 4) AS est_plan_cost, round(d.best, 4) AS best_cost, round(greatest(w.carried - d.best, 0), 4) AS loss, round(CASE WHEN d.best <> 0 THEN w.carried / d.best END, 6) AS ratio"
+        " FROM d JOIN top ON top.qid = d.qid AND top.n = d.n JOIN w ON w.qid = d.qid AND w.subset = d.subset"
+    )
+
+
+@add(_stored_loss_sql())
 def stored_plan_loss(t: Tables) -> DataFrame:
     """Plan loss of every stored query by its expected counts, all queries in one level search."""
     known = materialize(cards(t).where("actual IS NOT NULL AND expected IS NOT NULL AND total IS NOT NULL").withColumn("qid", col("qid").cast("string")), "cards")
     stored = Q.plan_edges(t.qrep).withColumn("qid", col("qid").cast("string"))
-    true = costs.with_cost(edges.with_cards(stored, known, "actual", "total"), out="true_cost").select("qid", "big", "small", "other", "true_cost")
-    est = costs.with_cost(edges.with_cards(stored, known, "expected", "total"), out="est_cost").select("qid", "big", "small", "est_cost")
-    both = materialize(true.join(est, ["qid", "big", "small"]), "edges")
-    return search.plan_loss(both, "true_cost", "est_cost").select("qid", "est_plan_cost", "best_cost", "loss", "ratio")
+    both = costs.with_both_costs(edges.with_cards(stored, known, "actual", "total", "expected"))
+    found = search.plan_loss(both, "true_cost", "est_cost")
+    return found.select("qid", *(F.round(c, 4).alias(c) for c in ("est_plan_cost", "best_cost", "loss")), F.round("ratio", 6).alias("ratio"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

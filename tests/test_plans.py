@@ -114,7 +114,7 @@ def test_plan_search_and_loss(spark, seed):
     rows = graph(spark, seed)
     df = spark.createDataFrame(rows, EDGES)
     plans = list(brute_plans(rows))
-    best = search.full_only(search.left_deep(df, "cost")).first()
+    best = search.left_deep(df, "cost", full=True).first()
     assert best.best == min(p[0] for p in plans) and any(p[0] == best.best and p[2] == best.path for p in plans)
     loss = search.plan_loss(df, "cost", "est").first()
     chosen = [p for p in plans if p[1] == min(q[1] for q in plans)]
@@ -124,13 +124,13 @@ def test_plan_search_and_loss(spark, seed):
 
 def test_two_queries_at_once(spark):
     rows = graph(spark, 1, "p") + graph(spark, 2, "q")
-    both = {r.qid: r.best for r in search.full_only(search.left_deep(spark.createDataFrame(rows, EDGES), "cost")).collect()}
+    both = {r.qid: r.best for r in search.left_deep(spark.createDataFrame(rows, EDGES), "cost", full=True).collect()}
     assert both == {x: min(p[0] for p in brute_plans([r for r in rows if r[0] == x])) for x in "pq"}
 
 
 def test_ties_go_to_the_first_name(spark):
     rows = [(r[0], r[1], r[2], r[3], 1.0, 1.0) for r in graph(spark)]
-    assert search.full_only(search.left_deep(spark.createDataFrame(rows, EDGES), "cost")).first().path == "a b c d"
+    assert search.left_deep(spark.createDataFrame(rows, EDGES), "cost", full=True).first().path == "a b c d"
 
 
 def test_flow_is_conserved(spark):
