@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from joinlens.functions.scalars import Z99
 from joinlens.operators.cards import Loader, sub_plan_counts
+from joinlens.operators.windows import global_rank
 from joinlens.session import materialize
 from joinlens.workload.spec import JoinQuery, key
 
 # Fixed values of the arithmetic draw, which any SQL engine can repeat.
 MULTIPLIER = 950706376
 MODULUS = 2147483647
+#: Rows of one key that a window may order in one task.
+WINDOW_ROWS = 1 << 20
+#: Walks up to this number are broadcast, one row each.
+BROADCAST_WALKS = 100_000
 #: Tables of fewer rows are kept whole.
 SMALL_TABLE = 1000
 
@@ -57,8 +62,6 @@ def consistent_sample(load: Loader, ids: DataFrame, members: list[tuple[str, str
 
 def replicated_draws(df: DataFrame, n: int, order: list[str], seed: int = 0) -> DataFrame:
     """n draws with replacement: row numbers by arithmetic, met by a join on the global rank."""
-    from joinlens.operators.windows import global_rank
-
     ranked = global_rank(df, order, "__at")
     total = df.count()
     picks = df.sparkSession.range(n).select(F.col("id").alias("draw_no"), (F.floor(draw(F.col("id") + 1, seed) * total / MODULUS) + 1).alias("__at"))
@@ -71,8 +74,6 @@ def weighted_draws(df: DataFrame, n: int, weight: str, order: list[str], seed: i
     Cumulative weights are built within range partitions plus one sum a partition; a draw falls into the row whose interval
     holds its arithmetic number.
     """
-    from pyspark.sql import Window
-
     ranged = materialize(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "weighted")
     w = F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
@@ -137,8 +138,11 @@ def wander_join(spark: SparkSession, load: Loader, query: JoinQuery, walks: int,
 
     Walk w picks, at hop h, candidate floor(x_h size / MODULUS) with x_h = (w + 1 + seed) MULTIPLIER^(h + 1) mod MODULUS among
     the candidates ordered by their unique columns; its weight is the product of the candidate numbers, 0 once a walk is
-    dead. All conditions between the new alias and the visited ones are applied. Candidates are never gathered into lists:
-    each row of an alias is numbered within its join key, and a walk meets its row by an equality join on (key, number).
+    dead. All conditions between the new alias and the visited ones are applied.
+
+    Only what the walks reach is numbered: the rows of an alias that meet the keys of the walks (a semi-join with one row a
+    walk), and of the first alias those in the slices of its key range in which picks fall. Candidates are never gathered
+    into lists: a walk meets its row by an equality join on (key, number).
     """
     unique = unique or {}
     order = order or walk_order(query, {})
@@ -149,7 +153,7 @@ def wander_join(spark: SparkSession, load: Loader, query: JoinQuery, walks: int,
         done = order[:hop]
         linking = [e for e in query.edges if alias in (e.a, e.b) and (e.b if e.a == alias else e.a) in done]
         columns = base.columns
-        ranked_by = [c for c in unique.get(alias, columns) if c in columns] or columns
+        ranked_by = [f"{alias}__{c}" for c in unique.get(alias, columns) if c in columns] or [f"{alias}__{c}" for c in columns]
         renamed = base.select(*(F.col(c).alias(f"{alias}__{c}") for c in columns))
         pairs = []
         for e in (e for e in linking if e.op == "="):
@@ -157,17 +161,24 @@ def wander_join(spark: SparkSession, load: Loader, query: JoinQuery, walks: int,
             pairs.append((f"{alias}__{own}", other))
         keys = list(dict.fromkeys(own for own, _ in pairs))
         first = {own: other for own, other in reversed(pairs)}
-        numbered = _numbered(renamed, keys, [f"{alias}__{c}" for c in ranked_by], f"{alias}__no")
-        sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")) if keys else numbered.agg(F.count(F.lit(1)).alias("__size"))
+        number = f"{alias}__no"
         if keys:
+            reached = state.select(*(F.col(first[k]).alias(k) for k in keys)).distinct()  # at most a row a walk
+            near = renamed.join(F.broadcast(reached) if walks <= BROADCAST_WALKS else reached, keys, "left_semi")
+            near = materialize(near, "walk-rows")
+            sizes = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+            numbered = number_within(near, keys, ranked_by, number, sizes.agg(F.max("__size")).first()[0] or 0)
             state = state.join(sizes, [F.col(first[k]) == F.col(k) for k in keys], "left").drop(*keys)
+            state = state.withColumn("__no", F.floor(F.col("x") * F.col("__size") / MODULUS))
         else:
-            state = state.crossJoin(sizes)  # one row
+            limits = key_limits(renamed, ranked_by[0])
+            state = state.withColumn("__size", F.lit(limits["n"]))
+            state = state.withColumn("__no", F.floor(F.col("x") * F.col("__size") / MODULUS))
+            numbered = numbered_picks(renamed, state.select(F.col("__no").alias(number)).distinct(), ranked_by, number, limits)
         extra = [F.col(o) == F.col(p) for o, p in pairs if first[o] != p]
         extra += [F.col(f"{e.a}__{e.ca}") != F.col(f"{e.b}__{e.cb}") for e in linking if e.op == "!="]
-        state = state.withColumn("__no", F.floor(F.col("x") * F.col("__size") / MODULUS))
-        on = [F.col("__no") == F.col(f"{alias}__no"), *(F.col(first[k]) == F.col(k) for k in keys)]
-        state = state.join(numbered, on, "left").drop("__no", f"{alias}__no")
+        on = [F.col("__no") == F.col(number), *(F.col(first[k]) == F.col(k) for k in keys)]
+        state = state.join(numbered, on, "left").drop("__no", number)
         alive = F.col("__size").isNotNull() & reduce(lambda a, b: a & b, extra, F.lit(True)) & F.col(f"{alias}__{columns[0]}").isNotNull()
         state = state.withColumn("weight", F.when(alive, F.col("weight") * F.col("__size")).otherwise(0.0)).drop("__size")
         state = materialize(state.withColumn("x", F.pmod(F.col("x") * MULTIPLIER, F.lit(MODULUS))), "walk")
@@ -177,12 +188,42 @@ def wander_join(spark: SparkSession, load: Loader, query: JoinQuery, walks: int,
     return reduce(DataFrame.unionByName, out)
 
 
-def _numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """df with the number of each row within its key, from 0; rows of all keys together are ranked globally without keys."""
-    from joinlens.operators.windows import global_rank
+def key_limits(df: DataFrame, column: str) -> Row:
+    """Rows, nulls and range of a column."""
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(column).isNull()).alias("none"), F.min(column).alias("lo"), F.max(column).alias("hi")).first()
+
 
-    if not keys:
-        return global_rank(df, order, out).withColumn(out, F.col(out) - 1)
-    ranked = global_rank(df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)), [*keys, *(c for c in order if c not in keys)], "__g")
+def numbered_picks(df: DataFrame, picks: DataFrame, order: list[str], out: str, limits: Row, slices: int = 4096) -> DataFrame:
+    """The rows of df at the places in picks (column out, from 0) of the order, with their place; limits: of order's first column.
+
+    The range of the first order column is cut into equal slices, whose rows are counted; only the rows of slices that hold
+    a pick are ranked. A column that is no whole number, or nulls in it, are ranked over the whole table.
+    """
+    kind = df.schema[order[0]].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long") or limits["none"] or limits["lo"] is None:
+        return global_rank(df, order, out).withColumn(out, F.col(out) - 1).join(picks, out, "left_semi")
+    width = (int(limits["hi"]) - int(limits["lo"])) // slices + 1
+    sliced = df.withColumn("__slice", F.floor((F.col(order[0]).cast("long") - int(limits["lo"])) / width))
+    before = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # one row a slice
+    places = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__c"))
+    places = places.withColumn("__low", F.coalesce(F.sum("__c").over(before), F.lit(0)))
+    table = places.agg(F.array_sort(F.collect_list(F.struct("__low", "__slice", "__c"))).alias("__t"))  # one row of `slices` entries
+    found = picks.crossJoin(F.broadcast(table)).select(F.element_at(F.filter("__t", lambda x: x["__low"] <= F.col(out)), -1).alias("x"))
+    hit = materialize(found.select("x.*").distinct(), "walk-slices")  # at most a row a slice
+    near = sliced.join(F.broadcast(hit.drop("__c")), "__slice")
+    ranked = number_within(near, ["__slice"], order, "__at", hit.agg(F.max("__c")).first()[0] or 0)
+    return ranked.withColumn(out, F.col("__low") + F.col("__at")).select(*df.columns, out).join(picks, out, "left_semi")
+
+
+def number_within(df: DataFrame, keys: list[str], order: list[str], out: str, most: int) -> DataFrame:
+    """df with the number of each row within its key, from 0, given the rows of its largest key. Null keys are left out.
+
+    If a key is too large for one task, all rows are ranked together in ranges.
+    """
+    known = df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    rest = [c for c in order if c not in keys]
+    if most <= WINDOW_ROWS:
+        return known.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*(rest or keys))) - 1)
+    ranked = global_rank(known, [*keys, *rest], "__g")
     starts = ranked.groupBy(*keys).agg(F.min("__g").alias("__first"))
     return ranked.join(starts, keys).withColumn(out, F.col("__g") - F.col("__first")).drop("__g", "__first")

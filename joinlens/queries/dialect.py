@@ -9,6 +9,7 @@ from joinlens.functions import scalars as S
 from joinlens.operators import setops, windows
 from joinlens.operators.percentiles import exact_percentiles
 from joinlens.queries.base import Registry, Tables
+from joinlens.sources import qrep as Q
 
 R = Registry()
 add = R.add
@@ -400,21 +401,21 @@ def except_ids(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey").exceptAll(t.lineitem.select("l_orderkey").distinct()).distinct()
 
 
-_OVERLAP_SETS = """
-WITH s AS (SELECT o_orderkey, o_custkey % 10 = 0 AS probe, list_distinct(list(l_suppkey % 40)) AS a
-           FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
-"""
+_GRAPH_IDS = "'{\"nodes\": [{\"id\": \"VARCHAR\", \"real_name\": \"VARCHAR\", \"pred_cols\": [\"VARCHAR\"]}]}'"
 
 
 @add(
-    _OVERLAP_SETS + "SELECT p.o_orderkey, round(max(coalesce(len(list_intersect(p.a, t.a)), 0) / len(p.a)), 6) AS best FROM s AS p, s AS t"
-    " WHERE p.probe AND NOT t.probe AND p.o_orderkey % 100 = 0 GROUP BY 1"
+    f"WITH g AS (SELECT qid, split, unnest(from_json(join_graph, {_GRAPH_IDS}).nodes) AS x FROM qrep WHERE split IN ('train', 'test')),"
+    " i AS (SELECT qid, split, unnest(list_append(x.pred_cols, x.real_name)) AS id FROM g),"
+    " s AS (SELECT qid, split, list(DISTINCT id) AS a FROM i WHERE id IS NOT NULL GROUP BY 1, 2), k AS (SELECT DISTINCT list_sort(a) AS b FROM s WHERE split = 'train'),"
+    " p AS (SELECT DISTINCT list_sort(a) AS a FROM s WHERE split = 'test'), m AS (SELECT a, max(len(list_intersect(a, b)) / len(a)) AS best FROM p, k GROUP BY 1)"
+    " SELECT s.qid, round(best, 6) AS best FROM s JOIN m ON list_sort(s.a) = m.a WHERE split = 'test'"
 )
 def best_overlap(t: Tables) -> DataFrame:
-    sets = t.orders.join(t.lineitem, col("o_orderkey") == col("l_orderkey")).groupBy("o_orderkey", (col("o_custkey") % 10 == 0).alias("probe"))
-    sets = sets.agg(F.collect_set(col("l_suppkey") % 40).alias("a"))
-    probes = sets.where("probe AND o_orderkey % 100 = 0").select("o_orderkey", "a")  # the stated query set
-    return setops.best_overlap(probes, sets.where("NOT probe").select("o_orderkey", "a"), "o_orderkey", "a").select("o_orderkey", F.round("best", 6).alias("best"))
+    """Tables and filter columns of every test query, against those of all training queries."""
+    nodes = Q.join_nodes(t.qrep).select("qid", F.explode(F.array_append("pred_cols", col("real_name"))).alias("id")).where("id IS NOT NULL")
+    sets = nodes.groupBy("qid").agg(F.collect_set("id").alias("ids")).join(t.qrep.select("qid", "split"), "qid")  # the ids of one query
+    return setops.best_overlap(sets.where("split = 'test'"), sets.where("split = 'train'"), "qid", "ids").select("qid", F.round("best", 6).alias("best"))
 
 
 @add("SELECT count(*) FILTER (WHERE p_brand IN ('Brand#2', 'Brand#4', 'Brand#17')) AS within, count(*) FILTER (WHERE p_brand NOT IN ('Brand#2', 'Brand#4', 'Brand#17')) AS beyond FROM part")

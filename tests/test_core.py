@@ -110,6 +110,35 @@ def test_wander_join_is_unbiased(spark):
     assert sampling.wander_join(spark, lambda n: t[n], empty, 10, order=["a", "b"]).where("subset = 'a b'").first().estimate == 0
 
 
+@pytest.mark.parametrize("most", [sampling.WINDOW_ROWS, 0])
+def test_picks_and_numbers(spark, monkeypatch, most):
+    monkeypatch.setattr(sampling, "WINDOW_ROWS", most)
+    rng = random.Random(7)
+    rows = [(rng.choice([5, 5, 5, rng.randint(-10_000, 10_000)]), i) for i in range(900)]
+    df, order = spark.createDataFrame(rows, "k long, i int"), sorted(rows)
+    picks = sorted({rng.randrange(900) for _ in range(60)})
+    found = sampling.numbered_picks(df, spark.createDataFrame([(p,) for p in picks], "at long"), ["k", "i"], "at", sampling.key_limits(df, "k"), slices=50)
+    assert {r["at"]: (r.k, r.i) for r in found.collect()} == {p: order[p] for p in picks}
+    text = df.select(F.col("k").cast("string").alias("k"), "i")
+    assert sampling.numbered_picks(text, spark.createDataFrame([(3,)], "at long"), ["k", "i"], "at", sampling.key_limits(text, "k")).count() == 1
+    numbered = sampling.number_within(df, ["k"], ["k", "i"], "no", 900)
+    assert {(r.k, r.i): r.no for r in numbered.collect()} == {(k, i): sum(a == k and b < i for a, b in rows) for k, i in rows}
+
+
+def test_best_overlap_equals_brute_force(spark):
+    rng = random.Random(11)
+
+    def ids():
+        return [rng.choice([0, 0, 1, rng.randint(2, 9), rng.randint(10, 60), None]) for _ in range(rng.randint(0, 9))]
+
+    probes, known = [(i, ids()) for i in range(150)], [(i, ids()) for i in range(120)]
+    schema = "k int, ids array<int>"
+    found = {r.k: r.best for r in setops.best_overlap(spark.createDataFrame(probes, schema), spark.createDataFrame(known, schema), "k", "ids").collect()}
+    for k, a in probes:
+        a = set(a) - {None}
+        assert found[k] == (max(len(a & set(b)) for _, b in known) / len(a) if a else 0)
+
+
 def test_tree_model_is_exact_on_a_tree(spark):
     rng = random.Random(4)
     rows = []
