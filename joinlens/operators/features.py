@@ -2,16 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from joinlens.functions.scalars import has_digit, log_bucket, ngrams, sha1_bucket
+from joinlens.operators.windows import global_rank
+from joinlens.workload.parser import UnsupportedQuery, parse
+
+#: Kinds of filters, in the order of their one-hot slots.
+OPERATORS = ("eq", "ne", "lt", "in", "not_in", "like", "not_like")
 
 
 def vocabulary(values: DataFrame, column: str) -> DataFrame:
-    """(column, slot): slots 0..n-1 in the order of the distinct values (tables, joins or columns of a workload: small)."""
+    """(column, slot): slots 0..n-1 in the order of the distinct values."""
     names = values.select(column).where(F.col(column).isNotNull()).distinct()
-    return names.withColumn("slot", F.row_number().over(Window.orderBy(column)) - 1)
+    return global_rank(names, [column], "slot").select(column, (F.col("slot") - 1).cast("int").alias("slot"))
+
+
+def workload_filters(queries: DataFrame, qid: str, sql: str) -> DataFrame:
+    """(qid, alias, pos, col, op, vals) of every filter of the query texts; col is table.column, pos counts within the alias.
+
+    Texts outside the dialect have no filters.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    read = parse(text) if text else None
+                except UnsupportedQuery:
+                    read = None
+                seen: dict[str, int] = {}
+                for p in read.preds if read else ():
+                    alias, _, column = p["column"].rpartition(".")
+                    alias = alias or next(iter(read.tables))
+                    pos = seen[alias] = seen.get(alias, -1) + 1
+                    for into, x in zip(out, (row, alias, pos, f"{read.tables.get(alias, alias)}.{column}", p["op"], p["values"]), strict=True):
+                        into.append(x)
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["qid", "alias", "pos", "col", "op", "vals"])
+
+    return queries.select(F.col(qid).cast("long"), sql).mapInArrow(run, "qid long, alias string, pos int, col string, op string, vals array<string>")
+
+
+def filter_stats(filters: DataFrame) -> DataFrame:
+    """Statistics of the columns (as of stats.column_stats) from the constants that a workload compares them with, for
+    tables that are not at hand."""
+    values = filters.select(F.col("col").alias("col_name"), F.explode("vals").alias("v")).where("v IS NOT NULL").groupBy("col_name", "v").agg(F.count(F.lit(1)).alias("n"))
+    number = F.col("v").try_cast("double")
+    low, high = (F.when(F.count(number) == F.count("v"), f(number).cast("string")).otherwise(f("v")) for f in (F.min, F.max))
+    return values.groupBy("col_name").agg(low.alias("min_value"), high.alias("max_value"), F.count(F.lit(1)).alias("num_values"))
 
 
 def layout(stats: DataFrame, buckets: int = 10) -> DataFrame:
@@ -31,7 +75,7 @@ def members(cards: DataFrame) -> DataFrame:
 
 def table_onehot(cards: DataFrame, nodes: DataFrame, vocab: DataFrame) -> DataFrame:
     """Sum of the member tables' one-hot vectors."""
-    named = members(cards).join(nodes.select("qid", "alias", "real_name"), ["qid", "alias"]).join(F.broadcast(vocab), "real_name")  # one row a table name
+    named = members(cards).join(nodes.select("qid", "alias", "real_name"), ["qid", "alias"]).join(vocab, "real_name")
     return named.groupBy("qid", "subset", "slot").agg(F.count(F.lit(1)).cast("double").alias("value"))
 
 
@@ -56,11 +100,17 @@ def predicate_features(preds: DataFrame, slots: DataFrame, stats: DataFrame) ->
 
     ends = F.array(F.struct(F.lit(0).cast("long").alias("o"), scaled(0, low).alias("value")), F.struct(F.lit(1).cast("long").alias("o"), scaled(1, high).alias("value")))
     ranges = first.where("kind = 'range' AND op = 'lt'").select("qid", "alias", "first_slot", F.explode(ends).alias("x"))
-    hashed = first.where("NOT (kind = 'range' AND op = 'lt')").select("qid", "alias", "first_slot", "width", F.explode("vals").alias("v"))
+    hashed = first.where("NOT (kind = 'range' AND op = 'lt')").select("qid", "alias", "first_slot", "width", F.explode("vals").alias("v")).where("v IS NOT NULL")
     hashed = hashed.select("qid", "alias", (F.col("first_slot") + F.pmod(sha1_bucket(F.col("v"), 9973), F.col("width"))).alias("slot"), F.lit(1.0).alias("value")).distinct()
     return ranges.select("qid", "alias", (F.col("first_slot") + F.col("x.o")).alias("slot"), "x.value").unionByName(hashed)
 
 
+def operator_features(filters: DataFrame) -> DataFrame:
+    """(qid, alias, slot, value): one-hot kind of the first filter of each alias, in the order of OPERATORS."""
+    slot = F.array_position(F.array(*map(F.lit, OPERATORS)), F.col("op")) - 1
+    return filters.where("pos = 0").select("qid", "alias", slot.alias("slot"), F.lit(1.0).alias("value")).where("slot >= 0")
+
+
 def pattern_features(preds: DataFrame, buckets: int = 10) -> DataFrame:
     """(qid, alias, slot, value) of LIKE patterns: hashed 1- to 3-grams, then length and has-digit behind the buckets."""
     like = preds.where(F.col("op").isin("like", "not_like")).select("qid", "alias", F.get("vals", F.lit(0)).alias("v"))
@@ -97,11 +147,65 @@ def neighbour_features(cards: DataFrame, joins: DataFrame) -> DataFrame:
     return cards.select("qid", "subset").join(counts, ["qid", "subset"], "left").select("qid", "subset", F.coalesce("n_neighbours", F.lit(0)).alias("n_neighbours"))
 
 
-def padded(vectors: DataFrame, column: str, longest: int) -> DataFrame:
-    """Array column padded with zeros to a length, beside its mask."""
-    size = F.size(column)
-    pad = F.greatest(F.lit(longest) - size, F.lit(0))
-    return vectors.withColumn("mask", F.concat(F.array_repeat(F.lit(1.0), size), F.array_repeat(F.lit(0.0), pad))).withColumn(column, F.concat(F.col(column), F.array_repeat(F.lit(0.0), pad)))
+def log_target(value, low: float, high: float):
+    """The target of a model: the logarithm scaled to 0..1 between the logarithms of low and high."""
+    return (F.ln(F.greatest(value.cast("double"), F.lit(1.0))) - low) / (high - low)
+
+
+def combined(plans: DataFrame, nodes: DataFrame, joins: DataFrame, filters: DataFrame, buckets: int = 4) -> tuple[DataFrame, int]:
+    """(sparse rows, width) of sub-plans: tables, joins, kinds of filters, filter slots, pattern slots, then the number of
+    tables, the scaled planner estimate, its share of the total and the total."""
+    tables, links = vocabulary(nodes, "real_name"), vocabulary(joins, "join_condition")
+    found = filter_stats(filters)
+    slots = layout(found, buckets)
+    widths = (tables.count(), links.count(), len(OPERATORS), slots.agg(F.coalesce(F.sum("width"), F.lit(0))).first()[0], buckets + 2)
+    blocks = (
+        table_onehot(plans, nodes, tables), join_onehot(plans, joins, links), subset_sum(plans, operator_features(filters)),
+        subset_sum(plans, predicate_features(filters, slots, found)), subset_sum(plans, pattern_features(filters.where("pos = 0"), buckets)),
+    )
+    at, out = 0, None
+    for width, block in zip(widths, blocks, strict=True):
+        moved = block.select("qid", "subset", (F.col("slot") + at).cast("int").alias("slot"), "value")
+        out, at = moved if out is None else out.unionByName(moved), at + width
+    est, total = (F.greatest(F.col(c).cast("double"), F.lit(1.0)) for c in ("expected", "total"))
+    scalars = [F.col("n_tables") / 10, F.ln(est) / 25, F.least(F.lit(1.0), est / total), F.ln(total) / 25]
+    each = F.explode(F.array(*(F.struct(F.lit(at + i).alias("slot"), x.cast("double").alias("value")) for i, x in enumerate(scalars))))
+    return out.unionByName(plans.select("qid", "subset", each.alias("x")).select("qid", "subset", "x.slot", "x.value")), at + len(scalars)
+
+
+def set_features(plans: DataFrame, nodes: DataFrame, joins: DataFrame, filters: DataFrame, buckets: int = 10) -> tuple[DataFrame, dict[str, int]]:
+    """(qid, subset, tables, joins, filters, scalars) of sub-plans as sets of elements, and the widths of their one-hot parts.
+
+    tables and joins: arrays of slots; filters: array of (column, operator, hashed value, low, high), one a filter.
+    """
+    tables, links = vocabulary(nodes, "real_name"), vocabulary(joins, "join_condition")
+    columns = vocabulary(filters.select("col"), "col")
+    found = filter_stats(filters)
+    low, high = F.col("min_value").try_cast("double"), F.col("max_value").try_cast("double")
+
+    def scaled(at: int, default: float):
+        v = F.get("vals", F.lit(at)).try_cast("double")
+        return F.when((F.col("op") == "lt") & (high > low) & v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - low) / (high - low)))).otherwise(default)
+
+    op = F.greatest(F.array_position(F.array(*map(F.lit, OPERATORS)), F.col("op")) - 1, F.lit(0)).cast("int")
+    hashed = F.pmod(F.xxhash64("vals"), F.lit(buckets)).cast("int")
+    rows = filters.join(columns, "col").join(found.withColumnRenamed("col_name", "col"), "col")
+    rows = rows.select("qid", "alias", F.struct(F.col("slot").alias("c"), op.alias("o"), hashed.alias("h"), scaled(0, 0.0).alias("lo"), scaled(1, 1.0).alias("hi")).alias("f"))
+    inner = members(plans)
+
+    def gathered(df: DataFrame, value: str, out: str) -> DataFrame:
+        return df.groupBy("qid", "subset").agg(F.array_sort(F.collect_list(value)).alias(out))  # elements of one sub-plan
+
+    t = gathered(inner.join(nodes.select("qid", "alias", "real_name"), ["qid", "alias"]).join(tables, "real_name"), "slot", "tables")
+    j = joins.join(plans.select("qid", "subset", F.split("subset", " ").alias("__a")), "qid").where(F.array_contains("__a", F.col("a1")) & F.array_contains("__a", F.col("a2")))
+    j = gathered(j.join(links, "join_condition"), "slot", "joins")
+    f = gathered(inner.join(rows, ["qid", "alias"]), "f", "filters")
+    est, total = (F.greatest(F.col(c).cast("double"), F.lit(1.0)) for c in ("expected", "total"))
+    scalars = F.array((F.col("n_tables") / 10).cast("double"), F.ln(est) / 25, F.least(F.lit(1.0), est / total), F.ln(total) / 25)
+    made = plans.select("qid", "subset", scalars.alias("scalars"))
+    for part in (t, j, f):
+        made = made.join(part, ["qid", "subset"], "left")
+    return made, {"tables": tables.count(), "joins": links.count(), "columns": columns.count(), "operators": len(OPERATORS), "hashes": buckets, "scalars": 4}
 
 
 def dense(vectors: DataFrame, width: int) -> DataFrame:

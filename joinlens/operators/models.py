@@ -1,4 +1,4 @@
-"""Learned estimators: tree ensembles and linear models of pyspark.ml, and a small network with set pooling."""
+"""Learned estimators: tree ensembles and linear models of pyspark.ml, and a network over sets of tables, joins and filters."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -19,7 +20,7 @@ TRAINING_ROWS = 20_000
 
 
 def _regressor(kind: str, seed: int):
-    options = {"featuresCol": "features", "labelCol": "label", "predictionCol": "prediction"}
+    options = {"featuresCol": "__in", "labelCol": "label", "predictionCol": "prediction"}
     if kind == "xgboost":
         return GBTRegressor(maxIter=20, maxDepth=5, seed=seed, **options)
     if kind == "rf":
@@ -30,11 +31,17 @@ def _regressor(kind: str, seed: int):
 
 
 def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], target: str, kind: str, seed: int = 0, scale: str | None = None, search: bool = False) -> DataFrame:
-    """test with a column est: the model is fitted to the logarithm of target (1 at least) on train."""
+    """test with a column est: the model is fitted to the logarithm of target (1 at least) on train.
+
+    columns: numbers or arrays of numbers. search tries a small grid by cross-validation.
+    """
     label = F.ln(F.greatest(F.col(target).cast("double"), F.lit(1.0)))
-    stages = [VectorAssembler(inputCols=columns, outputCol="raw" if scale else "features", handleInvalid="keep")]
+    arrays = [c for c in columns if train.schema[c].dataType.typeName() == "array"]
+    train, test = (df.withColumns({f"__v_{c}": array_to_vector(c) for c in arrays}) for df in (train, test))
+    columns = [f"__v_{c}" if c in arrays else c for c in columns]
+    stages = [VectorAssembler(inputCols=columns, outputCol="__raw" if scale else "__in", handleInvalid="error" if arrays else "keep")]
     if scale:
-        stages.append((MinMaxScaler if scale == "minmax" else StandardScaler)(inputCol="raw", outputCol="features"))
+        stages.append((MinMaxScaler if scale == "minmax" else StandardScaler)(inputCol="__raw", outputCol="__in"))
     model = _regressor(kind, seed)
     pipeline = Pipeline(stages=[*stages, model])
     rows = train.withColumn("label", label)
@@ -44,53 +51,130 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], target: s
     else:
         fitted = pipeline.fit(rows)
     made = fitted.transform(test)
-    return made.withColumn("est", F.greatest(F.exp("prediction"), F.lit(1.0))).drop("raw", "features", "prediction")
+    # an extrapolated logarithm may be far off: what exceeds the labels by more than a factor of e is cut there
+    top = rows.agg(F.max("label")).first()[0] or 0.0
+    return made.withColumn("est", F.greatest(F.exp(F.least("prediction", F.lit(top + 1.0))), F.lit(1.0))).drop("__raw", "__in", "prediction", *(f"__v_{c}" for c in arrays))
+
+
+def loss_slope(kind: str, d: np.ndarray) -> np.ndarray:
+    """Slope of a loss by the predicted logarithm; d is predicted less true logarithm.
+
+    mse: squared; abs: absolute; qloss: larger over smaller; rel: relative error; weighted: relative plus q-error. Errors
+    count up to e^4, so that single rows do not carry a step away.
+    """
+    cut = np.clip(d, -4, 4)
+    q, rel = np.sign(cut) * np.exp(np.abs(cut)), np.sign(cut) * np.exp(cut)
+    return {"mse": 2 * d, "abs": np.sign(d), "qloss": q, "rel": rel, "weighted": rel + q}[kind]
 
 
 class SetNetwork:
-    """Two layers over a sum-pooled set vector and scalars; squared error of the log target, full-batch Adam."""
+    """Two layers for the elements of each set (tables, joins, filters), their masked mean, and two layers over all means and
+    the scalars. Trained by Adam on mini-batches to the logarithm of the target."""
+
+    SETS = ("tables", "joins", "filters")
 
-    def __init__(self, width: int, hidden: int = 32, seed: int = 0):
+    def __init__(self, widths: dict[str, int], hidden: int = 32, seed: int = 0):
+        self.widths, self.seed = widths, seed
         rng = np.random.default_rng(seed)
-        self.w = [rng.normal(0, 1 / np.sqrt(width), (width, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), (hidden, 1)), np.zeros(1)]
-        self.mean, self.sd = np.zeros(width), np.ones(width)
-
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 200, rate: float = 0.01) -> SetNetwork:
-        self.mean, self.sd = x.mean(0), x.std(0) + 1e-9
-        self.w[3] = self.w[3] + y.mean()
-        x = (x - self.mean) / self.sd
-        m, v = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w]
-        for t in range(1, epochs + 1):
-            h = np.maximum(x @ self.w[0] + self.w[1], 0)
-            err = (h @ self.w[2] + self.w[3])[:, 0] - y
-            d = (2 * err / len(y))[:, None]
-            dh = (d @ self.w[2].T) * (h > 0)
-            for i, g in enumerate((x.T @ dh, dh.sum(0), h.T @ d, d.sum(0))):
-                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                self.w[i] = self.w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+        self.sizes = {"tables": widths["tables"], "joins": widths["joins"], "filters": widths["columns"] + widths["operators"] + widths["hashes"] + 2}
+
+        def layer(n: int, m: int) -> list[np.ndarray]:
+            return [rng.normal(0, np.sqrt(2 / max(n, 1)), (n, m)), np.zeros(m)]
+
+        self.w: list[np.ndarray] = []
+        for name in self.SETS:
+            self.w += layer(self.sizes[name], hidden) + layer(hidden, hidden)
+        self.w += layer(3 * hidden + widths["scalars"], hidden) + layer(hidden, 1)
+
+    def tensors(self, batch: pa.RecordBatch | pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(elements padded to the longest set, mask) of each set, and the scalars with an empty mask."""
+        made = []
+        for name in self.SETS:
+            lists = batch.column(name)
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            sizes = np.diff(lists.offsets.to_numpy()) * lists.is_valid().to_numpy(zero_copy_only=False)
+            flat, longest = lists.flatten(), max(1, int(sizes.max(initial=0)))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            x, mask = np.zeros((len(sizes), longest, self.sizes[name]), np.float32), np.zeros((len(sizes), longest), np.float32)
+            mask[row, at] = 1
+            if name == "filters":
+                c, o, h, lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+                first = self.widths["columns"]
+                x[row, at, c] = x[row, at, first + o] = x[row, at, first + self.widths["operators"] + h] = 1
+                x[row, at, -2], x[row, at, -1] = lo, hi
+            else:
+                x[row, at, flat.to_numpy()] = 1
+            made.append((x, mask))
+        scalars = batch.column("scalars")
+        scalars = scalars.combine_chunks() if isinstance(scalars, pa.ChunkedArray) else scalars
+        made.append((scalars.flatten().to_numpy().reshape(len(scalars), -1), np.zeros(0)))
+        return made
+
+    def forward(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list]:
+        means, kept = [], []
+        for k, (x, mask) in enumerate(parts[:3]):
+            w1, b1, w2, b2 = self.w[4 * k : 4 * k + 4]
+            one = np.maximum(x @ w1 + b1, 0)
+            two = np.maximum(one @ w2 + b2, 0)
+            share = (mask / np.maximum(mask.sum(1, keepdims=True), 1))[:, :, None]
+            means.append((two * share).sum(1))
+            kept.append((x, one, two, share))
+        z = np.concatenate([*means, parts[3][0]], 1)
+        h = np.maximum(z @ self.w[12] + self.w[13], 0)
+        return (h @ self.w[14] + self.w[15])[:, 0], [kept, z, h]
+
+    def slopes(self, kept: list, by_y: np.ndarray) -> list[np.ndarray]:
+        """Slopes of the loss by all weights, given those by the outputs."""
+        sets, z, h = kept
+        d = by_y[:, None]
+        dh = (d @ self.w[14].T) * (h > 0)
+        dz, out = dh @ self.w[12].T, []
+        width = self.w[2].shape[1]
+        for k, (x, one, two, share) in enumerate(sets):
+            d2 = dz[:, None, k * width : (k + 1) * width] * share * (two > 0)
+            d1 = (d2 @ self.w[4 * k + 2].T) * (one > 0)
+            out += [np.einsum("bmi,bmj->ij", x, d1, optimize=True), d1.sum((0, 1)), np.einsum("bmi,bmj->ij", one, d2, optimize=True), d2.sum((0, 1))]
+        return [*out, z.T @ dh, dh.sum(0), h.T @ d, d.sum(0)]
+
+    def fit(self, parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, loss: str = "mse", epochs: int = 20, rate: float = 0.003, size: int = 256) -> SetNetwork:
+        rng = np.random.default_rng(self.seed)
+        self.w[15] = self.w[15] + (y.mean() if len(y) else 0.0)
+        self.top = float(y.max(initial=0.0)) + 1.0
+        m, v, t = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
+        for _ in range(epochs):
+            order = rng.permutation(len(y))
+            for a in range(0, len(y), size):
+                pick, t = order[a : a + size], t + 1
+                out, kept = self.forward([(x[pick], mask[pick] if mask.size else mask) for x, mask in parts])
+                for i, g in enumerate(self.slopes(kept, loss_slope(loss, out - y[pick]) / len(pick))):
+                    m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
+                    self.w[i] = self.w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
         return self
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return (np.maximum((x - self.mean) / self.sd @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])[:, 0]
+    def predict(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        return np.clip(self.forward(parts)[0], 0.0, self.top)
 
 
-def network_predict(train: DataFrame, test: DataFrame, columns: list[str], target: str, keep: list[str], seed: int = 0) -> DataFrame:
-    """(keep..., est) of test by a SetNetwork that was trained on at most about TRAINING_ROWS rows of train."""
+def network_predict(train: DataFrame, test: DataFrame, widths: dict[str, int], target: str, keep: list[str], loss: str = "mse", seed: int = 0) -> DataFrame:
+    """(keep..., est) of test by a SetNetwork, trained on at most about TRAINING_ROWS rows of train (of features.set_features)."""
     n = max(1, train.count())
     part = min(1.0, TRAINING_ROWS / n)
+    columns = [*SetNetwork.SETS, "scalars"]
     drawn = train.where(F.pmod(F.xxhash64(F.lit(seed), *keep), F.lit(1_000_000)) < part * 1_000_000)
-    numbers = [F.col(c).cast("double").alias(c) for c in columns]
-    frame = drawn.select(*numbers, F.ln(F.greatest(F.col(target).cast("double"), F.lit(1.0))).alias("__y")).toPandas()  # about TRAINING_ROWS rows
-    net = SetNetwork(len(columns), seed=seed).fit(frame[columns].fillna(0.0).to_numpy(), frame["__y"].to_numpy())
+    table = drawn.select(*columns, F.ln(F.greatest(F.col(target).cast("double"), F.lit(1.0))).alias("__y")).toArrow()  # about TRAINING_ROWS rows
+    net = SetNetwork(widths, seed=seed)
+    net.fit(net.tensors(table), table.column("__y").to_numpy(), loss)
     shared = test.sparkSession.sparkContext.broadcast(net)
-    narrow = test.select(*keep, *numbers)
+    narrow = test.select(*keep, *columns)
     schema = test.select(*keep).withColumn("est", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.column_stack([batch.column(len(keep) + i).to_numpy(zero_copy_only=False) for i in range(len(columns))])
-            est = np.maximum(np.exp(shared.value.predict(np.nan_to_num(x))), 1.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(est)], [*batch.schema.names[: len(keep)], "est"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 2048):
+                batch = whole.slice(a, 2048)
+                est = np.exp(shared.value.predict(shared.value.tensors(batch))) if batch.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(est.astype(float))], [*batch.schema.names[: len(keep)], "est"])
 
     return narrow.mapInArrow(run, schema)
 

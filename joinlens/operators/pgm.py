@@ -144,6 +144,44 @@ def low_rank(joint: DataFrame, k: int) -> DataFrame:
     return joint.groupBy("a", "b").applyInPandas(shrink, "a string, b string, va string, vb string, p double")
 
 
+def corrections(joint: DataFrame, marginal: DataFrame, k: int) -> DataFrame:
+    """(a, b, va, vb, c) of every pair of columns: the sum over the k largest singular values of (p - pa pb) / sqrt(pa pb) of
+    value times both vectors, each scaled by 1 / sqrt of its marginal; p = pa pb (1 + c) where all are kept."""
+
+    def one(frame):
+        table = frame.pivot(index="va", columns="vb", values="p").fillna(0.0)
+        pa = frame.drop_duplicates("va").set_index("va")["pa"].loc[table.index].to_numpy()
+        pb = frame.drop_duplicates("vb").set_index("vb")["pb"].loc[table.columns].to_numpy()
+        alone = np.outer(pa, pb)
+        u, s, v = np.linalg.svd((table.to_numpy() - alone) / np.sqrt(alone), full_matrices=False)
+        table.loc[:, :] = ((u[:, :k] * s[:k]) @ v[:k]) / np.sqrt(alone)
+        out = table.reset_index().melt(id_vars="va", var_name="vb", value_name="c")
+        out["a"], out["b"] = frame["a"].iloc[0], frame["b"].iloc[0]
+        return out[["a", "b", "va", "vb", "c"]]
+
+    pa = marginal.select(F.col("col_name").alias("a"), F.col("value").alias("va"), F.col("p").alias("pa"))
+    pb = marginal.select(F.col("col_name").alias("b"), F.col("value").alias("vb"), F.col("p").alias("pb"))
+    return joint.join(pa, ["a", "va"]).join(pb, ["b", "vb"]).groupBy("a", "b").applyInPandas(one, "a string, b string, va string, vb string, c double")
+
+
+def pairwise(correction: DataFrame, marginal: DataFrame, tree: list[tuple[str, str]], points: DataFrame) -> DataFrame:
+    """(qid, p) of points (qid, col_name, value): independence, times one plus the corrections of the edges within the point.
+    A value that the model has not seen has probability 0."""
+    spark = points.sparkSession
+    known = points.join(marginal, ["col_name", "value"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    alone = known.groupBy("qid").agg(F.product("p").alias("alone"))
+    edges = spark.createDataFrame([(min(e), max(e)) for e in tree], "x string, y string")  # a tree of columns
+    swapped = F.col("a") > F.col("b")
+    sided = correction.select(
+        F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.when(swapped, F.col("vb")).otherwise(F.col("va")).alias("vx"),
+        F.when(swapped, F.col("va")).otherwise(F.col("vb")).alias("vy"), "c",
+    )
+    left, right = (points.select("qid", F.col("col_name").alias(c), F.col("value").alias(f"v{c}")) for c in "xy")
+    both = left.join(edges, "x").join(right, ["qid", "y"]).join(sided, ["x", "y", "vx", "vy"])
+    sums = both.groupBy("qid").agg(F.sum("c").alias("c"))
+    return alone.join(sums, "qid", "left").select("qid", (F.col("alone") * (1 + F.coalesce("c", F.lit(0.0)))).alias("p"))
+
+
 def fit(df: DataFrame, columns: list[str], at_least: int = 1) -> tuple[DataFrame, DataFrame, list[tuple[str, str]]]:
     """(joints, marginals, tree) of a table."""
     freq = materialize(frequency(df, columns, at_least), "pgm-frequency")

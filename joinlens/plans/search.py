@@ -39,6 +39,51 @@ def plan_loss(edges: DataFrame, true_cost: str, est_cost: str) -> DataFrame:
     return per_query(doubles, ["big", "small", "other", true_cost, est_cost], make, schema)
 
 
+def subquery_priorities(edges: DataFrame, true_cost: str, est_cost: str, scale: float = 1e6) -> DataFrame:
+    """(qid, subset, priority): every sub-join has the plan loss of its query, and more if it can be blamed.
+
+    From the whole query down the estimated plan: while the sub-plan's own loss is more than a third of the loss at hand, the
+    blame goes down to it; once it is less, every sub-join within the tables at hand gets the loss at hand on top. Sub-plans of
+    fewer than three tables have no loss. Priorities are divided by scale.
+    """
+
+    def make(big, small, other, true, est):
+        chosen, best = local.cheapest(big, small, other, est, [true]), local.cheapest(big, small, other, true, [])
+
+        def loss(s: str) -> float:
+            return max(chosen[s][3][0] - best[s][0], 0.0) if local.size(s) >= 3 else 0.0
+
+        out = []
+        for top in local.largest(best):
+            whole = max(chosen[top][3][0] - best[top][0], 0.0)
+            at, error, blamed = top, whole, None
+            while chosen[at][1] is not None and (below := loss(chosen[at][1])) != error / 3:
+                if below < error / 3:
+                    blamed = set(at.split(" "))
+                    break
+                at, error = chosen[at][1], below
+            inside = (s for s in best if set(s.split(" ")) <= set(top.split(" ")))
+            out += [(s, (whole + (error if blamed and set(s.split(" ")) <= blamed else 0.0)) / scale) for s in inside]
+        return out
+
+    doubles = edges.withColumns({c: F.col(c).cast("double") for c in (true_cost, est_cost)})
+    return per_query(doubles, ["big", "small", "other", true_cost, est_cost], make, "subset string, priority double")
+
+
+def query_weights(losses: DataFrame, subsets: DataFrame, by: str = "loss", per_node: bool = False, other: DataFrame | None = None) -> DataFrame:
+    """(qid, subset, weight): the loss of the query (0 at least, in millions) or its cost ratio for each of its sub-joins;
+    per_node shares it among them, other (qid, subset, w) multiplies it by a weight of their own."""
+    value = F.greatest(F.col("loss"), F.lit(0.0)) / 1e6 if by == "loss" else F.col("ratio")
+    weighted = losses.select("qid", value.alias("weight"))
+    if per_node:
+        counts = subsets.groupBy("qid").agg(F.count(F.lit(1)).alias("__n"))
+        weighted = weighted.join(counts, "qid").select("qid", (F.col("weight") / F.col("__n")).alias("weight"))
+    made = subsets.join(weighted, "qid")
+    if other is not None:
+        made = made.join(other, ["qid", "subset"]).withColumn("weight", F.col("weight") * F.col("w")).drop("w")
+    return made.select("qid", "subset", "weight")
+
+
 def path_flags(edges: DataFrame, cost: str) -> DataFrame:
     """(qid, subset) of the sub-joins on the cheapest plan: the prefixes of its join order."""
     path = left_deep(edges, cost, full=True).select("qid", F.split("path", " ").alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinlens.operators import estimators, pgm, sampling
+from joinlens.operators import estimators, features, pgm, sampling
 from joinlens.plans import edges, flow, search
 from joinlens.queries.base import Registry, Tables
 from joinlens.queries.plans import counted, estimated_and_true
@@ -117,6 +117,21 @@ def hash_split(t: Tables) -> DataFrame:
     return t.qrep.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_TEMPLATE = "nullif(regexp_replace(lower(template_name), '[^a-z0-9]', '', 'g'), '')"
+
+
+@add(
+    f"WITH k AS (SELECT {_TEMPLATE} AS template_key, min(qid) AS q, count(*) AS n FROM qrep GROUP BY 1) SELECT template_key, n,"
+    f" CASE WHEN {_draw('q', 5)} < {int(0.5 * 2147483647)} THEN 'train' WHEN {_draw('q', 5)} < {int(0.7 * 2147483647)} THEN 'val' ELSE 'test' END AS split FROM k WHERE template_key IS NOT NULL"
+)
+def template_split(t: Tables) -> DataFrame:
+    """Whole templates drawn into splits, by their first query."""
+    key = F.nullif(F.regexp_replace(F.lower("template_name"), "[^a-z0-9]", ""), F.lit(""))
+    keys = t.qrep.groupBy(key.alias("template_key")).agg(F.min("qid").alias("q"), F.count(F.lit(1)).alias("n")).where("template_key IS NOT NULL")
+    at = sampling.draw("q", 5)
+    return keys.select("template_key", "n", F.when(at < int(0.5 * sampling.MODULUS), "train").when(at < int(0.7 * sampling.MODULUS), "val").otherwise("test").alias("split"))
+
+
 _NO = "floor(((d.i + 1) * 950706376 % 2147483647) * (SELECT count(*) FROM supplier) / 2147483647)"
 
 
@@ -168,10 +183,17 @@ def est_saved_fallback(t: Tables) -> DataFrame:
     return estimators.estimate("saved", base, predictions=saved)
 
 
-@add(f"WITH {_PLANS}, l AS (SELECT qid, lower(sql) LIKE '%like%' AS p FROM qrep) SELECT qid, subset, (CASE WHEN p THEN actual ELSE expected END)::DOUBLE AS est FROM cards JOIN l USING (qid) WHERE actual IS NOT NULL AND expected IS NOT NULL AND total IS NOT NULL")
+@add(
+    f"WITH {_PLANS}, l AS (SELECT qid, list_distinct(regexp_extract_all(lower(sql), '([a-z0-9_]+)\\.[a-z0-9_]+\\s+(?:not\\s+)?i?like\\s', 1)) AS a FROM qrep)"
+    " SELECT qid, subset, (CASE WHEN len(list_intersect(a, string_split(subset, ' '))) > 0 THEN actual ELSE expected END)::DOUBLE AS est"
+    " FROM cards JOIN l USING (qid) WHERE actual IS NOT NULL AND expected IS NOT NULL AND total IS NOT NULL"
+)
 def est_regex(t: Tables) -> DataFrame:
-    flags = t.qrep.select("qid", F.lower("sql").contains("like").alias("p"))
-    return estimators.estimate("regex", known(t).join(flags, "qid"), has_pattern="p")
+    """The truth for sub-plans with a pattern on one of their own tables."""
+    kept = materialize(known(t), "cards")
+    patterns = features.workload_filters(t.qrep, "qid", "sql").where("op IN ('like', 'not_like')").select("qid", "alias").distinct()
+    flagged = features.members(kept).join(patterns, ["qid", "alias"]).select("qid", "subset", F.lit(True).alias("p")).distinct()
+    return estimators.estimate("regex", kept.join(flagged, ["qid", "subset"], "left").withColumn("p", F.coalesce("p", F.lit(False))), has_pattern="p")
 
 
 @add()
@@ -197,13 +219,13 @@ w0 AS (SELECT i AS w, (i + 1) * {k} % {m} AS x0 FROM (SELECT unnest(range({walks
 w1 AS (SELECT w, x0 * {k} % {m} AS x1, o.sz::DOUBLE AS f1, o_custkey, o_orderkey FROM w0 JOIN o ON o.no = floor(x0 * sz / {m})),
 w2 AS (SELECT w, x1 * {k} % {m} AS x2, CASE WHEN c.sz IS NULL THEN 0 ELSE f1 * c.sz END AS f2, f1, o_orderkey FROM w1 LEFT JOIN c ON c.c_custkey = w1.o_custkey AND c.no = floor(x1 * c.sz / {m})),
 w3 AS (SELECT w, f1, f2, CASE WHEN l.sz IS NULL THEN 0 ELSE f2 * l.sz END AS f3 FROM w2 LEFT JOIN l ON l.l_orderkey = w2.o_orderkey AND l.no = floor(x2 * l.sz / {m}))
-SELECT subset, ceil(avg(f))::BIGINT AS estimate, round(stddev_samp(f), 3) AS sd FROM (SELECT 'o' AS subset, f1 AS f FROM w3 UNION ALL SELECT 'c o', f2 FROM w3 UNION ALL SELECT 'c l o', f3 FROM w3) GROUP BY 1"""
+SELECT subset, ceil(avg(f))::BIGINT AS estimate, round(stddev_samp(f), 3) AS sd, round(2.5758293035489004 * stddev_samp(f) / sqrt({walks}), 3) AS half_interval FROM (SELECT 'o' AS subset, f1 AS f FROM w3 UNION ALL SELECT 'c o', f2 FROM w3 UNION ALL SELECT 'c l o', f3 FROM w3) GROUP BY 1"""
 
 
 @add(_walk_sql(2000))
 def wander_join(t: Tables) -> DataFrame:
     found = sampling.wander_join(t.spark, t, C.G3, 2000, order=["o", "c", "l"])
-    return found.select("subset", "estimate", F.round("sd", 3).alias("sd"))
+    return found.select("subset", "estimate", F.round("sd", 3).alias("sd"), F.round("half_interval", 3).alias("half_interval"))
 
 
 # ---- tree models
@@ -264,6 +286,20 @@ def pgm_tree_fit(t: Tables) -> DataFrame:
     return pgm.infer(joint, marginal, tree, queries, filters).withColumn("tree", F.lit(" ".join(f"{a}>{b}" for a, b in tree))).withColumn("n_parameters", F.lit(size))
 
 
+@add(
+    f"WITH m AS ({_MARGINAL}), j AS ({_JOINT}), e AS (SELECT * FROM j WHERE a = 'l_returnflag'), q(qid, r, s, n) AS (VALUES (1, 'A', 'F', '1'), (2, 'N', 'O', '3'), (3, 'R', 'O', '2'))"
+    " SELECT q.qid, round(coalesce(r.p * s.p * n.p * (1 + (coalesce(u.p, 0) / (r.p * s.p) - 1) + (coalesce(w.p, 0) / (r.p * n.p) - 1)), 0), 8) AS p FROM q"
+    " LEFT JOIN m AS r ON r.col_name = 'l_returnflag' AND r.value = q.r LEFT JOIN m AS s ON s.col_name = 'l_linestatus' AND s.value = q.s LEFT JOIN m AS n ON n.col_name = 'l_linenumber' AND n.value = q.n"
+    " LEFT JOIN e AS u ON u.b = 'l_linestatus' AND u.va = q.r AND u.vb = q.s LEFT JOIN e AS w ON w.b = 'l_linenumber' AND w.va = q.r AND w.vb = q.n"
+)
+def pgm_pairwise(t: Tables) -> DataFrame:
+    """Points by independence and a correction for each edge, from all its singular vectors."""
+    joint, marginal = _model(t)
+    points = [(q, c, v) for q, values in ((1, "AF1"), (2, "NO3"), (3, "RO2")) for c, v in zip(_COLUMNS, values, strict=True)]
+    found = pgm.pairwise(pgm.corrections(joint, marginal, 10), marginal, [("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber")], t.spark.createDataFrame(points, "qid int, col_name string, value string"))
+    return found.withColumn("p", F.round("p", 8))
+
+
 @add()
 def pgm_low_rank(t: Tables) -> DataFrame:
     return pgm.low_rank(_model(t)[0], 2)

@@ -113,60 +113,102 @@ def pred_features(t: Tables) -> DataFrame:
 
 @add()
 def like_pattern_features(t: Tables) -> DataFrame:
-    return X.pattern_features(_filters(t))
+    """Hashed grams, length and digits of the patterns of all stored queries."""
+    return X.pattern_features(X.workload_filters(t.qrep, "qid", "sql"))
+
+
+@add(
+    "WITH n AS (SELECT qid, lower(sql) AS s FROM qrep WHERE sql IS NOT NULL) SELECT qid,"
+    r" len(regexp_extract_all(s, '[a-z0-9_.]\s+like\s')) + len(regexp_extract_all(s, '[a-z0-9_.]\s+ilike\s')) - len(regexp_extract_all(s, '\snot\s+i?like\s')) AS n_like,"
+    r" len(regexp_extract_all(s, '\snot\s+i?like\s')) AS n_not_like, len(regexp_extract_all(s, '\snot\s+in\s*\(')) AS n_not_in FROM n"
+)
+def filter_kinds(t: Tables) -> DataFrame:
+    """Filters of the stored texts by kind."""
+    kinds = X.workload_filters(t.qrep, "qid", "sql").groupBy("qid").agg(*(F.count_if(col("op") == op).alias(f"n_{op}") for op in ("like", "not_like", "not_in")))
+    every = t.qrep.where("sql IS NOT NULL").select("qid").join(kinds, "qid", "left")
+    return every.select("qid", *(F.coalesce(f"n_{op}", F.lit(0)).alias(f"n_{op}") for op in ("like", "not_like", "not_in")))
+
+
+@add()
+def operator_features(t: Tables) -> DataFrame:
+    return X.operator_features(X.workload_filters(t.qrep, "qid", "sql"))
+
+
+def _parts(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Labelled sub-plans, nodes, joins and filters of the stored queries."""
+    filters = materialize(X.workload_filters(t.qrep, "qid", "sql"), "filters")
+    return known(t), Q.join_nodes(t.qrep), Q.join_edges(t.qrep), filters
 
 
 @add()
 def subset_features(t: Tables) -> DataFrame:
-    """Dense vectors of stored sub-plans: tables, then joins."""
-    nodes, joins, plans = Q.join_nodes(t.qrep), Q.join_edges(t.qrep), materialize(cards(t), "cards")
-    tables, links = X.vocabulary(nodes, "real_name"), X.vocabulary(joins, "join_condition")
-    n, m = tables.count(), links.count()
-    both = X.table_onehot(plans, nodes, tables).unionByName(X.join_onehot(plans, joins, links).withColumn("slot", col("slot") + n))
-    return X.dense(both, n + m)
+    """Dense vectors of stored sub-plans: tables, joins, kinds of filters, filters, patterns and scalars."""
+    return X.dense(*X.combined(*_parts(t)))
 
 
 # ---- fitted estimators
 
 
 def _labelled(t: Tables) -> tuple[DataFrame, DataFrame]:
-    plans = known(t)
-    rows = X.estimate_features(plans).join(plans.select("qid", "subset", "split", "actual", F.ln(F.greatest("total", F.lit(1))).alias("log_total")), ["qid", "subset"])
-    rows = materialize(rows, "labelled")
+    """Training and test sub-plans with their vectors."""
+    plans, *rest = _parts(t)
+    vectors = X.dense(*X.combined(plans, *rest))
+    rows = materialize(vectors.join(plans.select("qid", "subset", "split", "actual", "expected"), ["qid", "subset"]), "labelled")
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 
-_INPUTS = ["n_tables", "log_est", "est_share", "bucket", "log_total"]
-
-
 def _fitted(kind: str, **options) -> None:
     def run(t: Tables) -> DataFrame:
         train, test = _labelled(t)
-        return models.fit_predict(train, test, _INPUTS, "actual", kind, **options).select("qid", "subset", "actual", "est")
+        return models.fit_predict(train, test, ["features"], "actual", kind, **options).select("qid", "subset", "actual", "expected", "est")
 
-    add(name={"xgboost": "gbt_estimator", "rf": "rf_estimator", "linear": "linear_estimator"}[kind])(run)
+    add(name={"xgboost": "gbt_estimator", "rf": "rf_estimator", "linear": "linear_estimator"}[kind] + ("_search" if options.get("search") else ""))(run)
 
 
 _fitted("xgboost")
 _fitted("rf")
 _fitted("linear", scale="standard")
+_fitted("linear", scale="standard", search=True)
+
+
+def _network(t: Tables, loss: str) -> DataFrame:
+    plans, *rest = _parts(t)
+    sets, widths = X.set_features(plans, *rest)
+    rows = materialize(sets.join(plans.select("qid", "subset", "split", "actual", "expected"), ["qid", "subset"]), "labelled-sets")
+    return models.network_predict(rows.where("split = 'train'"), rows.where("split = 'test'"), widths, "actual", ["qid", "subset", "actual", "expected"], loss)
 
 
 @add()
 def network_estimator(t: Tables) -> DataFrame:
-    train, test = _labelled(t)
-    return models.network_predict(train, test, _INPUTS, "actual", ["qid", "subset"])
+    """Sub-plans as sets of tables, joins and filters, squared error of the logarithm."""
+    return _network(t, "mse")
+
+
+@add()
+def network_estimator_qloss(t: Tables) -> DataFrame:
+    """The same, trained on the q-error."""
+    return _network(t, "qloss")
 
 
 @add()
 def cost_ratio_model(t: Tables) -> DataFrame:
-    """Mean q-error of a query predicted from its summed features."""
-    train, test = _labelled(t)
+    """How much dearer the plan by expected counts is than the best one, predicted from the estimates alone.
 
-    def per_query(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("qid").agg(F.max("n_tables").alias("n_tables"), F.avg("log_est").alias("log_est"), F.avg("est_share").alias("est_share"), F.max("actual").alias("actual"))
+    Inputs of a query: mean, least and largest logarithm of estimate over total at each number of tables; target: the ratio of
+    the two plans' true costs.
+    """
+    from joinlens.queries.results import stored_losses
 
-    return models.fit_predict(per_query(train), per_query(test), ["n_tables", "log_est", "est_share"], "actual", "linear", scale="minmax").select("qid", "est")
+    share = F.ln(F.greatest(col("expected").cast("double"), F.lit(1.0)) / F.greatest(col("total").cast("double"), F.lit(1.0)))
+    plans = known(t).withColumn("share", share)
+    levels = range(1, 7)
+    sums = [F.coalesce(f(F.when(col("n_tables") == n, col("share"))), F.lit(0.0)).alias(f"{name}_{n}") for n in levels for name, f in (("mean", F.avg), ("low", F.min), ("high", F.max))]
+    wide = plans.groupBy("qid", "split").agg(F.max("n_tables").alias("n_tables"), *sums)
+    ratio = stored_losses(t).select(col("qid").cast("long").alias("qid"), "ratio").where("ratio IS NOT NULL")
+    rows = materialize(wide.join(ratio, "qid"), "cost-ratio")
+    inputs = ["n_tables", *(f"{name}_{n}" for n in levels for name in ("mean", "low", "high"))]
+    made = models.fit_predict(rows.where("split = 'train'"), rows.where("split = 'test'"), inputs, "ratio", "xgboost")
+    return made.select("qid", "ratio", "est")
 
 
 @add()
@@ -260,6 +302,14 @@ def workload_generate(t: Tables) -> DataFrame:
     return spark.createDataFrame([(i, q) for i, q in enumerate(made)], "qid int, sql string")
 
 
+@add()
+def workload_quotas(t: Tables) -> DataFrame:
+    """Two templates with a quota each."""
+    spark = t.views("part", "lineitem")
+    other = TEMPLATE.replace("num_quantiles = 2", "num_quantiles = 4")
+    return spark.createDataFrame(G.generate_all(spark, {"a": TEMPLATE, "b": other}, {"a": 3}, default=5), "template string, number int, sql string")
+
+
 @add("SELECT * FROM (VALUES (0, 'SELECT COUNT(*) FROM a'), (1, 'select min(x) from b')) AS x(pos, sql)")
 def split_script(t: Tables) -> DataFrame:
     found = split_statements("use imdb; SELECT COUNT(*) FROM a;\nSET x = 1;\nselect min(x) from b;")

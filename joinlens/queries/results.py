@@ -56,9 +56,10 @@ def stored_plan_edges(t: Tables) -> DataFrame:
     return Q.plan_edges(t.qrep)
 
 
-@add(f"SELECT qid, len(from_json(subset_graph, {_JSON}).nodes) AS n FROM qrep WHERE subset_graph IS NOT NULL AND len(from_json(subset_graph, {_JSON}).nodes) > 0")
+@add(f"SELECT qid, count(x.cardinality.total) AS n, sum(x.cardinality.total)::BIGINT AS total FROM (SELECT qid, unnest(from_json(subset_graph, {_JSON}).nodes) AS x FROM qrep WHERE subset_graph IS NOT NULL) GROUP BY 1")
 def json_key_values(t: Tables) -> DataFrame:
-    return Q.json_values(t.qrep, "qid", "subset_graph", "total").groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
+    values = Q.json_values(t.qrep, "qid", "subset_graph", "total").withColumn("value", F.nullif("value", F.lit("null")).cast("long"))
+    return values.groupBy("qid").agg(F.count("value").alias("n"), F.sum("value").alias("total"))
 
 
 @add("SELECT n_tables, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'val') AS val, count(*) FILTER (WHERE split = 'test') AS test FROM qrep GROUP BY 1")
@@ -99,9 +100,11 @@ def qerror_full_query(t: Tables) -> DataFrame:
     return metrics.full_queries(materialize(errors(t), "errors")).select("qid", "subset", F.round("q", 6).alias("q"))
 
 
-@add(f"WITH {_ERRORS} SELECT qid, sha1(qid || subset) AS subq_hash, round(signed_q, 6) AS loss FROM errors")
+@add(f"WITH {_ERRORS} SELECT qid, sha1(sql || subset) AS subq_hash, round(signed_q, 6) AS loss FROM errors JOIN (SELECT qid, sql FROM qrep) USING (qid) WHERE sql IS NOT NULL")
 def subset_error_hash(t: Tables) -> DataFrame:
-    return errors(t).select("qid", F.sha1(F.concat(col("qid").cast("string"), "subset")).alias("subq_hash"), F.round("signed_q", 6).alias("loss"))
+    """Sub-plans known by the text of their query."""
+    texts = t.qrep.where("sql IS NOT NULL").select("qid", "sql")
+    return errors(t).join(texts, "qid").select("qid", F.sha1(F.concat("sql", "subset").cast("binary")).alias("subq_hash"), F.round("signed_q", 6).alias("loss"))
 
 
 _Q = "round(quantile_cont(q, {}), 6)"
@@ -229,12 +232,73 @@ def _stored_loss_sql() -> str:
 
 @add(_stored_loss_sql())
 def stored_plan_loss(t: Tables) -> DataFrame:
-    """Plan loss of every stored query by its expected counts, all queries in one level search."""
+    """Plan loss of every stored query by its expected counts, all queries in one stage."""
+    return stored_losses(t).select("qid", *(F.round(c, 4).alias(c) for c in ("est_plan_cost", "best_cost", "loss")), F.round("ratio", 6).alias("ratio"))
+
+
+def stored_costs(t: Tables) -> DataFrame:
+    """Stored plan edges with their costs by true and by expected counts."""
     known = materialize(cards(t).where("actual IS NOT NULL AND expected IS NOT NULL AND total IS NOT NULL").withColumn("qid", col("qid").cast("string")), "cards")
     stored = Q.plan_edges(t.qrep).withColumn("qid", col("qid").cast("string"))
-    both = costs.with_both_costs(edges.with_cards(stored, known, "actual", "total", "expected"))
-    found = search.plan_loss(both, "true_cost", "est_cost")
-    return found.select("qid", *(F.round(c, 4).alias(c) for c in ("est_plan_cost", "best_cost", "loss")), F.round("ratio", 6).alias("ratio"))
+    return costs.with_both_costs(edges.with_cards(stored, known, "actual", "total", "expected"))
+
+
+def stored_losses(t: Tables) -> DataFrame:
+    return search.plan_loss(stored_costs(t), "true_cost", "est_cost")
+
+
+_LOSSES = f"""{_PLANS}, {_STORED_EDGES}"""
+
+
+def _weights_sql() -> str:
+    from joinlens.queries.plans import dp_keyed_sql
+
+    return (
+        f"WITH {_LOSSES}, {dp_keyed_sql('g', 'w', 'qid', 'ec', 'tc', 8)}, {dp_keyed_sql('g', 'd', 'qid', 'tc', '0', 8)}, top AS (SELECT qid, max(n) AS n FROM d GROUP BY 1),"
+        " lo AS (SELECT d.qid, greatest(w.carried - d.best, 0) AS loss FROM d JOIN top ON top.qid = d.qid AND top.n = d.n JOIN w ON w.qid = d.qid AND w.subset = d.subset)"
+    )
+
+
+@add(_weights_sql() + ", c AS (SELECT qid, subset, count(*) OVER (PARTITION BY qid) AS n FROM cards) SELECT c.qid, subset, round(loss / 1000000 / n, 8) AS weight FROM c JOIN lo USING (qid)")
+def query_level_weights(t: Tables) -> DataFrame:
+    """Every sub-plan weighted by its query's plan loss, shared among the query's sub-plans."""
+    losses = stored_losses(t).select(col("qid").cast("long").alias("qid"), "loss", "ratio")
+    return search.query_weights(losses, cards(t).select("qid", "subset"), "loss", True).select("qid", "subset", F.round("weight", 8).alias("weight"))
+
+
+@add()
+def subquery_priorities(t: Tables) -> DataFrame:
+    """Sub-plans blamed for the plan loss of their query."""
+    return search.subquery_priorities(stored_costs(t), "true_cost", "est_cost")
+
+
+@add(
+    _weights_sql() + ", r AS (SELECT sql_key, avg(runtime) AS runtime FROM (SELECT DISTINCT sql_key, runtime, ran_at FROM runtimes WHERE runtime IS NOT NULL AND NOT isnan(runtime)) GROUP BY 1),"
+    " k AS (SELECT q.sql_key, max(loss) AS loss FROM lo JOIN qrep AS q ON q.qid = lo.qid GROUP BY 1)"
+    " SELECT CASE WHEN loss < 0.0001 THEN -1 ELSE floor(log10(loss))::INT END AS magnitude, count(*) AS n, round(avg(runtime), 4) AS mean_runtime FROM k JOIN r USING (sql_key) GROUP BY 1"
+)
+def priority_vs_runtime(t: Tables) -> DataFrame:
+    """Mean runtime of queries by the order of magnitude of their plan loss."""
+    losses = stored_losses(t).select(col("qid").cast("long").alias("qid"), "loss").join(t.qrep.select("qid", "sql_key"), "qid").groupBy("sql_key").agg(F.max("loss").alias("loss"))
+    runs = t.runtimes.where("runtime IS NOT NULL AND NOT isnan(runtime)").select("sql_key", "runtime", "ran_at").distinct().groupBy("sql_key").agg(F.avg("runtime").alias("runtime"))
+    magnitude = F.when(col("loss") < 0.0001, -1).otherwise(F.floor(F.log10("loss"))).cast("int")
+    return losses.join(runs, "sql_key").groupBy(magnitude.alias("magnitude")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("runtime"), 4).alias("mean_runtime"))
+
+
+@add(f"WITH {_PLANS} SELECT qid, subset, row_number() OVER (PARTITION BY qid ORDER BY n_tables DESC, subset) AS place FROM cards")
+def subsets_largest_first(t: Tables) -> DataFrame:
+    """The order in which sub-plans are counted: the largest of a query first."""
+    from pyspark.sql import Window
+
+    within = Window.partitionBy("qid").orderBy(F.desc("n_tables"), "subset")  # the sub-plans of one query
+    return cards(t).select("qid", "subset", F.row_number().over(within).alias("place"))
+
+
+@add("SELECT qid, replace(sql, '''', '') AS sql FROM qrep WHERE sql IS NOT NULL")
+def unquoted_texts(t: Tables) -> DataFrame:
+    from joinlens.functions.scalars import strip_quotes
+
+    return t.qrep.where("sql IS NOT NULL").select("qid", strip_quotes(col("sql")).alias("sql"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

@@ -72,7 +72,7 @@ def from_old_queries(old: DataFrame, preds: DataFrame) -> DataFrame:
 
 
 def json_values(df: DataFrame, row_id: str, column: str, name: str) -> DataFrame:
-    """(row id, pos, value): every value under a key of a JSON text, at any depth, as JSON text; unreadable texts have none."""
+    """(row id, pos, value): every scalar under a key of a JSON text, at any depth, as JSON text; unreadable texts have none."""
     schema = StructType([df.schema[row_id], StructField("pos", IntegerType()), StructField("value", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,7 @@ def json_values(df: DataFrame, row_id: str, column: str, name: str) -> DataFrame
                 while todo:
                     x = todo.pop()
                     if isinstance(x, dict):
-                        if name in x:
+                        if name in x and not isinstance(x[name], dict | list):
                             source.append(at)
                             places.append(n)
                             values.append(json.dumps(x[name]))

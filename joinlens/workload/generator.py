@@ -16,6 +16,10 @@ from joinlens.session import materialize
 from joinlens.workload.parser import UnsupportedQuery, parse
 
 
+#: Fixed value: words of one text beyond which a domain is refused.
+MAX_TOKENS = 150
+
+
 @dataclass
 class Domain:
     """Rows of domain queries, cached by the SHA-1 of their text and kept as tables; the driver sees only the rows drawn.
@@ -129,13 +133,16 @@ def size_band(rng: random.Random, group: dict, words: DataFrame, total: int) ->
 
 
 def pick_prefix(rng: random.Random, group: dict, rows: DataFrame) -> str | None:
-    """A prefix whose rows lie in the group's band, or None if there is none.
+    """A prefix whose rows lie in the group's band, or None if there is none, or if the domain holds whole documents (a text of
+    more than MAX_TOKENS words), for which the domain query is wrong.
 
-    The reference tries words, weighted by count and uniform in turns, each with a random prefix length, until one fits. Here
+    The plain way tries words, weighted by count and uniform in turns, each with a random prefix length, until one fits. Here
     the shares of fitting tries tell which of the two would have succeeded first, and the smallest exponential key among the
     fitting (word, length) pairs is the draw: the law of those tries, without a limit on their number.
     """
     least, most = int(group.get("min_chars", 3)), int(group.get("max_chars", 6))
+    if (rows.agg(F.max(F.size(_words()))).first()[0] or 0) > MAX_TOKENS:
+        return None
     words = word_counts(rows)
     n_words, total = words.agg(F.count(F.lit(1)), F.sum("n")).first()
     if n_words <= 1:
@@ -204,6 +211,20 @@ def generate(spark: SparkSession, template_text: str, n: int, seed: int = 0) ->
     return [q for q in dict.fromkeys(drawn) if verify(spark, q)]
 
 
+def generate_all(spark: SparkSession, templates: dict[str, str], quotas: dict[str, int], default: int = 20, seed: int = 0, tries: int = 3) -> list[tuple[str, int, str]]:
+    """(template, number, query) of several templates, as many distinct queries of each as its quota says, or as can be
+    found in `tries` times as many draws."""
+    out = []
+    for at, (name, text) in enumerate(sorted(templates.items())):
+        wanted = quotas.get(name, default)
+        found: dict[str, None] = {}
+        for attempt in range(tries):
+            if len(found) < wanted:
+                found |= dict.fromkeys(generate(spark, text, wanted, seed * 1_000_003 + at * tries + attempt))
+        out += [(name, i, q) for i, q in enumerate(list(found)[:wanted])]
+    return out
+
+
 def verify(spark: SparkSession, sql: str) -> bool:
     """The text is within the dialect and Spark can analyse it."""
     try:
