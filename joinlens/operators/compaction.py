@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from joinlens.operators.windows import global_rank
-from joinlens.session import delete_path, materialize, scratch_path
+from joinlens.session import delete_path, materialize, release, scratch_path
 
 #: Sampled rows for each file wanted, and at least; boundaries are then off by a few per cent of a file's size.
 SAMPLE_PER_FILE, SAMPLE_LEAST = 64, 10_000
@@ -244,5 +244,6 @@ def compact(
         delete_path(spark, staging)
         raise RuntimeError(f"{n_written} records were written, {n} were to be kept; the target folder was left as it is")
     swap_directory(spark, staging, target)
+    release(parsed, narrow, classes, *([cuts] if cuts is not None else []))
     report = {"input": n_input, "records": n, "copies": n_copies, "rejected": n_rejected, "files": n_files, "text_bytes": int(text_bytes), "target_bytes": target_bytes}
     return Compaction(target, spark.read.schema(written.schema).parquet(target).drop("__id"), copies, report)

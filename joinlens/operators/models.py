@@ -179,19 +179,28 @@ def network_predict(train: DataFrame, test: DataFrame, widths: dict[str, int], t
     return narrow.mapInArrow(run, schema)
 
 
-def singular_energy(matrix: DataFrame, row: str, column: str, value: str) -> DataFrame:
-    """(k, singular, energy, kept): singular values of a sub-plan by query matrix, cumulative energy, and whether the optimal
-    hard threshold keeps them. The Gram matrix of the smaller side is summed by Spark; only it is decomposed."""
-    pairs = matrix.select(row, F.col(column).alias("__a"), F.col(value).cast("double").alias("__x"))
-    gram = pairs.join(pairs.withColumnsRenamed({"__a": "__b", "__x": "__y"}), row).groupBy("__a", "__b").agg(F.sum(F.col("__x") * F.col("__y")).alias("g")).toPandas()
-    names = sorted(set(gram["__a"]))
-    at = {n: i for i, n in enumerate(names)}
-    g = np.zeros((len(names), len(names)))
-    g[gram["__a"].map(at), gram["__b"].map(at)] = gram["g"]
-    s = np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0.0))
-    n_rows = pairs.select(row).distinct().count()
-    beta = min(len(names), n_rows) / max(len(names), n_rows, 1)
-    omega = 0.56 * beta**3 - 0.95 * beta**2 + 1.82 * beta + 1.43
-    energy = np.cumsum(s) / max(s.sum(), 1e-300)
-    rows = [(i + 1, float(x), float(e), bool(x > omega * np.median(s))) for i, (x, e) in enumerate(zip(s, energy, strict=True))]
-    return matrix.sparkSession.createDataFrame(rows, "k int, singular double, energy double, kept boolean")
+def singular_energy(cells: DataFrame, group: str, row: str, column: str, value: str) -> DataFrame:
+    """(group, k, singular, energy, kept): singular values of each group's column by row matrix, cumulative energy, and whether
+    the optimal hard threshold keeps them.
+
+    The Gram matrix of the columns (sub-plans of a template: some dozens) is summed by Spark, however many rows there are;
+    each group's is decomposed in one task.
+    """
+    pairs = cells.select(group, row, F.col(column).alias("a"), F.col(value).cast("double").alias("x"))
+    gram = pairs.join(pairs.withColumnsRenamed({"a": "b", "x": "y"}), [group, row]).groupBy(group, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("__gram"))
+    rows = pairs.groupBy(group).agg(F.count_distinct(row).alias("n_rows"))
+
+    def one(frame):
+        names = sorted(set(frame["a"]))
+        at = {n: i for i, n in enumerate(names)}
+        g = np.zeros((len(names), len(names)))
+        g[frame["a"].map(at), frame["b"].map(at)] = frame["__gram"]
+        s = np.sqrt(np.maximum(np.linalg.eigvalsh(g)[::-1], 0.0))
+        n_rows = int(frame["n_rows"].iloc[0])
+        s = s[: min(len(s), n_rows)]
+        beta = min(len(names), n_rows) / max(len(names), n_rows, 1)
+        omega = 0.56 * beta**3 - 0.95 * beta**2 + 1.82 * beta + 1.43
+        energy = np.cumsum(s) / max(s.sum(), 1e-300)
+        return type(frame)({group: frame[group].iloc[0], "k": np.arange(1, len(s) + 1), "singular": s, "energy": energy, "kept": s > omega * np.median(s)})
+
+    return gram.join(rows, group).groupBy(group).applyInPandas(one, f"`{group}` string, k int, singular double, energy double, kept boolean")

@@ -136,6 +136,6 @@ def plan_nodes(spark: SparkSession, sql: str) -> DataFrame:
         body = re.sub(r"^[\s:|+\-]*", "", line)
         depth = (len(line) - len(body)) // 3
         stack = stack[:depth]
-        rows.append((at, stack[-1] if stack else None, depth, body.split(" ")[0].split("(")[0], body[:200]))
+        rows.append((at, stack[-1] if stack else None, depth, body.split(" ")[0].split("(")[0], body))
         stack.append(at)
     return spark.createDataFrame(rows, "node int, parent int, depth int, operator string, detail string")

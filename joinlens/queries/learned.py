@@ -213,9 +213,10 @@ def cost_ratio_model(t: Tables) -> DataFrame:
 
 @add()
 def singular_energy(t: Tables) -> DataFrame:
-    """Singular values of the template by sub-plan-size matrix of log counts."""
-    logs = known(t).groupBy("template_name", "n_tables").agg(F.avg(F.ln(F.greatest("actual", F.lit(1)))).alias("x"))
-    return models.singular_energy(logs, "template_name", "n_tables", "x")
+    """Singular values, for every template, of its sub-plan by query matrix of log counts."""
+    key = F.nullif(F.regexp_replace(F.lower("template_name"), "[^a-z0-9]", ""), F.lit(""))
+    logs = known(t).select(key.alias("template"), "subset", "qid", F.ln(F.greatest("actual", F.lit(1))).alias("x")).where("template IS NOT NULL")
+    return models.singular_energy(logs, "template", "qid", "subset", "x")
 
 
 # ---- workloads
@@ -319,7 +320,7 @@ def split_script(t: Tables) -> DataFrame:
 # ---- sources and sinks
 
 
-@add("SELECT c_custkey::DOUBLE AS c_custkey, c_mktsegment, c_acctbal FROM customer")
+@add("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer")
 def csv_roundtrip(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "csv")
     t.customer.select(col("c_custkey").alias("C Custkey"), col("c_mktsegment").alias("C Mktsegment"), col("c_acctbal").alias("C Acctbal")).write.csv(path, header=True, sep="|")

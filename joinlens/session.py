@@ -65,13 +65,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 _written: list[tuple[SparkSession, str]] = []
+_registered: list[bool] = []
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
+    """A fresh path below the shared folder, removed by clean_scratch or when the driver ends."""
     path = f"{scratch_base(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _written:
+    if not _registered:
         atexit.register(_clean)
+        _registered.append(True)
     _written.append((spark, path))
     return path
 
@@ -84,17 +86,34 @@ def delete_path(spark: SparkSession, path: str) -> bool:
     return fs.delete(target, True)
 
 
-def _clean() -> None:
-    for spark, path in _written:
+def clean_scratch(*_: object) -> None:
+    """Delete all intermediates. For long-lived sessions, between queries: results that were not fetched are lost."""
+    while _written:
+        spark, path = _written.pop()
         try:
             delete_path(spark, path)
         except Exception:  # noqa: BLE001 - the session may have ended before
             pass
 
 
+def _clean() -> None:
+    clean_scratch()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, computes df once."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._scratch = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what materialize wrote, once nothing that is still to run reads it; other tables are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_scratch", None)
+        if path:
+            delete_path(df.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]

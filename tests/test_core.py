@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import re
 import struct
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from joinlens.functions import scalars as S
-from joinlens.operators import estimators, metrics, pgm, sampling, setops, stats, windows
+from joinlens.operators import estimators, metrics, models, pgm, sampling, setops, stats, windows
 from joinlens.operators.percentiles import exact_percentiles
 from joinlens.queries.learned import TEMPLATE
 from joinlens.sources import files
@@ -232,10 +233,21 @@ def test_files(spark, tmp_path):
     rows = [r.asDict() for r in files.read_delimited(spark, str(path), "|").collect()]
     assert rows[0] == {"reg_date": 1577923200 * 10**9, "my_time": 3723 * 10**9, "col2": 5.0, "v_x": 1.5, "name": "a"}
     assert rows[1]["col2"] is None and rows[1]["v_x"] is None and rows[1]["name"] == "b"
+    lost: dict = {}
+    assert files.read_delimited(spark, str(path), "|", account=lost).schema["col2"].dataType.typeName() == "long" and lost == {"col2": 1, "v_x": 1}
     (tmp_path / "bin").mkdir()
     (tmp_path / "bin" / "a").write_bytes(b"".join(struct.pack("<6q", 0, i, -i, 2, 3, 2**40) for i in range(100)))
     found = files.read_int64_records(spark, str(tmp_path / "bin"))
     assert found.columns == ["c0", "c1", "c2", "d0", "d1"] and found.agg(F.sum("c0"), F.min("c1"), F.max("d1")).first()[:] == (4950, -99, 2**40)
+    split = files.read_int64_records(spark, f"file://{tmp_path}/bin", split_bytes=100)  # two records a split
+    assert {tuple(r) for r in split.collect()} == {tuple(r) for r in found.collect()} and split.count() == 100
+    (tmp_path / "bin" / "b").write_bytes(b"xyz")
+    with pytest.raises(ValueError):
+        files.read_int64_records(spark, str(tmp_path / "bin"))
+    made = []
+    assert files.load_once(spark, "once_probe", lambda: made.append(1) or spark.range(3)).count() == 3
+    assert files.load_once(spark, "once_probe", lambda: made.append(1) or spark.range(4)).count() == 3 and made == [1]
+    spark.sql("DROP TABLE once_probe")
     g = files.gaussian_table(spark, 5000, 3, seed=1)
     assert g.count() == 5000 and g.stat.corr("col0", "col1") > 0.05
     df = spark.createDataFrame([(1, "SELECT 1\nFROM t")], "id int, sql string")
@@ -252,6 +264,27 @@ def test_qerror_of_the_truth_is_one(spark):
     assert math.isclose(df.agg(F.max(S.log_denorm(S.log_norm(F.col("v"), 0.0, 30.0), 0.0, 30.0))).first()[0], 1e12, rel_tol=1e-9)
 
 
+def test_scratch_is_released(spark):
+    from joinlens import session
+
+    df = session.materialize(spark.range(5), "probe")
+    path = df._scratch.removeprefix("file://")
+    assert df.count() == 5 and os.path.isdir(path)
+    session.release(df, spark.range(1))
+    assert not os.path.exists(path)
+
+
+def test_singular_values_by_group(spark):
+    rng = random.Random(3)
+    cells = [(g, r, f"c{c}", rng.random() + (c == 0) * r) for g, n in (("p", 6), ("q", 2)) for r in range(n) for c in range(3)]
+    found = {}
+    for r in models.singular_energy(spark.createDataFrame(cells, "g string, r int, c string, x double"), "g", "r", "c", "x").orderBy("g", "k").collect():
+        found.setdefault(r.g, []).append(r.singular)
+    for g, n in (("p", 6), ("q", 2)):
+        m = np.array([x for gg, _, _, x in cells if gg == g]).reshape(n, 3)
+        assert np.allclose(found[g], np.linalg.svd(m, compute_uv=False), atol=1e-6)
+
+
 def test_planner_rows_and_spread(spark, tmp_path):
     from joinlens.session import spread
 
