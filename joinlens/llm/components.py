@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joinlens.session import materialize
+from joinlens.session import materialize, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("a")), F.struct(F.col("u").alias("a")))).alias("x"), "m")
-        e = materialize(small.select(F.col("x.a").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-round")
+        old, e = e, materialize(small.select(F.col("x.a").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-round")
+        release(old)
         after = _state(e)
         if after == before:
             break

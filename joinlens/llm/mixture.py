@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from joinlens.session import materialize
+from joinlens.session import materialize, release
 
 #: Buckets for each unit of ln(key): one bucket holds under 0.04 % of the keys of any category.
 FINE = 1024
@@ -142,6 +142,7 @@ def sample_to_targets(
     edge = joined.where("__bucket = __last").withColumn("__rank", F.row_number().over(within)).where("__rank <= __rest")
     sample = joined.where("__bucket < __last").select(*columns).unionByName(edge.select(*columns))
     sample = materialize(sample, "mix-sample")
+    release(keyed, cells)
 
     drawn = sample.groupBy(*group).agg(F.count(F.lit(1)).alias("drawn"))
     per_mix = sample.groupBy("mix_id").agg(F.count(F.lit(1)).alias("drawn_in_mix"))

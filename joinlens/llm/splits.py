@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from joinlens.llm.canonical import HASHES
 from joinlens.llm.components import connected_components
 from joinlens.operators.windows import global_rank
-from joinlens.session import materialize
+from joinlens.session import materialize, release
 
 #: Distinct label vectors on the driver at a time, and labels in all.
 VECTORS, MAX_LABELS = 1 << 18, 1 << 20
@@ -173,6 +173,7 @@ def grouped_split(hashed: DataFrame, row_id: str, key: str, label: str, shares:
                 chosen.append((bytes(r["__of"]), low, low + count, shares[split][0]))
                 low += count
         made = made.unionByName(materialize(spark.createDataFrame(chosen, schema), "split-placed"))
+    release(vectors)
     ranked = global_rank(parts.select("__of", "component"), ["__of", "component"], "__at")
     firsts = ranked.groupBy("__of").agg(F.min("__at").alias("__first"))
     number = F.col("__at") - F.col("__first")
