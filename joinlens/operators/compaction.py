@@ -206,14 +206,16 @@ def compact(
     """
     spark, keep = files.sparkSession, keep or []
     fields = [*identity_fields, *other_fields]
-    parsed = materialize(parse_files(files, file_id, payload, fields, keep), "compact-parsed")
+    same = F.when(F.col("__ok"), identity(identity_fields))
+    parsed = materialize(parse_files(files, file_id, payload, fields, keep).withColumn("__id", same), "compact-parsed")
     settled = parsed.drop("__raw")
     n_open = parsed.where("__raw IS NOT NULL").count()
     if n_open:
-        settled = parsed.where("__raw IS NULL").drop("__raw").unionByName(materialize(_settled(parsed, fields), "compact-open"))
+        decided = materialize(_settled(parsed.drop("__id"), fields).withColumn("__id", same), "compact-open")
+        settled = parsed.where("__raw IS NULL").drop("__raw").unionByName(decided)
     size = sum((F.coalesce(F.octet_length(f), F.lit(0)) for f in fields), F.lit(16)).cast("long")
     key = F.concat(F.coalesce(cluster, F.lit("")), F.lit("\x01"), F.hex("__id"))
-    records = settled.where("__ok").drop("__ok").withColumn("__id", identity(identity_fields)).withColumn("__key", key)
+    records = settled.where("__ok").drop("__ok").withColumn("__key", key)
     narrow = materialize(records.select(file_id, "__id", "__key", size.alias("__size")), "compact-ids")
     classes = narrow.groupBy("__id").agg(F.min(file_id).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     classes = materialize(classes, "compact-classes")
