@@ -13,6 +13,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from joinlens.session import path_exists
 from joinlens.workload.spec import Edge, JoinQuery, key
 
 Loader = Callable[[str], DataFrame]
@@ -238,11 +239,8 @@ class CountCache:
         import time
 
         name = hashlib.sha1(sql.encode()).hexdigest()
-        try:
-            known = self.spark.read.parquet(self.path).where(F.col("sql_key") == name).select("value").head(1)
-        except Exception:  # noqa: BLE001 - nothing stored yet
-            known = []
-        if known:
+        stored = path_exists(self.spark, self.path)
+        if stored and (known := self.spark.read.parquet(self.path).where(F.col("sql_key") == name).select("value").head(1)):
             return known[0][0]
         began = time.perf_counter()
         value = self.spark.sql(sql).first()[0]

@@ -132,6 +132,16 @@ def degree_features(edges: DataFrame) -> DataFrame:
     return both.groupBy("qid", "subset").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
 
 
+def flow_features(edges: DataFrame, cost: str) -> DataFrame:
+    """(qid, subset, n_tables, n_in, n_out, in_cost): degrees, and the share that the edges into a sub-plan have in the cost of
+    all edges of its query."""
+    into = edges.groupBy("qid", F.col("small").alias("subset")).agg(F.sum(cost).alias("__c"))
+    whole = edges.groupBy("qid").agg(F.sum(cost).alias("__t"))
+    made = degree_features(edges).join(into, ["qid", "subset"], "left").join(whole, "qid")
+    share = F.when(F.col("__t") > 0, F.coalesce("__c", F.lit(0.0)) / F.col("__t")).otherwise(0.0)
+    return made.select("qid", "subset", F.size(F.split("subset", " ")).alias("n_tables"), "n_in", "n_out", share.alias("in_cost"))
+
+
 def estimate_features(cards: DataFrame) -> DataFrame:
     """(qid, subset, n_tables, log_est, est_share, bucket): scaled planner estimate and its power-of-ten bucket."""
     est = F.greatest(F.col("expected").cast("double"), F.lit(1.0))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from joinlens.operators import cards
 from joinlens.operators.cards import CROSS_JOIN, OK, TIMEOUT, Loader
-from joinlens.session import materialize, scratch_path
+from joinlens.session import materialize, path_exists, scratch_path
 from joinlens.workload.parser import UnsupportedQuery, to_query
 from joinlens.workload.spec import JoinQuery, key
 
@@ -137,9 +137,6 @@ def label_workload(
 
 
 def _cached(spark: SparkSession, cache: str | None) -> DataFrame | None:
-    if not cache:
-        return None
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    if not cache or not path_exists(spark, cache):
         return None
     return materialize(spark.read.schema(_COLUMNS).parquet(cache), "label-cache")

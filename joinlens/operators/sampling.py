@@ -133,8 +133,9 @@ def walk_order(query: JoinQuery, removed: dict[str, int]) -> list[str]:
     return order
 
 
-def wander_join(spark: SparkSession, load: Loader, query: JoinQuery, walks: int, seed: int = 0, order: list[str] | None = None, unique: dict[str, list[str]] | None = None) -> DataFrame:
-    """(subset, estimate, sd, half_interval) of every prefix of the walk order, by a fixed number of random walks.
+def wander_join(spark: SparkSession, load: Loader, query: JoinQuery, walks: int, seed: int = 0, order: list[str] | None = None, unique: dict[str, list[str]] | None = None, successes: int | None = None) -> DataFrame:
+    """(subset, estimate, sd, half_interval) of every prefix of the walk order, by a fixed number of random walks, or by those
+    up to the walk with which so many have succeeded.
 
     Walk w picks, at hop h, candidate floor(x_h size / MODULUS) with x_h = (w + 1 + seed) MULTIPLIER^(h + 1) mod MODULUS among
     the candidates ordered by their unique columns; its weight is the product of the candidate numbers, 0 once a walk is
@@ -147,7 +148,7 @@ def wander_join(spark: SparkSession, load: Loader, query: JoinQuery, walks: int,
     unique = unique or {}
     order = order or walk_order(query, {})
     state = spark.range(walks).select(F.col("id").alias("w"), F.pmod((F.col("id") + 1 + seed) * MULTIPLIER, F.lit(MODULUS)).alias("x"), F.lit(1.0).alias("weight"))
-    out = []
+    states: list[tuple[str, DataFrame]] = []
     for hop, alias in enumerate(order):
         base = query.base(load, alias)
         done = order[:hop]
@@ -182,10 +183,15 @@ def wander_join(spark: SparkSession, load: Loader, query: JoinQuery, walks: int,
         alive = F.col("__size").isNotNull() & reduce(lambda a, b: a & b, extra, F.lit(True)) & F.col(f"{alias}__{columns[0]}").isNotNull()
         state = state.withColumn("weight", F.when(alive, F.col("weight") * F.col("__size")).otherwise(0.0)).drop("__size")
         state = materialize(state.withColumn("x", F.pmod(F.col("x") * MULTIPLIER, F.lit(MODULUS))), "walk")
-        n = F.count(F.lit(1))
-        sd = F.when(n > 1, F.stddev_samp("weight")).otherwise(0.0)
-        out.append(state.agg(F.ceil(F.sum("weight") / n).alias("estimate"), sd.alias("sd"), (sd * Z99 / F.sqrt(n)).alias("half_interval")).select(F.lit(key(tuple(order[: hop + 1]))).alias("subset"), "*"))
-    return reduce(DataFrame.unionByName, out)
+        states.append((key(tuple(order[: hop + 1])), state))
+    last = walks - 1
+    if successes is not None:
+        enough = state.where("weight > 0").orderBy("w").limit(successes).agg(F.count(F.lit(1)).alias("c"), F.max("w").alias("w")).first()  # bounded by the parameter
+        last = enough["w"] if enough["c"] == successes else last
+    n = F.count(F.lit(1))
+    sd = F.when(n > 1, F.stddev_samp("weight")).otherwise(0.0)
+    sums = (F.ceil(F.sum("weight") / n).alias("estimate"), sd.alias("sd"), (sd * Z99 / F.sqrt(n)).alias("half_interval"))
+    return reduce(DataFrame.unionByName, (s.where(F.col("w") <= last).agg(*sums).select(F.lit(name).alias("subset"), "*") for name, s in states))
 
 
 def key_limits(df: DataFrame, column: str) -> Row:

@@ -21,6 +21,11 @@ def concat(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def experiment_table(runs: list[tuple[DataFrame, dict]]) -> DataFrame:
+    """Rows of several runs with the run's number (experiment) and its settings as text columns, null where a run lacks one."""
+    return concat([df.select(F.lit(i).alias("experiment"), *(F.lit(str(v)).alias(k) for k, v in settings.items()), "*") for i, (df, settings) in enumerate(runs)])
+
+
 def common_keys(df: DataFrame, key: str, group: str) -> DataFrame:
     """Keys present in every group."""
     pairs = df.select(key, group).distinct()

@@ -139,3 +139,13 @@ def plan_nodes(spark: SparkSession, sql: str) -> DataFrame:
         rows.append((at, stack[-1] if stack else None, depth, body.split(" ")[0].split("(")[0], body))
         stack.append(at)
     return spark.createDataFrame(rows, "node int, parent int, depth int, operator string, detail string")
+
+
+_METHODS = {"BroadcastNestedLoopJoin": "nested", "CartesianProduct": "nested", "SortMergeJoin": "merge", "BroadcastHashJoin": "hash", "ShuffledHashJoin": "hash"}
+
+
+def physical_joins(spark: SparkSession, sql: str) -> DataFrame:
+    """(operator, method) of every join of the physical plan that a query starts with."""
+    text = spark.sql(sql)._jdf.queryExecution().sparkPlan().treeString()
+    names = (re.sub(r"^[\s:|+\-*()\d]*", "", line).split(" ")[0].split("(")[0] for line in text.splitlines())
+    return spark.createDataFrame([(n, _METHODS[n]) for n in names if n in _METHODS], "operator string, method string")

@@ -117,7 +117,13 @@ def index12() -> Column:
     return F.least(F.when(_small_is_single(), o + NILJ * s).otherwise(o) + _lookup(), _product())
 
 
-def index13(facts: tuple[str, ...] = ("ci",), partners: tuple[str, ...] = ("t", "mc", "mi1", "mi2", "mii1"), clustered: tuple[str, ...] = ("t", "n", "k")) -> Column:
+# The aliases of model 13 whose look-up is dear without a partner, these partners, and the clustered aliases.
+FACTS = ("ci",)
+PARTNERS = ("t", "mc", "mi1", "mi2", "mii1")
+CLUSTERED = ("t", "n", "k")
+
+
+def index13(facts: tuple[str, ...] = FACTS, partners: tuple[str, ...] = PARTNERS, clustered: tuple[str, ...] = CLUSTERED) -> Column:
     """Penalties where a fact alias is looked up without a partner, and where the single table is not a clustered one."""
     single = F.when(_small_is_single(), F.col("small")).otherwise(F.col("other"))
     rest = F.when(_small_is_single(), F.col("other")).otherwise(F.col("small"))

@@ -96,6 +96,26 @@ def gradients(edges: DataFrame, est_cost: str, true_cost: str) -> DataFrame:
     return network.groupBy("qid").applyInPandas(one, "qid string, big string, small string, gradient double")
 
 
+def card_gradients(edges: DataFrame, by_cost: DataFrame, cost_of, step: float = 1e-4) -> DataFrame:
+    """(qid, subset, gradient) of the flow loss by the logarithm of each sub-join's count.
+
+    edges: of edges.with_cards; by_cost: of gradients; cost_of: a cost model. Slopes of the cost by its counts are central
+    differences of the model's expression; a sub-join's gradient is their sum over the edges in which it stands.
+    """
+
+    def moved(c: str, by: float) -> DataFrame:
+        return edges.withColumn(c, F.col(c) * float(np.exp(by))).select("qid", "big", "small", cost_of().alias("x"))
+
+    parts = None
+    for c, name in (("c1", "small"), ("c2", "other"), ("c3", "big")):
+        up, down = moved(c, step).withColumnRenamed("x", "up"), moved(c, -step).withColumnRenamed("x", "down")
+        slope = edges.select("qid", "big", "small", F.col(name).alias("subset")).join(up, ["qid", "big", "small"]).join(down, ["qid", "big", "small"])
+        slope = slope.select("qid", "big", "small", "subset", ((F.col("up") - F.col("down")) / (2 * step)).alias("slope"))
+        parts = slope if parts is None else parts.unionByName(slope)
+    met = parts.join(by_cost, ["qid", "big", "small"])
+    return met.groupBy("qid", "subset").agg(F.sum(F.col("slope") * F.col("gradient")).alias("gradient"))
+
+
 def node_importance(found: DataFrame) -> DataFrame:
     """(qid, subset, importance): flow into each sub-join, 1 for the whole query."""
     into = found.where(F.col("small") != SOURCE).groupBy("qid", F.col("small").alias("subset")).agg(F.sum("flow").alias("importance"))

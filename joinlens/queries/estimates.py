@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinlens.operators import estimators, features, pgm, sampling
-from joinlens.plans import edges, flow, search
+from joinlens.plans import costs, edges, flow, search
 from joinlens.queries.base import Registry, Tables
-from joinlens.queries.plans import counted, estimated_and_true
+from joinlens.queries.plans import counted, edges_with_cards, estimated_and_true
 from joinlens.queries.results import _PLANS, cards
 from joinlens.session import materialize
 from joinlens.workload import catalog as C
@@ -286,6 +286,18 @@ def pgm_tree_fit(t: Tables) -> DataFrame:
     return pgm.infer(joint, marginal, tree, queries, filters).withColumn("tree", F.lit(" ".join(f"{a}>{b}" for a, b in tree))).withColumn("n_parameters", F.lit(size))
 
 
+@add()
+def pgm_sampled_join(t: Tables) -> DataFrame:
+    """A tree learned from a sample of customers and all their orders, and the size of a filtered join by it."""
+    ids = sampling.hash_sample(t.customer, "c_custkey", 0.2).select(col("c_custkey").alias("id"))
+    made = sampling.consistent_sample(t, ids, [("orders", "o_custkey"), ("customer", "c_custkey")])
+    table = made["orders"].join(made["customer"], col("o_custkey") == col("c_custkey")).select("o_orderstatus", "o_orderpriority", "c_mktsegment")
+    joint, marginal, tree = pgm.fit(table, table.columns)
+    filters = t.spark.createDataFrame([(1, "o_orderstatus", "F"), (1, "c_mktsegment", "BUILDING"), (2, "o_orderpriority", "1-URGENT")], "qid int, col_name string, value string")
+    found = pgm.infer(joint, marginal, tree, t.spark.createDataFrame([(1,), (2,)], "qid int"), filters)
+    return found.withColumn("est", F.ceil(col("p") * table.count() / 0.2))
+
+
 @add(
     f"WITH m AS ({_MARGINAL}), j AS ({_JOINT}), e AS (SELECT * FROM j WHERE a = 'l_returnflag'), q(qid, r, s, n) AS (VALUES (1, 'A', 'F', '1'), (2, 'N', 'O', '3'), (3, 'R', 'O', '2'))"
     " SELECT q.qid, round(coalesce(r.p * s.p * n.p * (1 + (coalesce(u.p, 0) / (r.p * s.p) - 1) + (coalesce(w.p, 0) / (r.p * n.p) - 1)), 0), 8) AS p FROM q"
@@ -328,6 +340,27 @@ def flow_gradient(t: Tables) -> DataFrame:
     return flow.gradients(estimated_and_true(t), "est_cost", "true_cost")
 
 
+@add()
+def flow_gradient_by_count(t: Tables) -> DataFrame:
+    """Gradient of the flow loss of the true costs by the logarithm of every count."""
+    e = materialize(edges_with_cards(t, C.G5), "edges")
+    both = costs.with_cost(e, out="est_cost").withColumn("true_cost", col("est_cost"))
+    return flow.card_gradients(e, flow.gradients(both, "est_cost", "true_cost"), costs.MODELS[costs.DEFAULT])
+
+
+@add()
+def perturb_errors(t: Tables) -> DataFrame:
+    """One count wrong by powers of ten: q-error, plan loss and flow loss of the query."""
+    base = materialize(edges_with_cards(t, C.G5), "edges").withColumn("target", F.lit("l o"))
+    true = costs.with_cost(base, out="true_cost").select("big", "small", "true_cost")
+    varied = costs.with_cost(search.perturbed(base, "target", [10.0**k for k in range(-3, 4)]), out="est_cost")
+    both = materialize(varied.join(true, ["big", "small"]), "perturbed")
+    flows = flow.flow_loss(flow.flows(both, "est_cost", "true_cost"))
+    m = F.element_at(F.split("qid", r"\|"), 3).cast("double")
+    found = search.plan_loss(both, "true_cost", "est_cost").join(flows, "qid")
+    return found.select(m.alias("m"), F.greatest(m, 1 / m).alias("q_error"), "loss", "ratio", "flow_loss")
+
+
 @add()
 def node_importance(t: Tables) -> DataFrame:
     return flow.node_importance(_flows(t))
@@ -335,8 +368,10 @@ def node_importance(t: Tables) -> DataFrame:
 
 @add()
 def subset_weights(t: Tables) -> DataFrame:
-    paths = search.simple_paths(edges.drop_one_edges(edges.subset_table(t.spark, [C.G5])))
-    return flow.weight_schemes(_flows(t), paths)
+    subsets = edges.subset_table(t.spark, [C.G5])
+    paths = search.simple_paths(edges.drop_one_edges(subsets))
+    tolerances = search.tolerance(materialize(edges_with_cards(t, C.G5), "edges"), costs.MODELS[costs.DEFAULT], subsets)
+    return flow.weight_schemes(_flows(t), paths, tolerances)
 
 
 @add(

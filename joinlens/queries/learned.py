@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from joinlens.operators import features as X
-from joinlens.operators import models, stats
+from joinlens.operators import models, replay, stats
 from joinlens.plans import edges
 from joinlens.queries.base import Registry, Tables
 from joinlens.queries.estimates import known
-from joinlens.queries.plans import edge_rows
-from joinlens.queries.results import _GRAPH, _PLANS, cards
+from joinlens.queries.plans import enumerated_sql
+from joinlens.queries.results import _GRAPH, _PLANS, _STORED_EDGES, cards, stored_costs, stored_losses
 from joinlens.session import materialize, scratch_path
 from joinlens.sources import files
 from joinlens.sources import qrep as Q
@@ -53,8 +53,8 @@ def join_onehot(t: Tables) -> DataFrame:
     return X.join_onehot(cards(t), joins, X.vocabulary(joins, "join_condition"))
 
 
-@add("SELECT * FROM (VALUES " + ", ".join(f"('g7', '{s}', {i}, {o})" for s, i, o in sorted(
-    (k, sum(e[1] == k for e in edge_rows(C.G7)), sum(e[0] == k for e in edge_rows(C.G7))) for k in {x for e in edge_rows(C.G7) for x in e[:2]})) + ") AS x(qid, subset, n_in, n_out)")
+@add(f"WITH RECURSIVE {enumerated_sql(C.G7)} SELECT 'g7' AS qid, array_to_string(s, ' ') AS subset, (SELECT count(*) FROM e WHERE e.small = array_to_string(s, ' ')) AS n_in,"
+     " (SELECT count(*) FROM e WHERE e.big = array_to_string(s, ' ')) AS n_out FROM sub")
 def degree_features(t: Tables) -> DataFrame:
     return X.degree_features(edges.drop_one_edges(edges.subset_table(t.spark, [C.G7])))
 
@@ -111,6 +111,29 @@ def pred_features(t: Tables) -> DataFrame:
     return X.predicate_features(_filters(t), X.layout(found), found).withColumn("value", F.round("value", 6))
 
 
+@add(
+    f"WITH {_PLANS}, {_STORED_EDGES}, n AS (SELECT qid, big AS subset, 0 AS i, 1 AS o, 0.0::DOUBLE AS c FROM g UNION ALL SELECT qid, small, 1, 0, ec FROM g), w AS (SELECT qid, sum(ec) AS total FROM g GROUP BY 1)"
+    " SELECT qid::VARCHAR AS qid, subset, len(string_split(subset, ' '))::INT AS n_tables, sum(i) AS n_in, sum(o) AS n_out, round(CASE WHEN any_value(total) > 0 THEN sum(c) / any_value(total) ELSE 0 END, 6) AS in_cost"
+    " FROM n JOIN w USING (qid) GROUP BY 1, 2"
+)
+def flow_features(t: Tables) -> DataFrame:
+    """Place of every stored sub-plan in its plan graph."""
+    return X.flow_features(materialize(stored_costs(t), "costs"), "est_cost").withColumn("in_cost", F.round("in_cost", 6))
+
+
+@add(
+    f"WITH {_PLANS}, k AS (SELECT *, ln(greatest(actual, 1)) AS y FROM cards WHERE actual IS NOT NULL AND expected IS NOT NULL AND total IS NOT NULL), m AS (SELECT min(y) AS lo, max(y) AS hi FROM k WHERE split = 'train')"
+    " SELECT qid, subset, round((y - lo) / (hi - lo), 6) AS target, round(least(1.0, actual / greatest(total, 1)), 6) AS selectivity FROM k, m"
+)
+def model_targets(t: Tables) -> DataFrame:
+    """Targets of stored sub-plans: logarithms scaled by those of the training split, and selectivities."""
+    plans = known(t)
+    y = F.ln(F.greatest(col("actual").cast("double"), F.lit(1.0)))
+    lo, hi = plans.where("split = 'train'").agg(F.min(y), F.max(y)).first()
+    share = F.least(F.lit(1.0), col("actual") / F.greatest("total", F.lit(1)))
+    return plans.select("qid", "subset", F.round(X.log_target(col("actual"), lo, hi), 6).alias("target"), F.round(share, 6).alias("selectivity"))
+
+
 @add()
 def like_pattern_features(t: Tables) -> DataFrame:
     """Hashed grams, length and digits of the patterns of all stored queries."""
@@ -197,8 +220,6 @@ def cost_ratio_model(t: Tables) -> DataFrame:
     Inputs of a query: mean, least and largest logarithm of estimate over total at each number of tables; target: the ratio of
     the two plans' true costs.
     """
-    from joinlens.queries.results import stored_losses
-
     share = F.ln(F.greatest(col("expected").cast("double"), F.lit(1.0)) / F.greatest(col("total").cast("double"), F.lit(1.0)))
     plans = known(t).withColumn("share", share)
     levels = range(1, 7)
@@ -387,15 +408,11 @@ def streaming_event_stats(t: Tables) -> DataFrame:
 
 @add()
 def runtime_replay(t: Tables) -> DataFrame:
-    """Wall-clock seconds of the sub-plan query under two join orders."""
-    import time
-
-    rows = []
-    for order in (["n", "c", "o", "l", "p"], ["p", "l", "o", "c", "n"]):
-        began = time.perf_counter()
-        n = C.G5.join(t, tuple(sorted(C.G5.tables)), order=order).count()
-        rows.append((" ".join(order), n, time.perf_counter() - began))
-    return t.spark.createDataFrame(rows, "plan string, n long, seconds double")
+    """Runtimes of two queries, each three times from a cold cache; a third is known and skipped."""
+    spark = t.views("orders", "customer", "lineitem", "nation", "part")
+    texts = [(q.qid, q.count_sql()) for q in (C.G3, C.G5)] + [("known", "SELECT COUNT(*) FROM nation")]
+    queries = spark.createDataFrame(texts, "sql_key string, sql string")
+    return replay.replay(spark, queries, spark.createDataFrame([("known",)], "sql_key string"), repetitions=3, timeout_ms=900_000)
 
 
 @add()

@@ -22,16 +22,20 @@ def counts_sql(q: JoinQuery, filters: bool = True) -> str:
     return " UNION ALL ".join(f"SELECT '{q.qid}' AS qid, '{key(s)}' AS subset, {len(s)} AS n_tables, ({q.count_sql(s, filters)}) AS value" for s in q.subsets())
 
 
-def edge_rows(q: JoinQuery) -> list[tuple[str, str, str]]:
-    subsets = set(q.subsets())
-    return [(key(b), key(s), a) for b in subsets for a in b if (s := tuple(x for x in b if x != a)) in subsets]
+def enumerated_sql(q: JoinQuery, prefix: str = "") -> str:
+    """CTEs (for WITH RECURSIVE) sub: connected subsets, grown along the joins from single tables; e: big, small, other."""
+    links = ", ".join(f"('{x}', '{y}')" for edge in q.edges for x, y in ((edge.a, edge.b), (edge.b, edge.a)))
+    nodes = ", ".join(f"(['{a}'])" for a in sorted(q.tables))
+    return (
+        f"{prefix}j(a, b) AS (VALUES {links}), {prefix}sub(s) AS (SELECT * FROM (VALUES {nodes}) AS x(s) UNION SELECT list_sort(list_append(s, b)) FROM {prefix}sub JOIN {prefix}j ON list_contains(s, a) AND NOT list_contains(s, b)),"
+        f" {prefix}e AS (SELECT array_to_string(s, ' ') AS big, array_to_string(list_filter(s, lambda v: v <> o), ' ') AS small, o AS other FROM (SELECT s, unnest(s) AS o FROM {prefix}sub WHERE len(s) > 1)"
+        f" WHERE list_filter(s, lambda v: v <> o) IN (SELECT s FROM {prefix}sub))"
+    )
 
 
 def edges_sql(q: JoinQuery) -> str:
     """CTEs a, t, g: counts, unfiltered counts and edges with c1, c2, c3, t1, t2 and s, o, ts."""
-    values = ", ".join(f"('{b}', '{s}', '{o}')" for b, s, o in edge_rows(q))
-    return f"""WITH a AS ({counts_sql(q)}), t AS ({counts_sql(q, False)}),
-e(big, small, other) AS (VALUES {values}),
+    return f"""WITH RECURSIVE {enumerated_sql(q)}, a AS ({counts_sql(q)}), t AS ({counts_sql(q, False)}),
 g0 AS (SELECT e.*, greatest(x.value, 1)::DOUBLE AS c1, greatest(y.value, 1)::DOUBLE AS c2, greatest(z.value, 1)::DOUBLE AS c3,
        greatest(tx.value, 1)::DOUBLE AS t1, greatest(ty.value, 1)::DOUBLE AS t2
        FROM e JOIN a AS x ON x.subset = small JOIN a AS y ON y.subset = other JOIN a AS z ON z.subset = big
@@ -124,7 +128,8 @@ def cross_join_status(t: Tables) -> DataFrame:
     return cards.with_sentinels(found).join(found.select("subset", "status"), "subset").select("qid", "subset", "n_tables", "value", "status")
 
 
-@add("SELECT qid, subset, n_tables FROM (" + " UNION ALL ".join(f"SELECT '{q.qid}' AS qid, '{key(s)}' AS subset, {len(s)} AS n_tables" for q in C.ALL for s in q.subsets()) + ")")
+@add("WITH RECURSIVE " + ", ".join(enumerated_sql(q, f"{q.qid}_") for q in C.ALL) + " " + " UNION ALL ".join(
+    f"SELECT '{q.qid}' AS qid, array_to_string(s, ' ') AS subset, len(s)::INT AS n_tables FROM {q.qid}_sub" for q in C.ALL))
 def connected_subsets(t: Tables) -> DataFrame:
     links = t.spark.createDataFrame([(q.qid, e.a, e.b) for q in C.ALL for e in q.edges], "qid string, a string, b string")
     nodes = t.spark.createDataFrame([(q.qid, a) for q in C.ALL for a in q.tables], "qid string, alias string")
@@ -205,6 +210,15 @@ def scan_labels(t: Tables) -> DataFrame:
     return costs.scan_labels(edges_with_cards(t, C.G5)).select("big", "small", "scan_small", "scan_other")
 
 
+@add(
+    edges_sql(C.G5) + ", x AS (SELECT *, CASE WHEN small NOT LIKE '% %' THEN small ELSE other END AS single, string_split(CASE WHEN small NOT LIKE '% %' THEN other ELSE small END, ' ') AS rest FROM g)"
+    " SELECT big, small, round(least((o + c3 * ts / s) * CASE WHEN single IN ('l', 'p') AND NOT list_has_any(rest, ['o', 'c']) THEN 10 ELSE 1 END * CASE WHEN single IN ('n', 'c') THEN 1 ELSE 10 END, c1 * c2), 4) AS cost FROM x"
+)
+def cost_index13_facts(t: Tables) -> DataFrame:
+    """Model 13 with fact, partner and clustered aliases of these tables."""
+    return edges_with_cards(t, C.G5).select("big", "small", F.round(costs.index13(("l", "p"), ("o", "c"), ("n", "c")), 4).alias("cost"))
+
+
 # ---- plan search
 
 _I7 = _RULES["nested_loop_index7"]
@@ -225,12 +239,11 @@ add(edges_sql(C.G7) + ", " + dp_sql(C.G7, _I7) + " SELECT round(best, 4) AS best
 )
 
 
-@add(edges_sql(C.G5) + ", " + dp_sql(C.G5, _I7) + " SELECT '((((' || replace(path, ' ', ' ') || '))))' AS flat, len(string_split(path, ' '))::BIGINT AS n FROM b5")
+@add(edges_sql(C.G5) + ", " + dp_sql(C.G5, _I7) + ", h AS (SELECT string_split(path, ' ') AS p FROM b5) SELECT '((((' || p[1] || ' ' || p[2] || ') ' || p[3] || ') ' || p[4] || ') ' || p[5] || ')' AS hint, len(p)::BIGINT AS n FROM h")
 def plan_path(t: Tables) -> DataFrame:
+    """The join order as nested brackets."""
     best = search.left_deep(_default_cost(t), "cost", full=True)
-    hint = search.leading_hint(F.col("path"))
-    flat = F.concat(F.lit("(((("), F.regexp_replace(hint, r"[()]", ""), F.lit("))))"))
-    return best.select(flat.alias("flat"), F.size(F.split("path", " ")).cast("long").alias("n"))
+    return best.select(search.leading_hint(F.col("path")).alias("hint"), F.size(F.split("path", " ")).cast("long").alias("n"))
 
 
 _RULE_EST = "least(o2 + 0.001 * s2, k1 * k2)"
@@ -269,9 +282,8 @@ def on_best_path(t: Tables) -> DataFrame:
 
 
 def _paths_sql(q: JoinQuery) -> str:
-    values = ", ".join(f"('{b}', '{s}')" for b, s, _ in edge_rows(q))
     n = len(q.tables)
-    out = [f"WITH e(big, small) AS (VALUES {values}), p{n} AS (SELECT '{key(tuple(q.tables))}' AS subset, 1.0::DOUBLE AS n_paths)"]
+    out = [f"WITH RECURSIVE {enumerated_sql(q)}, p{n} AS (SELECT '{key(tuple(q.tables))}' AS subset, 1.0::DOUBLE AS n_paths)"]
     out += [f"p{k - 1} AS (SELECT e.small AS subset, sum(n_paths) AS n_paths FROM e JOIN p{k} AS p ON p.subset = e.big GROUP BY 1)" for k in range(n, 1, -1)]
     return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT * FROM p{k}" for k in range(n, 0, -1))
 
@@ -393,10 +405,10 @@ def join_loss(t: Tables) -> DataFrame:
 
 @add()
 def operator_histogram(t: Tables) -> DataFrame:
-    """Operators of the optimized plans of two queries."""
+    """Join operators of the physical plans of two queries: nested, merge or hash."""
     spark = t.views("orders", "customer", "lineitem", "nation", "part")
-    nodes = stats.plan_nodes(spark, C.G3.count_sql()).unionByName(stats.plan_nodes(spark, C.G5.count_sql()))
-    return nodes.groupBy("operator").agg(F.count(F.lit(1)).alias("n"))
+    nodes = stats.physical_joins(spark, C.G3.count_sql()).unionByName(stats.physical_joins(spark, C.G5.count_sql()))
+    return nodes.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
 
 
 @add(C.G5.count_sql(select="COUNT(*) AS n"))

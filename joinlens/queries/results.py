@@ -285,6 +285,34 @@ def priority_vs_runtime(t: Tables) -> DataFrame:
     return losses.join(runs, "sql_key").groupBy(magnitude.alias("magnitude")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("runtime"), 4).alias("mean_runtime"))
 
 
+@add(
+    "WITH v AS (SELECT DISTINCT stat_id, samples_type, loss_type, loss FROM stats WHERE summary_type = 'value' AND loss BETWEEN 0 AND 1000000)"
+    " SELECT 0 AS experiment, 'qerr' AS loss_type, NULL AS scaled, samples_type, count(*) AS n, round(avg(loss), 4) AS mean FROM v WHERE loss_type = 'qerr' GROUP BY samples_type"
+    " UNION ALL SELECT 1, 'rel', 'True', samples_type, count(*), round(avg(loss), 4) FROM v WHERE loss_type = 'rel' GROUP BY samples_type"
+)
+def experiment_table(t: Tables) -> DataFrame:
+    """Summaries of two runs with their settings."""
+    values = t.stats.where("summary_type = 'value' AND loss BETWEEN 0 AND 1000000").select("stat_id", "samples_type", "loss_type", "loss").distinct()
+
+    def run(kind: str) -> DataFrame:
+        return values.where(col("loss_type") == kind).groupBy("samples_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("loss"), 4).alias("mean"))
+
+    return setops.experiment_table([(run("qerr"), {"loss_type": "qerr"}), (run("rel"), {"loss_type": "rel", "scaled": True})])
+
+
+@add(
+    f"WITH {_PLANS}, s AS (SELECT n_tables, least(1.0, actual / total) AS s FROM cards WHERE actual IS NOT NULL AND total > 0)"
+    " SELECT n_tables, count(*) AS n, round(avg(s), 6) AS mean, round(min(s), 6) AS least, round(quantile_cont(s, 0.25), 6) AS p25, round(quantile_cont(s, 0.5), 6) AS p50,"
+    " round(quantile_cont(s, 0.75), 6) AS p75, round(max(s), 6) AS most FROM s GROUP BY 1"
+)
+def selectivity_profile(t: Tables) -> DataFrame:
+    """Selectivities of the stored sub-plans by number of tables."""
+    rows = materialize(cards(t).where("actual IS NOT NULL AND total > 0").select("n_tables", F.least(F.lit(1.0), col("actual") / col("total")).alias("s")), "selectivity")
+    sums = rows.groupBy("n_tables").agg(F.round(F.avg("s"), 6).alias("mean"), F.round(F.min("s"), 6).alias("least"), F.round(F.max("s"), 6).alias("most"))
+    found = exact_percentiles(rows, ["n_tables"], "s", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return found.join(sums, "n_tables").select("n_tables", "n", "mean", "least", *(F.round(c, 6).alias(c) for c in ("p25", "p50", "p75")), "most")
+
+
 @add(f"WITH {_PLANS} SELECT qid, subset, row_number() OVER (PARTITION BY qid ORDER BY n_tables DESC, subset) AS place FROM cards")
 def subsets_largest_first(t: Tables) -> DataFrame:
     """The order in which sub-plans are counted: the largest of a query first."""

@@ -78,6 +78,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def delete_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder through Hadoop's file system, whatever store it lies in."""
     jvm = spark.sparkContext._jvm

@@ -121,9 +121,14 @@ def gaussian_table(spark: SparkSession, rows: int, columns: int, least_correlati
 
 
 def write_results(df: DataFrame, path: str, kind: str = "parquet", append: bool = True) -> None:
-    """Results as Parquet or |-separated text, appended to what is there or in its place."""
+    """Results as Parquet or |-separated text, appended to what is there or, once they are complete, in its place."""
+    from joinlens.operators.compaction import swap_directory
+
+    to = path if append else f"{path}.staging"
     writer = df.write.mode("append" if append else "overwrite")
-    writer.parquet(path) if kind == "parquet" else writer.option("header", True).option("sep", "|").csv(path)
+    writer.parquet(to) if kind == "parquet" else writer.option("header", True).option("sep", "|").csv(to)
+    if not append:
+        swap_directory(df.sparkSession, to, path)
 
 
 def read_results(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:

@@ -107,6 +107,10 @@ def test_wander_join_is_unbiased(spark):
     want = q.join(lambda n: t[n], ("a", "b")).count()
     got = sampling.wander_join(spark, lambda n: t[n], q, 4000, order=["a", "b"]).where("subset = 'a b'").first()
     assert abs(got.estimate - want) <= 3 * got.half_interval + 1
+    early = sampling.wander_join(spark, lambda n: t[n], q, 4000, order=["a", "b"], successes=100).where("subset = 'a b'").first()
+    assert early.half_interval > got.half_interval and abs(early.estimate - want) <= 4 * early.half_interval + 1
+    same = sampling.wander_join(spark, lambda n: t[n], q, 4000, order=["a", "b"], successes=10**6).where("subset = 'a b'").first()
+    assert same == got
     empty = JoinQuery("e", {"a": "x", "b": "y"}, (Edge("a", "k", "b", "k"),), {"b": (Predicate("k", "eq", (99,)),)})
     assert sampling.wander_join(spark, lambda n: t[n], empty, 10, order=["a", "b"]).where("subset = 'a b'").first().estimate == 0
 
@@ -254,6 +258,11 @@ def test_files(spark, tmp_path):
     files.write_results(df, str(tmp_path / "r"))
     files.write_results(df, str(tmp_path / "r"))
     assert files.read_results(spark, str(tmp_path / "r")).count() == 2
+    files.write_results(files.read_results(spark, str(tmp_path / "r")).limit(1), str(tmp_path / "r"), append=False)  # reads what it replaces
+    assert files.read_results(spark, str(tmp_path / "r")).count() == 1
+    files.write_results(df, str(tmp_path / "c"), "csv")
+    files.write_results(df.select("id"), str(tmp_path / "c"), "csv", append=False)
+    assert [tuple(r) for r in files.read_results(spark, str(tmp_path / "c"), "csv").collect()] == [(1,)]
     files.dump_sql(df, str(tmp_path / "sql"))
     assert spark.read.text(str(tmp_path / "sql")).first()[0] == "SELECT 1 FROM t"
 
@@ -264,6 +273,18 @@ def test_qerror_of_the_truth_is_one(spark):
     assert math.isclose(df.agg(F.max(S.log_denorm(S.log_norm(F.col("v"), 0.0, 30.0), 0.0, 30.0))).first()[0], 1e12, rel_tol=1e-9)
 
 
+def test_walk_order():
+    q = JoinQuery("w", {x: x for x in "abcd"}, (Edge("a", "k", "b", "k"), Edge("b", "k", "c", "k"), Edge("c", "k", "d", "k")))
+    assert sampling.walk_order(q, {"b": 9, "d": 8, "c": 1, "a": 2}) == ["b", "a", "c", "d"]
+    assert sampling.walk_order(q, {}) == ["a", "b", "c", "d"]
+
+
+def test_experiment_table(spark):
+    a, b = spark.createDataFrame([("x", 1.0)], "card string, loss double"), spark.createDataFrame([("y", 2.0)], "card string, loss double")
+    found = {r.card: (r.experiment, r.rate, r.depth) for r in setops.experiment_table([(a, {"rate": 0.1}), (b, {"depth": 3})]).collect()}
+    assert found == {"x": (0, "0.1", None), "y": (1, None, "3")}
+
+
 def test_scratch_is_released(spark):
     from joinlens import session
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from joinlens.operators import cards
+from joinlens.operators import cards, replay, stats
 from joinlens.plans import costs, edges, flow, search
 from joinlens.workload import catalog as C
 from joinlens.workload.spec import Edge, JoinQuery, Predicate, key
@@ -158,6 +158,43 @@ def test_flow_gradient(spark):
     assert grads[rows[at][1], rows[at][2]] == pytest.approx((loss(up) - loss(down)) / (2 * step), rel=1e-3)
 
 
+def test_flow_gradient_by_count(spark):
+    rng = random.Random(4)
+    links = [("a b", "a", "b"), ("a c", "a", "c"), ("a b c", "a b", "c"), ("a b c", "a c", "b")]
+    cards = {s: rng.uniform(5, 500) for s in ("a", "b", "c", "a b", "a c", "a b c")}
+
+    def edges_of(cards):
+        rows = [("q", b, s, o, cards[s], cards[o], cards[b], 900.0, 900.0) for b, s, o in links]
+        return spark.createDataFrame(rows, "qid string, big string, small string, other string, c1 double, c2 double, c3 double, t1 double, t2 double")
+
+    truth = {(b, s): rng.uniform(1, 50) for b, s, _ in links}
+    true = spark.createDataFrame([("q", b, s, c) for (b, s), c in truth.items()], "qid string, big string, small string, true double")
+
+    def both(cards):
+        return costs.with_cost(edges_of(cards), "nested_loop_index9", "est").join(true, ["qid", "big", "small"])
+
+    def loss(cards):
+        return flow.flow_loss(flow.flows(both(cards), "est", "true")).first().flow_loss
+
+    found = {r.subset: r.gradient for r in flow.card_gradients(edges_of(cards), flow.gradients(both(cards), "est", "true"), costs.MODELS["nested_loop_index9"]).collect()}
+    for s in ("a", "a b", "a b c"):
+        up, down = (loss(cards | {s: cards[s] * float(np.exp(h))}) for h in (1e-4, -1e-4))
+        assert found[s] == pytest.approx((up - down) / 2e-4, rel=1e-3, abs=1e-6)
+
+
+def test_replay(spark):
+    queries = spark.createDataFrame([("a", "SELECT 1"), ("a", "SELECT 1"), ("b", "SELECT * FROM gone"), ("c", "SELECT sum(id % 7 + hash(id)) FROM range(100000000000)"), ("known", "SELECT 2")], "sql_key string, sql string")
+    rows = {(r.sql_key, r.repetition): r for r in replay.replay(spark, queries, spark.createDataFrame([("known",)], "sql_key string"), repetitions=2, timeout_ms=1500).collect()}
+    assert set(rows) == {("a", 0), ("a", 1), ("b", 0), ("c", 0)}
+    assert rows["a", 1].status == "ok" and rows["a", 1].n_rows == 1 and rows["b", 0].status == "exception" and (rows["c", 0].status, rows["c", 0].runtime) == ("timeout", 10.5)
+
+
+def test_physical_joins(spark):
+    spark.range(50).createOrReplaceTempView("left_side")
+    joined = stats.physical_joins(spark, "SELECT /*+ MERGE(b) */ * FROM left_side a JOIN left_side b ON a.id = b.id JOIN left_side c ON b.id < c.id")
+    assert {tuple(r) for r in joined.collect()} == {("SortMergeJoin", "merge"), ("BroadcastNestedLoopJoin", "nested")}
+
+
 def test_costs_and_hints(spark):
     df = spark.createDataFrame([("a b", "a", "b", 10.0, 200.0, 50.0, 100.0, 400.0), ("a b c", "a b", "c", 50.0, 4.0, 20.0, 1.0, 8.0)], "big string, small string, other string, c1 double, c2 double, c3 double, t1 double, t2 double")
     got = {m: [round(r.cost, 6) for r in costs.with_cost(df, m).collect()] for m in ("cm1", "nested_loop_index7", "nested_loop_index5", "nested_loop_index9", "nested_loop")}
