@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with dicts QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("corpus", "dialect", "labels", "plans", "results", "estimates", "learned")
+MODULES: tuple[str, ...] = ("corpus", "dialect", "labels", "plans", "results", "estimates", "learned", "steps")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
