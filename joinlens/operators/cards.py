@@ -35,10 +35,14 @@ def _member_rows(load: Loader, query: JoinQuery, alias: str, members: list[JoinQ
 
 
 def _tree_counts(
-    load: Loader, query: JoinQuery, wanted: list[tuple[str, ...]], filters: bool, members: list[JoinQuery] | None = None
-) -> list[DataFrame]:
+    load: Loader, query: JoinQuery, wanted: list[tuple[str, ...]], filters: bool, members: list[JoinQuery] | None = None,
+    closing: Edge | None = None,
+) -> list[DataFrame]:
     """Counts of all wanted subsets that are trees, without any join result.
 
+    closing: an equality beside the tree, which all wanted subsets hold (a cycle, as redundant conditions make it). The values
+    of its two columns travel up with the messages, as further group keys, until they meet at the first alias above both.
+
     members: queries with the tables and edges of query and filters of their own, counted together; __q then tells the
     member by its number, and members without rows are absent.
 
@@ -59,6 +63,8 @@ def _tree_counts(
                     order.append(b)
         todo -= set(order)
         edge_to = {a: next(e for e in query.edges if {e.a, e.b} == {a, parent[a]}) for a in order if parent[a]}
+        ends = {closing.a: closing.ca, closing.b: closing.cb} if closing and closing.a in parent else {}
+        carried: dict[str, list[str]] = {}
         below = {a: {a} for a in order}
         for a in reversed(order[1:]):
             below[parent[a]] |= below[a]
@@ -66,17 +72,26 @@ def _tree_counts(
             # what wanted subsets hold of the alias and all below it; nothing else is summed
             tops = sorted({tuple(sorted(below[alias] & set(s))) for s in wanted if alias in s}, key=lambda s: (len(s), s))
             keep = [(f"m_{alias}_{i}", s) for i, s in enumerate(tops) if s in wanted]
-            rooted[alias] = (None, tops)
+            rooted[alias], carried[alias] = (None, tops), []
             if not tops:
                 continue
             children = [c for c in order if parent[c] == alias and any(below[c] & set(s) for s in tops)]
-            rows = _member_rows(load, query, alias, members) if members else query.base(load, alias, filters)
+            kept = query if closing is None else replace(query, edges=(*query.edges, closing))  # its columns are read too
+            rows = _member_rows(load, kept, alias, members) if members else kept.base(load, alias, filters)
+            here = []
+            if alias in ends:
+                rows = rows.withColumn(f"__end_{alias}", F.col(ends[alias]))
+                here.append(f"__end_{alias}")
             for c in children:
                 e = edge_to[c]
                 own, theirs = (e.ca, e.cb) if e.a == alias else (e.cb, e.ca)
                 messages = rooted[c][0].withColumnsRenamed({theirs: f"__key_{c}", "__q": f"__q_{c}"})
                 on = [F.col(own) == F.col(f"__key_{c}"), *(F.col(q) == F.col(f"{q}_{c}") for q in by)]
-                rows = rows.join(messages, on, "left").drop(f"__key_{c}", f"__q_{c}")
+                if carried[c] and here:
+                    on.append(F.col(here[0]) == F.col(carried[c][0]))
+                rows = rows.join(messages, on, "inner" if carried[c] else "left").drop(f"__key_{c}", f"__q_{c}")
+                here += carried[c]
+            carried[alias] = here if len(here) == 1 else []
             sums = []
             for i, s in enumerate(tops):
                 parts = [(c, tuple(sorted(below[c] & set(s)))) for c in children]
@@ -86,7 +101,7 @@ def _tree_counts(
             if parent[alias]:
                 e = edge_to[alias]
                 up = e.ca if e.a == alias else e.cb
-                rooted[alias] = (rows.where(F.col(up).isNotNull()).groupBy(up, *by).agg(*sums), tops)
+                rooted[alias] = (rows.where(F.col(up).isNotNull()).groupBy(up, *by, *carried[alias]).agg(*sums), tops)
             if keep:
                 totals = rows.groupBy(*by).agg(*(sums[tops.index(s)] for _, s in keep))
                 stack = F.explode(F.array(*(F.struct(F.lit(key(s)).alias("subset"), F.lit(len(s)).alias("n_tables"), F.col(m).alias("value")) for m, s in keep)))
@@ -111,6 +126,37 @@ def _forest(query: JoinQuery, first: tuple[str, ...]) -> JoinQuery:
     return query.restricted(tuple(query.tables), tuple(kept))
 
 
+def _extra_edges(query: JoinQuery, forest: JoinQuery, subset: tuple[str, ...]) -> list[Edge]:
+    """Conditions within a subset that a forest of the query leaves out."""
+    return [e for e in query.edges if e.a in subset and e.b in subset and e not in forest.edges]
+
+
+def grouped_counts(load: Loader, query: JoinQuery, filters: bool, members: list[JoinQuery] | None = None) -> tuple[list[DataFrame], list[tuple[str, ...]]]:
+    """Counts of all connected subsets that are trees, or trees and one more equality, by messages along spanning forests; and
+    the subsets that remain."""
+    subsets, parts = query.subsets(), []
+    todo = [s for s in subsets if query.acyclic(s)]
+    rest = [s for s in subsets if s not in set(todo)]
+    while todo:
+        forest = _forest(query, max(todo, key=len))
+        here = [s for s in todo if forest.connected(set(s)) and not _extra_edges(query, forest, s)]
+        parts += _tree_counts(load, forest, here, filters, members)
+        todo = [s for s in todo if s not in set(here)]
+    left, cyclic = [], list(rest)
+    while cyclic:
+        top = max(cyclic, key=len)
+        forest = _forest(query, top)
+        closing = _extra_edges(query, forest, top)
+        if len(closing) != 1 or closing[0].op != "=" or not forest.connected(set(top)):
+            left.append(top)
+            cyclic.remove(top)
+            continue
+        here = [s for s in cyclic if forest.connected(set(s)) and _extra_edges(query, forest, s) == closing]
+        parts += _tree_counts(load, forest, here, filters, members, closing[0])
+        cyclic = [s for s in cyclic if s not in set(here)]
+    return parts, left
+
+
 def _one_count(load: Loader, query: JoinQuery, subset: tuple[str, ...], filters: bool) -> DataFrame:
     """One row (value) for a subset that is no tree.
 
@@ -137,18 +183,11 @@ def _one_count(load: Loader, query: JoinQuery, subset: tuple[str, ...], filters:
 def sub_plan_counts(spark: SparkSession, load: Loader, query: JoinQuery, filters: bool = True, shared: bool = True) -> DataFrame:
     """(qid, subset, n_tables, value) of every connected subset.
 
-    Subsets whose conditions form a tree are counted by shared messages, all those within one spanning forest at once; as
-    many forests are used as it takes. Subsets with a cycle are joined, inequalities that alone link two parts are counted
-    by difference. shared=False joins whatever is no such inequality.
+    Subsets whose conditions form a tree, or a tree and one more equality, are counted by shared messages, all those within one
+    spanning forest at once; as many forests are used as it takes. Subsets with further cycles are joined, inequalities that
+    alone link two parts are counted by difference. shared=False joins whatever is no such inequality.
     """
-    subsets = query.subsets()
-    todo = [s for s in subsets if shared and query.acyclic(s)]
-    rest, parts = [s for s in subsets if s not in set(todo)], []
-    while todo:
-        forest = _forest(query, max(todo, key=len))
-        here = [s for s in todo if forest.connected(set(s))]
-        parts += _tree_counts(load, forest, here, filters)
-        todo = [s for s in todo if s not in set(here)]
+    parts, rest = grouped_counts(load, query, filters) if shared else ([], query.subsets())
     for s in rest:
         plain = not shared and query.lone_inequality(s) is None
         count = query.join(load, s, filters).agg(F.count(F.lit(1)).alias("value")) if plain else _one_count(load, query, s, filters)
@@ -160,15 +199,9 @@ def actual_and_total(spark: SparkSession, load: Loader, query: JoinQuery) -> Dat
     """(qid, subset, n_tables, actual, total) of every connected subset: counts with and without filters, in one pass for all
     subsets that are trees (the query and its unfiltered form are counted together)."""
     bare = replace(query, preds={})
-    trees = [s for s in query.subsets() if query.acyclic(s)]
-    todo, parts = list(trees), []
-    while todo:
-        forest = _forest(query, max(todo, key=len))
-        here = [s for s in todo if forest.connected(set(s))]
-        parts += _tree_counts(load, forest, here, True, [query, bare])
-        todo = [s for s in todo if s not in set(here)]
+    parts, rest = grouped_counts(load, query, True, [query, bare])
     for at, q in enumerate((query, bare)):
-        for s in (s for s in query.subsets() if s not in set(trees)):
+        for s in rest:
             parts.append(_one_count(load, q, s, True).select(F.lit(at).alias("__q"), F.lit(key(s)).alias("subset"), F.lit(len(s)).alias("n_tables"), "value"))
     found = reduce(DataFrame.unionByName, parts).groupBy("subset", "n_tables").agg(*(F.coalesce(F.max(F.when(F.col("__q") == q, F.col("value"))), F.lit(0)).alias(c) for q, c in enumerate(("actual", "total"))))
     return found.select(F.lit(query.qid).alias("qid"), "subset", "n_tables", "actual", "total")

@@ -56,15 +56,9 @@ def count_batch(spark: SparkSession, load: Loader, members: list[JoinQuery]) ->
     """(sql_key, subset, n_tables, value, status) of queries of one shape; their qid is the key."""
     shape = members[0]
     subsets = shape.subsets()
-    trees = [s for s in subsets if shape.acyclic(s)]
-    parts, todo = [], list(trees)
-    while todo:
-        forest = cards._forest(shape, max(todo, key=len))
-        here = [s for s in todo if forest.connected(set(s))]
-        parts += cards._tree_counts(load, forest, here, True, members)
-        todo = [s for s in todo if s not in set(here)]
+    parts, rest = cards.grouped_counts(load, shape, True, members)
     for at, member in enumerate(members):
-        for s in (s for s in subsets if s not in set(trees)):
+        for s in rest:
             one = cards._one_count(load, member, s, True)
             parts.append(one.select(F.lit(at).alias("__q"), F.lit(key(s)).alias("subset"), F.lit(len(s)).alias("n_tables"), "value"))
     found = reduce(DataFrame.unionByName, parts).select("__q", "subset", "value")

@@ -321,7 +321,7 @@ def pgm_low_rank(t: Tables) -> DataFrame:
 
 
 def _flows(t: Tables) -> DataFrame:
-    return materialize(flow.flows(estimated_and_true(t), "est_cost", "true_cost"), "flows")
+    return materialize(flow.flows(materialize(estimated_and_true(t), "edges2"), "est_cost", "true_cost"), "flows")
 
 
 @add()
@@ -332,12 +332,12 @@ def flow_loss(t: Tables) -> DataFrame:
 @add()
 def flow_power(t: Tables) -> DataFrame:
     """Flows under a power other than two, and the path that follows the largest flow."""
-    return flow.flows(estimated_and_true(t), "est_cost", "true_cost", power=4.0, rounds=20)
+    return flow.flows(materialize(estimated_and_true(t), "edges2"), "est_cost", "true_cost", power=4.0, rounds=20)
 
 
 @add()
 def flow_gradient(t: Tables) -> DataFrame:
-    return flow.gradients(estimated_and_true(t), "est_cost", "true_cost")
+    return flow.gradients(materialize(estimated_and_true(t), "edges2"), "est_cost", "true_cost")
 
 
 @add()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -255,11 +257,14 @@ _EST_EDGES = (
 
 
 def estimated_and_true(t: Tables, q: JoinQuery = C.G5) -> DataFrame:
-    """Edges with true_cost and est_cost (textbook estimates), by the default model."""
-    est = stats.expected_counts(t.spark, t, q).select("subset", F.round("value", 4).alias("est"))
-    both = cards.actual_and_total(t.spark, t, q).join(F.broadcast(est), "subset")  # a row a subset
+    """Edges with true_cost and est_cost (textbook estimates), by the default model. Statistics and counts are gathered side by side."""
+    with ThreadPoolExecutor(1) as pool:
+        estimates = pool.submit(stats.expected_counts, t.spark, t, q)
+        counted = materialize(cards.actual_and_total(t.spark, t, q), "cards")
+        est = estimates.result().select("subset", F.round("value", 4).alias("est"))
+    both = counted.join(F.broadcast(est), "subset")  # a row a subset
     every = edges.drop_one_edges(edges.subset_table(t.spark, [q]))
-    return materialize(costs.with_both_costs(edges.with_cards(every, materialize(both, "cards"), "actual", "total", "est")), "edges2")
+    return costs.with_both_costs(edges.with_cards(every, both, "actual", "total", "est"))
 
 
 @add(

@@ -122,3 +122,31 @@ def test_members_of_a_batch_share_a_forest(spark, tables):
     for m in members:
         for s in m.subsets():
             assert got[m.qid, key(s)] == spark.sql(m.count_sql(s)).first()[0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cycles_are_counted_without_joins(spark, seed, monkeypatch):
+    """Triangles, squares and doubled conditions, with tails; filters and nulls; alone, with totals and in batches."""
+    rng = random.Random(seed)
+    data = {n: spark.createDataFrame([tuple(rng.choice([None, 0, 1, 2, 3]) for _ in range(3)) for _ in range(25)], "k int, j int, v int") for n in "wxyz"}
+    shapes = [
+        (("a", "k", "b", "k"), ("b", "k", "c", "k"), ("a", "k", "c", "k")),
+        (("a", "k", "b", "k"), ("b", "j", "c", "k"), ("c", "j", "d", "k"), ("d", "j", "a", "j")),
+        (("a", "k", "b", "k"), ("a", "j", "b", "j"), ("b", "j", "c", "k"), ("c", "j", "d", "j")),
+        (("a", "k", "b", "k"), ("b", "k", "c", "j"), ("a", "v", "c", "k"), ("c", "j", "d", "k")),
+    ]
+    edges = tuple(Edge(*e) for e in shapes[seed])
+    names = sorted({x for e in edges for x in (e.a, e.b)})
+    q = JoinQuery("q", dict(zip(names, "wxyz")), edges, {"a": parser.to_query("SELECT COUNT(*) FROM w AS a WHERE a.v > 0", "").preds["a"]})
+    want = {key(s): q.join(data.__getitem__, s).count() for s in q.subsets()}
+    bare = {key(s): q.join(data.__getitem__, s, filters=False).count() for s in q.subsets()}
+
+    def never(*_, **__):
+        raise AssertionError("joined")
+
+    monkeypatch.setattr(JoinQuery, "join", never)
+    assert {r.subset: r.value for r in cards.sub_plan_counts(spark, data.__getitem__, q).collect()} == want
+    assert {r.subset: (r.actual, r.total) for r in cards.actual_and_total(spark, data.__getitem__, q).collect()} == {s: (want[s], bare[s]) for s in want}
+    members = [q, JoinQuery("r", q.tables, edges)]
+    got = {(r.sql_key, r.subset): r.value for r in labelling.count_batch(spark, data.__getitem__, members).collect()}
+    assert got == {("q", s): n for s, n in want.items()} | {("r", s): n for s, n in bare.items()}
