@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from joinlens.functions.scalars import has_digit, log_bucket, ngrams, sha1_bucket
 from joinlens.operators.windows import global_rank
@@ -219,7 +221,18 @@ def set_features(plans: DataFrame, nodes: DataFrame, joins: DataFrame, filters:
 
 
 def dense(vectors: DataFrame, width: int) -> DataFrame:
-    """Sparse rows as one array a sub-plan."""
-    filled = F.map_from_entries(F.collect_list(F.struct("slot", "value")))
-    made = vectors.groupBy("qid", "subset").agg(filled.alias("__m"))
-    return made.select("qid", "subset", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0))).alias("features"))
+    """Sparse rows as one array a sub-plan; slots are filled batch by batch."""
+    listed = vectors.groupBy("qid", "subset").agg(F.collect_list(F.struct(F.col("slot").cast("int").alias("slot"), F.col("value").cast("double").alias("value"))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            table = np.zeros((batch.num_rows, width))
+            table[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(offsets, pa.array(table.ravel()))], ["qid", "subset", "features"])
+
+    schema = listed.select("qid", "subset").schema.add("features", ArrayType(DoubleType()))
+    return listed.mapInArrow(run, schema)
