@@ -158,13 +158,14 @@ def label_workload(
     index = _index(spark, load, todo, batch)
     with ThreadPoolExecutor(threads) as pool:
         waiting: list = []
+        ran = False
         for at, (indexed, members) in enumerate(_units(todo, index, batch)):
+            ran = True
             waiting.append(pool.submit(run, f"part={at}", members, indexed))
-            while len(waiting) > 2 * threads:  # units are fetched as they are needed
+            while len(waiting) > (0 if indexed else 2 * threads):  # units are fetched as they are needed; the driver holds one block
                 waiting.pop(0).result()
         for future in waiting:
             future.result()
-        ran = bool(waiting)
     new = spark.read.schema(_COLUMNS).option("recursiveFileLookup", True).parquet(path) if ran else spark.createDataFrame([], _COLUMNS)
     found = new
     if cache:
